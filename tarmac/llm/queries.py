@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .html_text import op8_html_text
 from .secrets import op3_secrets
 from .sharding import op10_shard_ring
+from .warc import op6_warc
 
 QUERIES = {
     "op3_secrets": op3_secrets,
+    "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
+    "op8_html_text": op8_html_text,
     "op10_shard_ring": op10_shard_ring,
 }
 
