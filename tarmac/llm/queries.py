@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .html_text import op8_html_text
+from .lm_scoring import OP1_SQL, op1_lm_score
 from .secrets import op3_secrets
 from .sharding import op10_shard_ring
 from .warc import op6_warc
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op3_secrets": op3_secrets,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
@@ -17,4 +19,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_lm_score": OP1_SQL}
