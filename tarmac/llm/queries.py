@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .html_text import op8_html_text
 from .lm_scoring import OP1_SQL, op1_lm_score
+from .near_dedup import op9_near_dup
 from .secrets import op3_secrets
 from .sharding import op10_shard_ring
 from .warc import op6_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_html_text": op8_html_text,
+    "op9_near_dup": op9_near_dup,
     "op10_shard_ring": op10_shard_ring,
 }
 
