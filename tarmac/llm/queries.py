@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .hnsw import op5_ann
 from .html_text import op8_html_text
 from .lm_scoring import OP1_SQL, op1_lm_score
 from .near_dedup import op9_near_dup
 from .secrets import op3_secrets
 from .sharding import op10_shard_ring
+from .toxicity import op2_toxicity
 from .warc import op6_warc
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
+    "op2_toxicity": op2_toxicity,
     "op3_secrets": op3_secrets,
+    "op5_ann": op5_ann,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_html_text": op8_html_text,
