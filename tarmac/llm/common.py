@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Used where the session names no shared folder, that is in tests on one machine.
 LOCAL_SHARED = "/tmp/tarmac-shared"
+#: What is cut off both ends of a word.
+EDGES = ".,;:!?()[]{}<>\"'`*_-/\\|«»“”‘’„…–—¡¿#"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .decontamination import op4_decontaminate
 from .hnsw import op5_ann
 from .html_text import op8_html_text
 from .lm_scoring import OP1_SQL, op1_lm_score
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_toxicity": op2_toxicity,
     "op3_secrets": op3_secrets,
+    "op4_decontaminate": op4_decontaminate,
     "op5_ann": op5_ann,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import EDGES, table
 
 SAMPLE, SAMPLE_CHARS = 1_000, 20_000
 WINDOW, STEP, PIECE = 32, 24, 24
@@ -34,7 +34,6 @@ VOCABULARY, EPOCHS, BATCH, RATE = 20_000, 6, 64, 0.01
 THRESHOLD = 0.7
 #: Raw words remembered with their vectors in a Python worker, and windows scored at once.
 MEMO, AT_ONCE = 250_000, 2_048
-EDGES = ".,;:!?()[]{}<>\"'`*_-/\\|«»“”‘’„…–—¡¿#"
 F32 = np.float32
 
 
