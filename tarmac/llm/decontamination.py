@@ -13,7 +13,8 @@ frequent words and lose the rare ones that tell a passage from others.  The benc
 ``BLOCK`` passages; only a block's passages, terms and components are broadcast, which bounds them.
 
 Null and empty texts match nothing; benchmark passages of fewer than ``LEAST`` words aren't searched, as such word
-sequences occur by chance.  Rows with the same id are judged alone and give a row for each leaked item and row.  An
+sequences occur by chance.  Rows with the same id are one document that holds what any of
+them holds.  An
 empty benchmark or corpus gives no rows.
 """
 
@@ -32,11 +33,13 @@ from .common import EDGES, stored, table
 
 PASSAGE, OVERLAP, LEAST, CELL = 48, 24, 6, 16
 RANK, EXTRA, ROUNDS, BLOCK = 128, 16, 2, 4_096
-COSINE, LOOSE, STRICT, ANSWER = 0.4, 0.6, 0.8, 0.7
-#: Raw words remembered in a Python worker, and windows compared at once.
-MEMO, AT_ONCE = 400_000, 8_192
+COSINE, LENGTH, LOOSE, STRICT, ANSWER = 0.6, 0.45, 0.6, 0.8, 0.7
+#: Raw words remembered in a Python worker, and cells searched at once.
+MEMO, AT_ONCE = 400_000, 512
 SENTENCE = re.compile(r"[.!?:]\s+")
-LEAKS = "array<struct<item_id:long,cosine:double,lcs_share:double>>"
+LEAK = "item_id long, cosine double, lcs_share double"
+#: Ids up to this number are broadcast (8 MB), more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -75,28 +78,46 @@ class Terms(dict):
         return at
 
 
-def document_frequency(docs: DataFrame, text_col: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Documents with each term, and documents with words, over all documents; counted within tasks first."""
+def numbered(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[str, int]) -> tuple[DataFrame, np.ndarray]:
+    """Stored (id string, numbers binary) of every document, and the documents with each term (at 0: with words).
+
+    A task adds a row with its own counts, so one pass gives both.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kind = number_type(vocabulary)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Terms(shared.value)
         n = np.zeros(len(shared.value) + 1, np.int64)
         for b in batches:
+            out = []
             for text in b["text"]:
-                raw = set(text.lower().split())
-                if raw:
-                    own = set(map(terms.__getitem__, raw))
-                    own.add(0)
-                    n[list(own)] += 1
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"term": at, "n": n[at]})
-
-    texts = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+                raw = text.lower().split()
+                own = np.fromiter(map(terms.__getitem__, raw), kind, len(raw))
+                n[np.unique(own)] += 1
+                if len(own) and own.all():
+                    n[0] += 1
+                out.append(own.tobytes())
+            yield pd.DataFrame({"id": b["id"], "numbers": out, "counts": None})
+        yield pd.DataFrame({"id": [None], "numbers": [None], "counts": [n.tobytes()]})
+
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    both = stored(texts.mapInPandas(run, "id string, numbers binary, counts binary"), "numbers")
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = sum(np.frombuffer(x, np.int64) for b in batches for x in b["counts"])
+        if not isinstance(n, int):
+            yield pd.DataFrame({"term": np.flatnonzero(n), "n": n[np.flatnonzero(n)]})
+
     out = np.zeros(len(vocabulary) + 1, np.int64)
-    for term, n in texts.mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+    sums = both.filter(F.col("counts").isNotNull()).select("counts").mapInPandas(add, "term long, n long").groupBy("term").agg(F.sum("n"))
+    for term, n in sums.collect():
         out[term] = n
-    return out, int(out[0])
+    return both.filter(F.col("counts").isNull()).select("id", "numbers"), out
+
+
+def number_type(vocabulary: dict[str, int]) -> type:
+    return np.uint16 if len(vocabulary) < 65_536 else np.int32
 
 
 def randomised_svd(rows: DataFrame, columns: int, rank: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -153,12 +174,14 @@ class Space:
     words: list[np.ndarray]
     answers: list[int]
     units: np.ndarray
+    norms: np.ndarray
 
     def __post_init__(self):
         lengths = np.array([len(w) for w in self.words])
         # a window of so many cells holds any such passage, wherever it begins
         self.cells = [(n, np.flatnonzero((lengths > low) & (lengths <= high))) for n, low, high in ((2, 0, CELL + 1), (4, CELL + 1, 3 * CELL + 1))]
         self.masks = [bit_masks(w) for w in self.words]
+        self.sets = [set(w.tolist()) for w in self.words]
 
 
 def bit_masks(words: np.ndarray) -> dict[int, int]:
@@ -168,24 +191,20 @@ def bit_masks(words: np.ndarray) -> dict[int, int]:
     return out
 
 
-def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> tuple[int, int]:
-    """(length, bits of the matched positions) of the longest common subsequence, by bit-parallel dynamic programming."""
+def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
+    """Length of the longest common subsequence, by bit-parallel dynamic programming."""
     full = state = (1 << n) - 1
     for w in words:
         m = masks.get(w)
         if m is not None:
             u = state & m
             state = ((state + u) | (state - u)) & full
-    matched = full & ~state
-    return matched.bit_count(), matched
+    return n - state.bit_count()
 
 
-def space(docs: DataFrame, block: list, text_col: str, rank: int) -> Space:
+def space(spark: SparkSession, block: list, vocabulary: dict[str, int], frequency: np.ndarray, rank: int) -> Space:
     """The latent space of a block of passages."""
-    spark = docs.sparkSession
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for r in block for w in r["words"]}))}
-    frequency, total = document_frequency(docs, text_col, vocabulary)
-    idf = np.log((total + 1) / (frequency + 0.5)).clip(min=0)
+    idf = np.log((frequency[0] + 1) / (frequency + 0.5)).clip(min=0)
     idf[0] = 0
     words = [np.array([vocabulary[w] for w in r["words"]], np.int32) for r in block]
     sparse = []
@@ -196,9 +215,10 @@ def space(docs: DataFrame, block: list, text_col: str, rank: int) -> Space:
     rows = spark.createDataFrame(pd.DataFrame(sparse, columns=["terms", "weights"]), "terms array<int>, weights array<double>")
     _, components = randomised_svd(rows, len(vocabulary) + 1, min(rank, len(block)))
     terms = (components * idf[:, None]).astype(np.float32)
-    latent = np.stack([terms[w].sum(0) for w in words]) if words else np.zeros((0, 1), np.float32)
-    units = latent / np.linalg.norm(latent, axis=1, keepdims=True).clip(min=1e-9)
-    return Space(vocabulary, terms, idf, [r["item_id"] for r in block], words, [r["answer"] for r in block], units.astype(np.float32))
+    latent = np.stack([terms[w].sum(0) for w in words])
+    norms = np.linalg.norm(latent, axis=1).clip(min=1e-9)
+    units = (latent / norms[:, None]).astype(np.float32)
+    return Space(vocabulary, terms, idf, [r["item_id"] for r in block], words, [r["answer"] for r in block], units, norms)
 
 
 def leaks_of(s: Space, ids: list[np.ndarray]) -> list[list[tuple[int, float, float]]]:
@@ -224,40 +244,38 @@ def searched(s: Space, ids: list[np.ndarray]) -> list[list[tuple[int, float, flo
     flat = np.zeros(first[-1] * CELL, np.int32)
     for x, c in zip(ids, first[:-1], strict=True):
         flat[c * CELL : c * CELL + len(x)] = x
-    used = np.flatnonzero(flat)
+    in_cells = flat.reshape(-1, CELL)
     sums = np.zeros((first[-1] + 3, s.terms.shape[1]), np.float32)
-    if len(used):
-        cell = used // CELL
-        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        sums[cell[start]] = np.add.reduceat(s.terms[flat[used]], start, axis=0)
+    for k in range(CELL):
+        sums[:-3] += s.terms[in_cells[:, k]]
     best: list[dict] = [{} for _ in ids]
     for width, which in s.cells:
         if not len(which):
             continue
         windows = sum(sums[k : k + first[-1]] for k in range(width))
         norms = np.sqrt(np.einsum("ij,ij->i", windows, windows)).clip(min=1e-9)
-        for i in range(0, len(windows), AT_ONCE):
-            cosine = windows[i : i + AT_ONCE] @ s.units[which].T
-            cosine /= norms[i : i + AT_ONCE, None]
-            for w, p in np.argwhere(cosine >= COSINE):
-                own = best[text_of[i + w]]
-                judged(s, int(which[p]), flat[(i + w) * CELL : (i + w + width) * CELL], float(cosine[w, p]), own)
+        near = windows @ s.units[which].T
+        # a window that holds LOOSE of a passage has about as much of its vector; few shared words give a cosine, but no length
+        close = (near >= COSINE * norms[:, None]) & (near >= LENGTH * s.norms[which])
+        for w, p in np.argwhere(close):
+            judged(s, int(which[p]), flat[w * CELL : (w + width) * CELL], float(near[w, p] / norms[w]), best[text_of[w]])
     return [[(item, *found) for item, found in sorted(own.items())] for own in best]
 
 
 def judged(s: Space, passage: int, window: np.ndarray, cosine: float, best: dict[int, tuple[float, float]]) -> None:
     """Adds the passage's item to ``best`` if the window holds it."""
     words, n = s.words[passage], len(s.words[passage])
-    present = np.isin(words, window)
-    if present.mean() < LOOSE:
+    here = window.tolist()
+    if len(s.sets[passage].intersection(here)) < 0.8 * LOOSE * len(s.sets[passage]):
         return
-    length, bits = common_subsequence(s.masks[passage], n, window.tolist())
+    length = common_subsequence(s.masks[passage], n, here)
     share = length / n
+    present = np.isin(words, window)
     if share < LOOSE or s.idf[words[present]].sum() < share * s.idf[words].sum() * 0.9:
         return
     if share < STRICT:
         answer = words[n - s.answers[passage] :]
-        got, _ = common_subsequence(bit_masks(answer), len(answer), window.tolist())
+        got = common_subsequence(bit_masks(answer), len(answer), here)
         if got < ANSWER * len(answer):
             return
     item = s.items[passage]
@@ -265,47 +283,46 @@ def judged(s: Space, passage: int, window: np.ndarray, cosine: float, best: dict
         best[item] = (cosine, share)
 
 
-def finder(shared):
-    """Column function: the leaks of texts, by a broadcast space."""
-
-    @F.pandas_udf(LEAKS)
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        terms = Terms(shared.value.vocabulary)
-        for b in batches:
-            ids = []
-            for text in b:
-                raw = text.lower().split()
-                ids.append(np.fromiter(map(terms.__getitem__, raw), np.int32, len(raw)))
-            rows = leaks_of(shared.value, ids)
-            yield pd.Series([[dict(zip(("item_id", "cosine", "lcs_share"), x, strict=True)) for x in own] for own in rows])
-
-    return found
-
-
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = RANK, block: int = BLOCK) -> DataFrame:
-    """``docs`` with ``leaks``: the benchmark items that each text holds, with cosine and subsequence share."""
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    rank: int = RANK, block: int = BLOCK,
+) -> DataFrame:
+    """(id, item_id, cosine, lcs_share): a row for each document and benchmark item that it holds."""
+    spark = docs.sparkSession
     parts = stored(passages(benchmark, item_col, item_text), "passages")
     blocks = -(-parts.count() // block)
-    leaks = F.expr(f"cast(array() as {LEAKS})")
-    out = docs
-    columns = []
+    id_type = dict(docs.dtypes)[id_col]
+    out = spark.createDataFrame([], f"id string, {LEAK}")
     for k in range(blocks):
         # about ``block`` passages of at most PASSAGE words
         own = parts.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == k).orderBy("item_id", "part").collect()
-        if not own:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(space(docs, own, text_col, rank))
+        if own:
+            vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for r in own for w in r["words"]}))}
+            numbers, frequency = numbered(docs, id_col, text_col, vocabulary)
+            out = out.unionByName(found_in(numbers, space(spark, own, vocabulary, frequency, rank)))
+    best = out.groupBy("id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"))
+    return best.select(F.col("id").cast(id_type).alias(id_col), "item_id", "cosine", "lcs_share")
 
-        columns.append(f"__leaks{k}")
-        out = out.withColumn(columns[-1], finder(shared)(F.coalesce(F.col(text_col), F.lit(""))))
-    all_ = F.concat(*[F.col(c) for c in columns]) if columns else leaks
-    return out.withColumn("leaks", all_).select(*docs.columns, "leaks")
 
+def found_in(numbers: DataFrame, s: Space) -> DataFrame:
+    """Leaks of the numbered documents (stored)."""
+    shared = numbers.sparkSession.sparkContext.broadcast(s)
+    kind = number_type(s.vocabulary)
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, item_id, cosine, lcs_share): a row for each document and benchmark item that it holds."""
-    rows = with_leaks(docs.select(id_col, text_col), benchmark, text_col).select(id_col, F.explode("leaks").alias("x")).select(id_col, "x.*")
-    return rows.groupBy(id_col, "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = leaks_of(shared.value, [np.frombuffer(x, kind) for x in b["numbers"]])
+            rows = [(i, *leak) for i, own in zip(b["id"], found, strict=True) for leak in own]
+            yield pd.DataFrame(rows, columns=["id", "item_id", "cosine", "lcs_share"])
+
+    return stored(numbers.mapInPandas(run, f"id string, {LEAK}"), "leaks")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id leaks."""
+    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__bad")).distinct()
+    small = bad.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(bad) if small else bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
