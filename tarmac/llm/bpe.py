@@ -195,6 +195,29 @@ def encode_digests(docs: DataFrame, id_col: str, text_col: str = "text", path: s
     return pieces_encoded(docs, id_col, text_col, path, chunk_chars, overlap, columns, digest, join)
 
 
+def with_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256.
+
+    Only the long texts' digests are joined to their rows, by id and text; short rows get theirs where they're read.
+    """
+    path = path or vocabulary_path()
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def short(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        enc = Encoder(path)
+        for b in batches:
+            yield pd.DataFrame([digest(enc, enc.ids(t)) for t in b], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    long = F.length(text) > CHUNK_CHARS
+    here = docs.filter(~long).withColumn("__d", short(text)).select(*docs.columns, "__d.*")
+    longer = docs.filter(long)
+    keys = longer.select(F.sha2(F.encode(F.col(text_col), "UTF-8"), 256).alias("__sha"), F.col(text_col).alias("text")).dropDuplicates(["__sha"])
+    found = encode_digests(keys, "__sha")
+    there = longer.withColumn("__sha", F.sha2(F.encode(F.col(text_col), "UTF-8"), 256)).join(found, "__sha")
+    return here.unionByName(there.select(*docs.columns, "n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of every whole document."""
     return encode_digests(table(spark, sf_dir, "documents"), "doc_id")
