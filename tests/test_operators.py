@@ -22,18 +22,18 @@ def value(spark, c):
 @pytest.mark.parametrize(
     ("column", "want"),
     [
-        (X.time_asked(F.lit("what is at 2:30?")), 150), (X.time_asked(F.lit("150 seconds")), 150), (X.time_asked(F.lit("frame 45")), None),
-        (X.frame_asked(F.lit("frame number 45")), 45), (X.video_key(F.lit("s3://b/2025_0817.MP4")), "2025_0817"), (X.video_key(F.lit("x.gpx")), None),
-        (X.minutes_seconds(F.lit(65.9)), "1:05"), (X.route_number(F.lit("R010")), 10), (X.route_code(F.lit(7)), "R007"),
-        (X.condition_of(F.array(F.lit("Sign-Damaged"))), "poor"), (X.condition_of(F.array(F.lit("x-odd"))), "good"), (X.condition_of(F.expr("cast(array() as array<string>)")), "good"),
-        (X.stored_url(F.lit("/uploads/uploads/a.mp4")), "/uploads/a.mp4"), (X.stored_url(F.lit("https://h/a")), "https://h/a"),
-        (X.tile_x(F.lit(51.5), F.lit(8)), 164), (X.tile_y(F.lit(25.2), F.lit(8)), 109), (X.frame_path(F.lit(7), F.lit(1.5)), "frame_000007_1.50s.jpg"),
-        (X.object_id(F.lit('{"$oid":"ab"}')), "ab"), (X.object_id(F.lit("ab")), "ab"), (X.role_name(F.lit("odd")), "Road Surveyor"),
-        (X.frame_in_range(F.lit(90), F.lit(50)), 48), (X.seconds_of(F.lit(30), F.lit(0)), 0.0), (X.email_key(F.lit(" A@B.c ")), "a@b.c"), (X.half_up(F.lit(2.5)), 3),
+        (lambda: X.time_asked(F.lit("what is at 2:30?")), 150), (lambda: X.time_asked(F.lit("150 seconds")), 150), (lambda: X.time_asked(F.lit("frame 45")), None),
+        (lambda: X.frame_asked(F.lit("frame number 45")), 45), (lambda: X.video_key(F.lit("s3://b/2025_0817.MP4")), "2025_0817"), (lambda: X.video_key(F.lit("x.gpx")), None),
+        (lambda: X.minutes_seconds(F.lit(65.9)), "1:05"), (lambda: X.route_number(F.lit("R010")), 10), (lambda: X.route_code(F.lit(7)), "R007"),
+        (lambda: X.condition_of(F.array(F.lit("Sign-Damaged"))), "poor"), (lambda: X.condition_of(F.array(F.lit("x-odd"))), "good"), (lambda: X.condition_of(F.expr("cast(array() as array<string>)")), "good"),
+        (lambda: X.stored_url(F.lit("/uploads/uploads/a.mp4")), "/uploads/a.mp4"), (lambda: X.stored_url(F.lit("https://h/a")), "https://h/a"),
+        (lambda: X.tile_x(F.lit(51.5), F.lit(8)), 164), (lambda: X.tile_y(F.lit(25.2), F.lit(8)), 109), (lambda: X.frame_path(F.lit(7), F.lit(1.5)), "frame_000007_1.50s.jpg"),
+        (lambda: X.object_id(F.lit('{"$oid":"ab"}')), "ab"), (lambda: X.object_id(F.lit("ab")), "ab"), (lambda: X.role_name(F.lit("odd")), "Road Surveyor"),
+        (lambda: X.frame_in_range(F.lit(90), F.lit(50)), 48), (lambda: X.seconds_of(F.lit(30), F.lit(0)), 0.0), (lambda: X.email_key(F.lit(" A@B.c ")), "a@b.c"), (lambda: X.half_up(F.lit(2.5)), 3),
     ],
 )
 def test_scalars(spark, column, want):
-    assert value(spark, column) == want
+    assert value(spark, column()) == want
 
 
 def test_nearest_asof_ties_and_missing(spark):
@@ -148,7 +148,7 @@ def test_files(spark, tmp_path):
     assert listed.count() == 3 and files.folder_counts(listed).head()["files"] == 3
     got = files.library(listed).collect()
     assert [(r["stem"], r["video"] is not None) for r in got] == [("a", True), ("b", False)]
-    files.write_csv(spark.createDataFrame([("a,b", 1.0)], "n string, lat double"), str(tmp_path / "out"))
+    files.write_csv(spark.createDataFrame([("a,b", 1.0)], "n string, lat double").coalesce(1), str(tmp_path / "out"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["n,lat", '"a,b",1.000000']
 
 
@@ -183,7 +183,8 @@ def test_job_stream(spark, tmp_path):
 
 def test_window_stream_equals_batch(spark, tmp_path):
     src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    live = windows.event_time(spark.readStream.schema(src.schema).parquet("/root/testdata/sf0.001/events.parquet"), "ts", "1 hour")
+    src.write.parquet(str(tmp_path / "in"))
+    live = windows.event_time(spark.readStream.schema(src.schema).parquet(str(tmp_path / "in")), "ts", "1 hour")
     q = windows.per_window(live, "ts", "1 hour", ["event_type"], "value").writeStream.format("memory").queryName("hours").outputMode("complete")
     q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     batch = windows.per_window(windows.event_time(src), "ts", "1 hour", ["event_type"], "value")
