@@ -139,7 +139,8 @@ def randomised_svd(rows: DataFrame, columns: int, rank: int, rounds: int = ROUND
                     y = weights @ shared.value[terms]
                     for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
                         sums[t] = sums[t] + w * y if t in sums else w * y
-            yield pd.DataFrame({"term": list(sums), "y": list(sums.values())}, columns=["term", "y"])
+            if sums:
+                yield pd.DataFrame({"term": list(sums), "y": list(sums.values())})
 
         def total(b: pd.DataFrame) -> pd.DataFrame:
             b = b.groupby("term")["y"].apply(lambda s: np.sum(np.stack(s.to_numpy()), axis=0)).reset_index()
@@ -237,10 +238,12 @@ def leaks_of(s: Space, ids: list[np.ndarray]) -> list[list[tuple[int, float, flo
 
 
 def searched(s: Space, ids: list[np.ndarray]) -> list[list[tuple[int, float, float]]]:
-    # each text fills whole cells, with three empty ones behind, so that no window spans two texts
-    cells = [-(-len(x) // CELL) + 3 for x in ids]
+    # each text fills whole cells, with three empty ones behind; windows begin in cells with words, so none spans two texts
+    full = np.array([-(-len(x) // CELL) for x in ids])
+    cells = full + 3
     first = np.concatenate([[0], np.cumsum(cells)])
     text_of = np.repeat(np.arange(len(ids)), cells)
+    starts = (np.arange(first[-1]) - first[text_of] < full[text_of])[:, None]
     flat = np.zeros(first[-1] * CELL, np.int32)
     for x, c in zip(ids, first[:-1], strict=True):
         flat[c * CELL : c * CELL + len(x)] = x
@@ -256,7 +259,7 @@ def searched(s: Space, ids: list[np.ndarray]) -> list[list[tuple[int, float, flo
         norms = np.sqrt(np.einsum("ij,ij->i", windows, windows)).clip(min=1e-9)
         near = windows @ s.units[which].T
         # a window that holds LOOSE of a passage has about as much of its vector; few shared words give a cosine, but no length
-        close = (near >= COSINE * norms[:, None]) & (near >= LENGTH * s.norms[which])
+        close = starts & (near >= COSINE * norms[:, None]) & (near >= LENGTH * s.norms[which])
         for w, p in np.argwhere(close):
             judged(s, int(which[p]), flat[w * CELL : (w + width) * CELL], float(near[w, p] / norms[w]), best[text_of[w]])
     return [[(item, *found) for item, found in sorted(own.items())] for own in best]
