@@ -286,9 +286,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7
         if n > 1:
             odds[numbers[w]] = np.log((n + 0.5) / (toxic.sum() + 1) * ((~toxic).sum() + 1) / (in_texts[w] - n + 0.5))
     telling = [odds[own].max(1) + odds[own].sum(1) / 1e3 for own in rows]
+    pool = np.concatenate([own[own > 0] for own, bad in zip(rows, toxic, strict=True) if not bad] + [np.zeros(1, np.int32)])
     first, second = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
     steps = 0
-    epochs = max(epochs, min(12, 10_000 // max(1, len(texts))))
+    epochs = max(epochs, min(30, 10_000 // max(1, len(texts))))
     for epoch in range(epochs):
         reader = Reader(net, vocabulary)
         scores = training_scores(net, reader, names, rows)
@@ -304,6 +305,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7
         for i in range(0, len(order), BATCH):
             part = order[i : i + BATCH]
             batch = np.array([picked[j] for j in part])
+            # other words than telling ones change places with words of label 0, so that no window is learnt by heart
+            plain = (batch > 0) & (odds[batch] < 1) & (rng.random(batch.shape) < 0.5)
+            batch[plain] = rng.choice(pool, plain.sum())
             used, inverse = np.unique(np.r_[0, batch.ravel()], return_inverse=True)
             words = [names[j] for j in used[1:]] or ["?"]
             ids = np.fromiter((vocabulary.get(w, 0) for w in words), np.int64, len(words))
@@ -317,6 +321,12 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7
                 first[k] += F32(0.1) * (g - first[k])
                 second[k] += F32(0.01) * (g * g - second[k])
                 net[k] -= F32(rate / (1 - 0.9**steps)) * first[k] / (np.sqrt(second[k] / F32(1 - 0.99**steps)) + F32(1e-7))
+    # the threshold goes midway between the sample's highest texts of label 0 and its lowest of label 1
+    p = np.array([x.max() for x in training_scores(net, Reader(net, vocabulary), names, rows)]).clip(1e-6, 1 - 1e-6)
+    logits = np.log(p / (1 - p))
+    low, high = np.quantile(logits[~toxic], 0.999), np.quantile(logits[toxic], 0.01)
+    if low < high:
+        net["bias"] -= F32((low + high) / 2 - np.log(THRESHOLD / (1 - THRESHOLD)))
     return net, vocabulary
 
 
