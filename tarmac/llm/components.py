@@ -19,13 +19,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # stored, so that the join may split a hub's neighbours
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         turned = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stored(turned.filter("u > v").unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "cc")
         state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
-        discard(links.sparkSession, edges)
+        discard(links.sparkSession, edges, least)
         edges = new
         if state == before:
             break

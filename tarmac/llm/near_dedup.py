@@ -8,8 +8,8 @@ document is compared with its ``NEIGHBOURS`` predecessors, whatever the region's
 
 Links are confirmed in two rounds.  First each document's closest candidates; then all candidates that the first round
 left in different components.  In regions with more members than neighbours were compared, every pair from different
-components is then compared by signature, each small component against the whole region, so that no link between
-components is lost; pairs within one component need no test, as their link would change nothing.
+components is then compared by sketches of 1,024 minima, within blocks, each small component against the whole region,
+so that no link between components is lost; pairs within one component need no test, as their link would change nothing.
 
 The forest misses a pair at the threshold with probability (1 - j**depth)**trees (for 0.85, about 4e-7), and a signature
 estimate ``SLACK`` below the threshold rules a pair out (4.5 standard deviations).  Links themselves are exact up to
@@ -32,6 +32,8 @@ from .common import discard, shuffle_partitions, stored, table
 from .components import components
 
 WORDS, TREES, DEPTH, NEIGHBOURS, CLOSEST, SLACK = 5, 20, 4, 4, 4, 0.18
+#: Sketches of crowded regions: bytes, and the slack of their estimate (again 4.5 standard deviations); rows of a block's side.
+FINE, FINE_SLACK, BLOCK = 1_024, 0.05, 512
 #: Ids up to this number are broadcast to pick their texts (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes a Python worker keeps.
@@ -66,13 +68,17 @@ def factors(n: int) -> np.ndarray:
     return np.random.default_rng(20).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def minima(shingles: np.ndarray, a: np.ndarray) -> np.ndarray:
+    least = np.full(len(a), np.iinfo(np.uint64).max)
+    step = max(1, 160_000 // len(a))
+    for i in range(0, len(shingles), step):
+        least = np.minimum(least, np.multiply.outer(shingles[i : i + step], a).min(axis=0))
+    return least
+
+
 def signature(shingles: np.ndarray, a: np.ndarray) -> bytes:
     """The minima of the products with odd factors: their top 32 bits, big-endian, so that bytes sort like numbers."""
-    least = None
-    for i in range(0, len(shingles), 2048):
-        part = np.multiply.outer(shingles[i : i + 2048], a).min(axis=0)
-        least = part if least is None else np.minimum(least, part)
-    return (least >> np.uint64(32)).astype(">u4").tobytes()
+    return (minima(shingles, a) >> np.uint64(32)).astype(">u4").tobytes()
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, size: int) -> DataFrame:
@@ -167,31 +173,62 @@ def labelled(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return out.withColumns({f"{c}_comp": F.coalesce(f"{c}_comp", c) for c in "ab"})
 
 
-def crowded(members: DataFrame, comps: DataFrame, size: int, floor: float, ratio: float) -> DataFrame:
-    """Pairs (a, b) of crowded regions that lie in different components and may be linked, by signature.
-
-    Every component of a region but the largest is compared with the whole region.
-    """
-    region = members.filter(F.col("size") > NEIGHBOURS + 1).join(comps.withColumnRenamed("node", "id"), "id", "left")
-    region = region.withColumn("component", F.coalesce("component", "id"))
-    mixed = region.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    region = region.join(mixed, "bucket")
-    sizes = region.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
-    small = region.join(largest, "bucket").filter(F.col("component") != F.col("largest"))
-    cols = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("id", "component", "n", "turned")]
-    pairs = small.select("bucket", *cols("a")).join(region.select("bucket", *cols("b")), "bucket")
-    close = (F.col("a_component") != F.col("b_component")) & (F.least("a_n", "b_n") >= ratio * F.greatest("a_n", "b_n"))
-    id_type = dict(members.dtypes)["id"]
+def sketches(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, sketch): one byte of each of ``FINE`` minima, of the sets named by ``ids``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a = factors(FINE)
         for b in batches:
-            if len(b):
-                x, y = (np.frombuffer(b"".join(b[c]), np.uint32).reshape(len(b), size) for c in ("a_turned", "b_turned"))
-                near = (x == y).mean(axis=1) >= floor
-                yield pd.DataFrame({"a": b["a_id"][near], "b": b["b_id"][near]})
+            least = (minima(np.asarray(s, np.int64).view(np.uint64), a) for s in b["shingles"])
+            yield pd.DataFrame({"id": b["id"], "sketch": [(m >> np.uint64(20)).astype(np.uint8).tobytes() for m in least]})
 
-    found = pairs.filter(close).select("a_id", "b_id", "a_turned", "b_turned").mapInPandas(run, f"a {id_type}, b {id_type}")
+    return sets.join(ids, "id", "left_semi").mapInPandas(run, f"id {dict(ids.dtypes)['id']}, sketch binary")
+
+
+def crowded(members: DataFrame, comps: DataFrame, sets: DataFrame, ratio: float) -> DataFrame:
+    """Pairs (a, b) of crowded regions that lie in different components and may be linked, by their sketches.
+
+    Every component of a region but the largest is compared with the whole region, in blocks of about ``BLOCK`` rows a
+    side.  Only pairs that the sketches don't rule out leave a block.
+    """
+    id_type = dict(members.dtypes)["id"]
+    salts = F.ceil(F.col("size") / BLOCK)
+    region = members.filter(F.col("size") > NEIGHBOURS + 1).select("bucket", "id", "n", "size").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    region = stored(region.withColumn("component", F.coalesce("component", "id")), "region")
+    of_component = region.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.max("size").alias("size"))
+    mixed = of_component.groupBy("bucket").agg(
+        F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("rows"), F.max("k").alias("most"), F.max("size").alias("size")
+    ).filter("most < rows")
+    mixed = mixed.select(
+        "bucket", "largest", F.ceil(F.col("rows") / BLOCK).alias("tiles"), F.ceil((F.col("rows") - F.col("most")) / BLOCK).alias("blocks"),
+        F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"),
+    )
+    # a large region's rows meet its one row of ``mixed`` in several tasks
+    marked = region.withColumn("salt", F.pmod(F.xxhash64("id"), salts)).join(mixed, ["bucket", "salt"]).withColumn("small", F.col("component") != F.col("largest"))
+    marked = stored(marked.select("bucket", "id", "n", "component", "small", "tiles", "blocks"), "marked")
+    marked = marked.join(sketches(sets, marked.select("id").distinct()), "id")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n))
+    cols = ["bucket", "id", "n", "component", "small", "sketch"]
+    left = marked.filter("small").select(*cols, F.lit(True).alias("left"), own("block", "blocks").alias("block"), spread("tiles").alias("tile"))
+    right = marked.select(*cols, F.lit(False).alias("left"), spread("blocks").alias("block"), own("tile", "tiles").alias("tile"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[rows["left"]], rows[~rows["left"]]
+        of = {c: y[c].to_numpy() for c in ("id", "n", "component", "small")}
+        of_y = np.frombuffer(b"".join(y["sketch"]), np.uint8).reshape(len(y), FINE)
+        out_a, out_b = [], []
+        for i, n, component, sketch in zip(x["id"], x["n"], x["component"], x["sketch"], strict=True):
+            # two small ones meet twice: once is enough
+            near = (of["component"] != component) & (np.minimum(of["n"], n) >= ratio * np.maximum(of["n"], n)) & (~of["small"] | (of["id"] > i))
+            at = np.flatnonzero(near)
+            same = np.count_nonzero(of_y[at] == np.frombuffer(sketch, np.uint8), axis=1)
+            found = of["id"][at[same >= (ratio - FINE_SLACK) * FINE]].tolist()
+            out_a += [i] * len(found)
+            out_b += found
+        return pd.DataFrame({"a": out_a, "b": out_b})
+
+    found = left.unionByName(right).groupBy("bucket", "block", "tile").applyInPandas(run, f"a {id_type}, b {id_type}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -206,7 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", percen
     step = DEPTH * 4
     bucket = F.xxhash64("t", F.expr(f"substring(sig, t * {step} + 1, {step})"))
     trees = reps.select("id", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).withColumn("bucket", bucket)
-    shared = trees.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    # stored, so that the join may split a large region's rows
+    shared = stored(trees.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
     near = trees.select("id", "t", "bucket").join(shared, "bucket")
     turned = F.concat(F.expr(f"substring(sig, t * {step} + 1)"), F.expr(f"substring(sig, 1, t * {step})"))
     members = stored(near.join(reps.select("id", "n", "sig"), "id").select("t", turned.alias("turned"), "n", "id", "bucket", "size"), "members")
@@ -229,12 +267,12 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", percen
     comps = components(links)
     # second round: what's left between components, and crowded regions
     left = labelled(pairs, comps).filter("a_comp != b_comp").select("a", "b")
-    rest = crowded(members, comps, size, floor, ratio)
+    rest = crowded(members, comps, sets, ratio)
     untested = stored(left.unionByName(rest).distinct().join(first, ["a", "b"], "left_anti"), "untested")
     more = stored(confirmed(untested, sets, percent), "links")
     if more.head(1):
         comps = components(links.unionByName(more))
-    discard(spark, members, found, pairs, ids, sets, untested, more, links)
+    discard(spark, shared, members, found, pairs, ids, sets, untested, more, links)
     of_set = reps.select("set_hash", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
     of_set = of_set.select("set_hash", F.coalesce("component", "id").alias("component"))
     out = rows.select("id", "n", "set_hash").join(of_set, "set_hash", "left")

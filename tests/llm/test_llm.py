@@ -313,6 +313,23 @@ def test_near_dup_equals_brute_force(spark):
     assert near_dedup.near_duplicates(docs_of(spark, []), "doc_id").count() == 0
 
 
+def test_near_dup_crowded_regions_in_blocks(spark, monkeypatch):
+    """One crowd of texts alike but mostly not linked, dealt to many blocks; links inside it must not be lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in range(150)]
+    texts = []
+    for i in range(160):
+        own = list(base)
+        for at in rng.choice(150, rng.integers(2, 6), replace=False):
+            own[at] = f"v{i}x{at}"
+        texts.append(" ".join(own))
+    want, _ = brute_components(texts)
+    assert 3 < len(set(want)) < 157
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs_of(spark, texts), "doc_id").collect()}
+    assert [got[i]["component_id"] for i in range(len(texts))] == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
