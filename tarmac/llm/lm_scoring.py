@@ -1,8 +1,8 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Words are what white space separates, in lower case.  The model's vocabulary is the ``vocabulary`` most frequent words
-of all documents (ties: smaller word first); every other word is one unknown word.  The bigram count table covers all
-documents and is partitioned by the bigram's hash; documents' bigrams, counted within each document, are joined to it
+Words are what white space separates, in lower case.  Every word of the documents is one of the model's; with a
+``vocabulary``, only so many of the most frequent ones are (ties: smaller word first), and every other word is one
+unknown word.  The bigram count table covers all documents and is partitioned by the bigram's hash; documents' bigrams, counted within each document, are joined to it
 and their scores are summed per document.  Texts are read again for the join rather than their bigrams stored, as these
 take more room than the texts:
 
@@ -12,13 +12,15 @@ take more room than the texts:
 The first word follows the start mark, whose count is the number of documents with words.  Scores are integers of a
 millionth, so sums don't depend on their order.
 
-The vocabulary is a parameter of the model and bounds what is sent to the tasks; all counts cover all documents.  A
-bigram has one row for each document at most before the join, and adaptive execution splits the join's hot keys.
+The ``CODED`` most frequent words have short codes and counts that are sent to the tasks; the others go by a hash of
+the word, and their counts by a join with the bigrams that need them.  A bigram needs one count only: its first word's
+if it is seen, else its second word's.  A bigram has one row for each document at most before the join, and adaptive execution splits the join's hot keys.
 Null and empty texts have no words: score 0.  Rows with the same id are one document; rows without id, too.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 VOCABULARY, BACKOFF, MIN_COUNT = 65_000, 0.4, 2
-#: Ids of the unknown word and of the start mark; a bigram's key holds both words' ids.
-UNKNOWN, START, SHIFT = 0, 1, 17
+#: Codes of the unknown word and of the start mark; the key of a bigram of short codes holds both.
+UNKNOWN, START, SHIFT = 0, 1, 20
+#: Words with short codes when all words count; this only shortens keys.  Hashes remembered in a Python worker.
+CODED, MEMO = 250_000, 200_000
 #: A bigram and the row that it stands in, side by side in 64 bits.
 ROW_BITS = 20
 #: Distinct words counted in a Python worker before they're handed on, words whose bigrams it holds, rows of a batch.
@@ -62,27 +66,65 @@ def words_joined(text_col: str):
     return F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
 
 
-def held_bigrams(batches: Iterator[pa.RecordBatch], ids: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
-    """(key of each bigram, row of each, ids of the rows) for about ``HELD`` words at a time; a text is never parted."""
-    keys, rows, of_rows, n, row = [], [], [], 0, 0
+class Codes(dict):
+    """Codes of words: short ones from 0 up, else the word's hash, below 0 (the unknown word's code unless ``whole``)."""
+
+    def __init__(self, coded: dict[str, int], whole: bool):
+        self.coded, self.whole = coded, whole
+
+    def __missing__(self, word: str) -> int:
+        at = self.coded.get(word)
+        if at is None:
+            if not self.whole:
+                return UNKNOWN
+            at = hashed(word)
+        if len(self) > MEMO:
+            self.clear()
+        self[word] = at
+        return at
+
+
+def hashed(word: str) -> int:
+    digest = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(digest, "little") % (1 << 63) - (1 << 63)
+
+
+def keys_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Keys of bigrams: both short codes side by side, else a hash of both codes, below 0."""
+    x = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) + second.astype(np.uint64)
+    for by, shift in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(by)
+    x = (x ^ x >> np.uint64(31)) | np.uint64(1 << 63)
+    return np.where((first >= 0) & (second >= 0), first << SHIFT | second, x.view(np.int64))
+
+
+Held = tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]
+
+
+def held_bigrams(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[Held]:
+    """(first and second code of each bigram, row of each, ids of the rows) for about ``HELD`` words at a time; a text
+    is never parted."""
+    firsts, seconds, rows, of_rows, n, row = [], [], [], [], 0, 0
     for b in batches:
         of_batch = b.column("id") if "id" in b.schema.names else pa.nulls(len(b))
-        first = 0
+        begin = 0
         for i, text in enumerate(b.column("text").to_pylist()):
             words = text.split(" ")
             own = np.empty(len(words) + 1, np.int64)
             own[0] = START
-            own[1:] = [ids.get(w, UNKNOWN) for w in words]
-            keys.append(own[:-1] << SHIFT | own[1:])
+            own[1:] = list(map(codes.__getitem__, words))
+            firsts.append(own[:-1])
+            seconds.append(own[1:])
             rows.append(np.full(len(words), row, np.int64))
             n, row = n + len(words), row + 1
             if n >= HELD or row == 1 << ROW_BITS:
-                of_rows.append(of_batch.slice(first, i + 1 - first))
-                yield np.concatenate(keys), np.concatenate(rows), pa.concat_arrays(of_rows)
-                keys, rows, of_rows, n, row, first = [], [], [], 0, 0, i + 1
-        of_rows.append(of_batch.slice(first))
-    if keys:
-        yield np.concatenate(keys), np.concatenate(rows), pa.concat_arrays(of_rows)
+                of_rows.append(of_batch.slice(begin, i + 1 - begin))
+                yield np.concatenate(firsts), np.concatenate(seconds), np.concatenate(rows), pa.concat_arrays(of_rows)
+                firsts, seconds, rows, of_rows, n, row, begin = [], [], [], [], 0, 0, i + 1
+        of_rows.append(of_batch.slice(begin))
+    if firsts:
+        yield np.concatenate(firsts), np.concatenate(seconds), np.concatenate(rows), pa.concat_arrays(of_rows)
 
 
 def in_batches(**columns) -> Iterator[pa.RecordBatch]:
@@ -92,47 +134,75 @@ def in_batches(**columns) -> Iterator[pa.RecordBatch]:
 
 
 def score(
-    docs: DataFrame, id_col: str, text_col: str = "text", vocabulary: int = VOCABULARY, backoff: float = BACKOFF, min_count: int = MIN_COUNT
+    docs: DataFrame, id_col: str, text_col: str = "text", vocabulary: int | None = None, backoff: float = BACKOFF, min_count: int = MIN_COUNT
 ) -> DataFrame:
-    """(id, n_tokens, n_seen, score_micro): ``n_seen`` bigrams of a document were found in the count table."""
-    if vocabulary > (1 << SHIFT) - 2:
+    """(id, n_tokens, n_seen, score_micro): ``n_seen`` bigrams of a document were found in the count table.
+
+    Without a ``vocabulary``, every word counts as itself.
+    """
+    whole = vocabulary is None
+    coded = CODED if whole else vocabulary
+    if coded > (1 << SHIFT) - 2:
         raise ValueError("the vocabulary is too large for the bigram key")
     spark = docs.sparkSession
     counts = stored(word_counts(docs, text_col), "lm-words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(coded).collect()]
 
     ids = spark.sparkContext.broadcast({word: i + 2 for i, (word, _) in enumerate(top)})
     id_type = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), words_joined(text_col).alias("text")).filter("text != ''")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, _, _ in held_bigrams(batches, ids.value):
-            key, n = np.unique(keys, return_counts=True)
-            yield from in_batches(key=key, n=n)
+        for first, second, _, _ in held_bigrams(batches, Codes(ids.value, whole)):
+            keys = keys_of(first, second)
+            short = keys >= 0
+            key, n = np.unique(keys[short], return_counts=True)
+            none = pa.nulls(len(key), pa.int64())
+            yield from in_batches(key=key, n=n, first=none, second=none)
+            key, at, n = np.unique(keys[~short], return_index=True, return_counts=True)
+            yield from in_batches(key=key, n=n, first=first[~short][at], second=second[~short][at])
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, rows, of_rows in held_bigrams(batches, ids.value):
+        for first, second, rows, of_rows in held_bigrams(batches, Codes(ids.value, whole)):
+            keys = keys_of(first, second)
+            short = keys >= 0
             # ordered by key, which leaves less to shuffle
-            own, n = np.unique(keys << ROW_BITS | rows, return_counts=True)
+            own, n = np.unique(keys[short] << ROW_BITS | rows[short], return_counts=True)
             yield from in_batches(id=of_rows.take(pa.array(own & (1 << ROW_BITS) - 1)), key=own >> ROW_BITS, n=n.astype(np.int32))
+            key, at = np.unique(keys[~short], return_inverse=True)
+            own, n = np.unique(at << ROW_BITS | rows[~short], return_counts=True)
+            yield from in_batches(id=of_rows.take(pa.array(own & (1 << ROW_BITS) - 1)), key=key[own >> ROW_BITS], n=n.astype(np.int32))
+
+    def uncoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[~b["word"].isin(ids.value.keys())]
+            yield pd.DataFrame({"word": [hashed(w) for w in b["word"]], "c": b["n"].to_numpy()}, dtype=np.int64)
 
-    pairs = texts.select("text").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("pairs"))
+    pairs = texts.select("text").mapInArrow(counted, "key long, n long, first long, second long").groupBy("key").agg(
+        F.sum("n").alias("pairs"), F.min("first").alias("first"), F.min("second").alias("second")
+    )
     rows = texts.mapInArrow(bigrams, f"id {id_type}, key long, n int")
-    # bounded by the vocabulary
+    # bounded by the short codes
     starts = texts.count()
     singles = [(UNKNOWN, total - sum(n for _, n in top)), (START, starts), *((i + 2, n) for i, (_, n) in enumerate(top))]
-    of_word = spark.createDataFrame(singles, "word int, c long")
-    first = F.broadcast(of_word.select(F.col("word").alias("first"), F.col("c").alias("c_first")))
-    second = F.broadcast(of_word.select(F.col("word").alias("second"), F.col("c").alias("c_second")))
-    parts = pairs.withColumn("first", F.shiftright("key", SHIFT).cast("int")).withColumn("second", F.col("key").bitwiseAND((1 << SHIFT) - 1).cast("int"))
+    of_word = F.broadcast(spark.createDataFrame(singles, "word long, c long"))
     seen = F.col("pairs") >= min_count
-    ratio = F.when(seen, F.col("pairs") / F.col("c_first")).otherwise(F.lit(backoff) * F.col("c_second") / F.lit(float(total)))
-    scored = parts.join(first, "first").join(second, "second").select("key", seen.cast("int").alias("seen"), F.round(F.log(ratio) * 1e6).cast("long").alias("micro"))
+    first = F.coalesce("first", F.shiftright("key", SHIFT))
+    second = F.coalesce("second", F.col("key").bitwiseAND((1 << SHIFT) - 1))
+    parts = pairs.select("key", "pairs", seen.cast("int").alias("seen"), F.when(seen, first).otherwise(second).alias("word"))
+    ratio = F.when(F.col("seen") == 1, F.col("pairs") / F.col("c")).otherwise(F.lit(backoff) * F.col("c") / F.lit(float(total)))
+    micro = F.round(F.log(ratio) * 1e6).cast("long").alias("micro")
+    scored = parts.filter("word >= 0").join(of_word, "word").select("key", "seen", micro)
+    sums = F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("seen")).alias("n_seen"), F.sum(F.col("n") * F.col("micro")).alias("score_micro")
     # a partition of the count table is a hash table: the many bigrams of documents need no sort
-    sums = rows.join(scored.hint("shuffle_hash"), "key").groupBy("id").agg(
-        F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("seen")).alias("n_seen"), F.sum(F.col("n") * F.col("micro")).alias("score_micro")
-    )
+    found = rows.join(scored.hint("shuffle_hash"), "key").select("id", "n", "seen", "micro")
+    if whole:
+        # only what needs the count of a word without a short code is dealt out by word
+        rest = counts.mapInPandas(uncoded, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        needy = rows.join(parts.filter("word < 0").hint("shuffle_hash"), "key").select("id", "n", "pairs", "seen", "word")
+        found = found.unionByName(needy.join(rest, "word").select("id", "n", "seen", micro))
+    sums = found.groupBy("id").agg(*sums)
     every = docs.select(F.col(id_col).alias(id_col)).distinct()
     zero = F.lit(0).cast("long")
     return every.join(sums, every[id_col].eqNullSafe(sums["id"]), "left").select(
@@ -141,8 +211,16 @@ def score(
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff score of every whole document under the model of all documents."""
-    out = score(table(spark, sf_dir, "documents"), "doc_id")
+    """Stupid-backoff score of every whole document under the model of all documents, with the vocabulary of its SQL."""
+    return with_mean(score(table(spark, sf_dir, "documents"), "doc_id", vocabulary=VOCABULARY))
+
+
+def op1_lm_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under the model of all documents and all their words."""
+    return with_mean(score(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def with_mean(out: DataFrame) -> DataFrame:
     mean = F.when(F.col("n_tokens") > 0, F.col("score_micro") / F.col("n_tokens") / 1e6)
     return out.withColumn("mean_log_score", mean)
 

@@ -6,7 +6,7 @@ from .bpe import op7_bpe
 from .decontamination import op4_decontaminate
 from .hnsw import op5_ann
 from .html_text import op8_html_text
-from .lm_scoring import OP1_SQL, op1_lm_score
+from .lm_scoring import OP1_SQL, op1_lm_score, op1_lm_score_whole
 from .near_dedup import op9_near_dup
 from .secrets import op3_secrets
 from .sharding import op10_shard_ring
@@ -15,6 +15,7 @@ from .warc import op6_warc
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
+    "op1_lm_score_whole": op1_lm_score_whole,
     "op2_toxicity": op2_toxicity,
     "op3_secrets": op3_secrets,
     "op4_decontaminate": op4_decontaminate,

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,21 @@ def test_lm_scores_odd_rows(spark):
     assert lm_scoring.score(docs_of(spark, []), "doc_id").count() == 0
 
 
+def test_lm_scores_all_words(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [*ODD, *(" ".join(f"w{i}" for i in rng.zipf(1.3, 80)) for _ in range(60))]
+    docs = docs_of(spark, texts)
+    frame = docs.select("doc_id", "text").toPandas()  # noqa: F841
+    limit = f"LIMIT {lm_scoring.VOCABULARY}"
+    assert lm_scoring.OP1_SQL.count(limit) == 1
+    want = {r[0]: r[1:4] for r in duckdb.sql(lm_scoring.OP1_SQL.replace(limit, "").replace("FROM documents", "FROM frame")).fetchall()}
+    for coded in (lm_scoring.CODED, 50, 0):
+        monkeypatch.setattr(lm_scoring, "CODED", coded)
+        got = {r["doc_id"]: (r["n_tokens"], r["n_seen"], r["score_micro"]) for r in lm_scoring.score(docs, "doc_id").collect()}
+        assert got == want
+    assert {r["doc_id"]: r["score_micro"] for r in lm_scoring.score(docs, "doc_id", vocabulary=50).collect()} != {i: w[2] for i, w in want.items()}
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 
