@@ -34,7 +34,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, live secrets masked; ``n_chars`` follows the text."""
-    out = secrets.redacted(docs, secrets.scan(docs, "doc_id"), "doc_id")
+    out = secrets.redacted(docs, secrets.scan(docs, "doc_id", by_text=True), "doc_id")
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

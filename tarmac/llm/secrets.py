@@ -2,7 +2,8 @@
 
 Candidates come from three kinds of pattern.  Every candidate's hash is counted over the corpus: the distinct
 repositories and the distinct owners that hold it.  A value that several owners hold is a widely copied example
-(documentation, test fixtures); one that stays with a single owner and looks random is taken for a live credential.
+(documentation, test fixtures), for which copies of one text may count for one owner only; every other value that isn't
+a proven placeholder is taken for a live credential, short passwords included.
 
 Positions come from the pieces between matches: a match starts after all pieces and matches before it.  They count
 code points.  Null texts count as empty and have no candidates.  Rows with the same id are counted apart.
@@ -60,32 +61,55 @@ def listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, one))
 
 
-def looks_random(value: Column) -> Column:
-    """At least 16 characters of which at least 6 are different, not a placeholder of one repeated block."""
-    letters = F.size(F.array_distinct(F.split(value, "")))
-    return (F.length(value) >= 16) & (letters >= 6) & ~F.lower(value).rlike("example|placeholder|your|dummy|xxxx|changeme")
+#: Values that stand for a secret, in lower case: telling words, literals and types of code, one character repeated.
+PLACEHOLDER = (
+    r"example|placeholder|change_?me|redacted|x{6,}|(?:^|[^a-z0-9])(?:your|dummy)"
+    r"|^(?:none|null|nil|true|false|undefined|string|required|optional|process\.env\..*|os\.environ.*|getenv)$"
+    r"|^(.)\1+$|^[^a-z0-9]*$"
+)
+
+
+def is_placeholder(value: Column) -> Column:
+    return F.lower(value).rlike(PLACEHOLDER)
+
+
+def same_text(text: Column) -> Column:
+    """A hash that copies of a text share, white space and case aside."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
 
 
 def ownership(found: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
-    """(hash, repositories, owners) of every candidate value; pre-aggregated by owner, so a hot value stays small."""
+    """(hash, repositories, owners) of every candidate value; pre-aggregated by owner, so a hot value stays small.
+
+    With a column ``same``, all rows of one text count for its smallest owner.
+    """
+    same = "same" in found.columns
     values = found.select(
         F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"),
         F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
         F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["value"])))).alias("hash"),
+        *(["same"] if same else []),
     )
+    if same:
+        of_text = values.groupBy("hash", "same", "repo").agg(F.min("owner").alias("owner"))
+        repositories = of_text.groupBy("hash", "repo").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("repositories"))
+        first = of_text.groupBy("hash", "same").agg(F.min("owner").alias("owner"))
+        owners = first.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("owners"))
+        return repositories.join(owners, "hash")
     by_owner = values.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("repositories"), F.count("*").alias("owners"))
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", copied_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, id_col: str, text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", copied_owners: int = 3, by_text: bool = False) -> DataFrame:
     """A row for each candidate: id, kind, start, end, value, repositories, owners, verdict.
 
-    Verdict: ``copied`` if ``copied_owners`` owners or more hold the value, else ``live`` if it looks random, else
-    ``weak``.
+    Verdict: ``copied`` if ``copied_owners`` owners or more hold the value, else ``weak`` if it is a placeholder, else
+    ``live``.  With ``by_text``, the copies of one text count for one owner.
     """
     repo_col = repo_col or id_col
     kept = list(dict.fromkeys([id_col, repo_col, owner_col, "spans"]))
-    found = stored(candidates(docs, text_col).filter(F.size("spans") > 0).select(*kept), "secrets")
+    same = [same_text(F.col(text_col)).alias("same")] if by_text else []
+    found = stored(candidates(docs, text_col).filter(F.size("spans") > 0).select(*kept, *same), "secrets")
     return judged(found, id_col, repo_col, owner_col, copied_owners)
 
 
@@ -93,7 +117,7 @@ def judged(found: DataFrame, id_col: str, repo_col: str, owner_col: str, copied_
     rows = found.select(id_col, F.explode("spans").alias("s")).select(id_col, "s.*", F.xxhash64("s.value").alias("hash"))
     # a value held by most documents is one hot key of this join, which adaptive execution splits
     out = rows.join(ownership(found, repo_col, owner_col), "hash")
-    verdict = F.when(F.col("owners") >= copied_owners, "copied").when(looks_random(F.col("value")), "live").otherwise("weak")
+    verdict = F.when(F.col("owners") >= copied_owners, "copied").when(is_placeholder(F.col("value")), "weak").otherwise("live")
     names = F.array(*[F.lit(k[0]) for k in KINDS])
     return out.select(id_col, F.get(names, F.col("kind")).alias("kind"), "start", "end", "value", "repositories", "owners", verdict.alias("verdict"))
 
@@ -101,7 +125,8 @@ def judged(found: DataFrame, id_col: str, repo_col: str, owner_col: str, copied_
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Span counts and digests of every document, with its numbers of live and widely copied candidates."""
     docs = table(spark, sf_dir, "documents")
-    every = stored(candidates(docs).select("doc_id", "source", "spans"), "secret-spans")
+    same = F.when(F.size("spans") > 0, same_text(F.col("text"))).alias("same")
+    every = stored(candidates(docs).select("doc_id", "source", "spans", same), "secret-spans")
     found = every.filter(F.size("spans") > 0)
     verdicts = judged(found, "doc_id", "doc_id", "source", 3).groupBy("doc_id").agg(
         F.count_if(F.col("verdict") == "live").alias("n_live"), F.count_if(F.col("verdict") == "copied").alias("n_copied")

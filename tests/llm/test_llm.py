@@ -152,6 +152,24 @@ def test_secrets_odd_rows_and_masking(spark):
     assert secrets.scan(docs_of(spark, []), "doc_id").count() == 0
 
 
+def test_secrets_short_and_copied_texts(spark):
+    import corpus_pipeline
+
+    hexa = "3f9a1c7e5b2d8f604a9c1e7b3d5f8a2c6e0b4d71"
+    values = ["hunter2", "sunshine", "aB3$", "Tr0ub4dor", "q8Zr1LmX0pTv9Kd"]
+    shown = ["changeme", "your_token_here", "xxxxxxxx", "undefined", "00000000"]
+    texts = [f"password = {v} end" for v in [*values, *shown]] + [f"key {hexa}  end", f"key {hexa} end", f"Key {hexa} end "]
+    texts += [f"token: Zk93mdPq81 text {i}" for i in range(3)]
+    docs = docs_of(spark, texts)
+    masked = [r["text"] for r in corpus_pipeline.secrets_stage(spark, docs, SF).orderBy("doc_id").collect()]
+    assert masked[:5] == ["[SECRET] end", "[SECRET] end", texts[2], "[SECRET] end", "[SECRET] end"]
+    assert masked[5:10] == texts[5:10]
+    # copies of one text make no example, different texts of three sources do
+    assert all(hexa not in t for t in masked[10:13]) and masked[13:] == texts[13:]
+    got = {(r["kind"], r["repositories"], r["owners"]) for r in secrets.scan(docs, "doc_id", by_text=True).filter("owners > 1 or kind = 'hex'").collect()}
+    assert got == {("hex", 3, 1), ("assign", 3, 3)}
+
+
 # --- decontamination ------------------------------------------------------------------------------------------------
 
 
