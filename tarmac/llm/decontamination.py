@@ -2,19 +2,21 @@
 
 Benchmark texts are cut into passages of at most ``PASSAGE`` words.  Their TF-IDF rows, with document frequencies
 counted over all documents, go through a distributed randomised SVD, which gives the latent space.  Every document is
-folded into it by overlapping windows, long enough that each passage lies inside one, whole texts included; windows
-near a passage by cosine are its candidates.  A candidate is a leak if the longest common subsequence covers
+folded into it by overlapping windows, long enough that each passage lies inside one, whole texts included.  A space
+holds at most as many passages as it has dimensions, so products with them are those of the TF-IDF rows; a window is a
+passage's candidate if the product is what any leak has at least, whatever words surround it.  A candidate is a leak if the longest common subsequence covers
 ``STRICT`` of the passage's words, or ``LOOSE`` and the passage's answer (its last sentence) is there too; in both
 cases the shared words must carry as much of the passage's inverse document frequency, so that frequent words in
 common don't make a leak.
 
 The latent space is that of the benchmark's passages, not of the corpus: leading components of the corpus follow
 frequent words and lose the rare ones that tell a passage from others.  The benchmark is searched in blocks of
-``BLOCK`` passages; only a block's passages, terms and components are broadcast, which bounds them.
+``BLOCK`` passages, split into spaces of ``RANK``; only a block's passages, terms and components are broadcast, which
+bounds them.
 
-Null and empty texts match nothing; benchmark passages of fewer than ``LEAST`` words aren't searched, as such word
-sequences occur by chance.  Rows with the same id are one document that holds what any of
-them holds.  An
+Null and empty texts match nothing.  A benchmark item of fewer than ``LEAST`` words leaks where all its words stand
+in a row, an item of one word where it is the whole text, as such a word occurs by chance.  Rows with the same id are
+one document that holds what any of them holds.  An
 empty benchmark or corpus gives no rows.
 """
 
@@ -33,7 +35,9 @@ from .common import EDGES, stored, table
 
 PASSAGE, OVERLAP, LEAST, CELL = 48, 24, 6, 16
 RANK, EXTRA, ROUNDS, BLOCK = 128, 16, 2, 4_096
-COSINE, LENGTH, LOOSE, STRICT, ANSWER = 0.6, 0.45, 0.6, 0.8, 0.7
+LOOSE, STRICT, ANSWER = 0.6, 0.8, 0.7
+#: Share of the passage's inverse document frequency in a leak, as a part of its share of words; room for rounding.
+CARRIED, ROUNDING = 0.9, 0.99
 #: Raw words remembered in a Python worker, and cells searched at once.
 MEMO, AT_ONCE = 400_000, 512
 SENTENCE = re.compile(r"[.!?:]\s+")
@@ -62,7 +66,7 @@ def passages(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["item_id", "part", "words", "answer"])
 
     rows = benchmark.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(cut, "item_id long, part int, words array<string>, answer int").filter(F.size("words") >= LEAST)
+    return rows.mapInPandas(cut, "item_id long, part int, words array<string>, answer int").filter(F.size("words") > 0)
 
 
 class Terms(dict):
@@ -121,13 +125,20 @@ def number_type(vocabulary: dict[str, int]) -> type:
 
 
 def randomised_svd(rows: DataFrame, columns: int, rank: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(singular values, components (columns, rank)) of sparse rows (terms array<int>, weights array<double>).
+    """(singular values, components (columns, rank)) of sparse rows (terms array<int>, weights array<double>)."""
+    return randomised_svds(rows, [columns], rank, rounds)[0]
+
+
+def randomised_svds(rows: DataFrame, columns: list[int], rank: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same of several matrices side by side, whose rows have terms in their own columns only.
 
     The sketch A'(A X) is summed by column over the cluster; only (columns, rank) numbers reach the driver.
     """
     spark = rows.sparkSession
-    size = min(rank + EXTRA, columns)
-    x = np.random.default_rng(5).standard_normal((columns, size))
+    ends = np.cumsum(columns)
+    parts = [(slice(end - n, end), min(rank + EXTRA, n)) for end, n in zip(ends.tolist(), columns, strict=True)]
+    size = max(n for _, n in parts)
+    x = np.random.default_rng(5).standard_normal((int(ends[-1]), size))
 
     def sketched(x: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(x)
@@ -147,26 +158,33 @@ def randomised_svd(rows: DataFrame, columns: int, rank: int, rounds: int = ROUND
             return b[["term", "y"]]
 
         got = rows.mapInPandas(part, "term long, y array<double>").groupBy("term").applyInPandas(total, "term long, y array<double>")
-        out = np.zeros((columns, size))
+        out = np.zeros(x.shape)
         for term, y in got.collect():
             out[term] = y
         return out
 
     for _ in range(rounds):
-        x, _ = np.linalg.qr(sketched(x))
+        y = sketched(x)
+        x = np.zeros(y.shape)
+        for at, n in parts:
+            x[at, :n], _ = np.linalg.qr(y[at, :n])
     last = sketched(x)
-    # x'A'Ax of the subspace found
-    values, turn = np.linalg.eigh(x.T @ last)
-    best = np.argsort(-values)[: min(rank, size)]
-    best = best[values[best] > 1e-9]
-    return np.sqrt(values[best]), x @ turn[:, best]
+    out = []
+    for at, n in parts:
+        # x'A'Ax of the subspace found
+        values, turn = np.linalg.eigh(x[at, :n].T @ last[at, :n])
+        best = np.argsort(-values)[: min(rank, n)]
+        best = best[values[best] > 1e-9]
+        out.append((np.sqrt(values[best]), x[at, :n] @ turn[:, best]))
+    return out
 
 
 @dataclass
 class Space:
-    """What a task needs to search a block's passages."""
+    """What a task needs to search the passages of one latent space."""
 
-    vocabulary: dict[str, int]
+    #: The space's own number of each term of the block, 0 for terms of other spaces.
+    own: np.ndarray
     #: Latent vector of each term times its inverse document frequency; row 0 is zero.
     terms: np.ndarray
     idf: np.ndarray
@@ -175,7 +193,8 @@ class Space:
     words: list[np.ndarray]
     answers: list[int]
     units: np.ndarray
-    norms: np.ndarray
+    #: Least product of a leak with each unit vector.
+    floors: np.ndarray
 
     def __post_init__(self):
         lengths = np.array([len(w) for w in self.words])
@@ -203,23 +222,78 @@ def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
     return n - state.bit_count()
 
 
-def space(spark: SparkSession, block: list, vocabulary: dict[str, int], frequency: np.ndarray, rank: int) -> Space:
-    """The latent space of a block of passages."""
+@dataclass
+class Short:
+    """Items of fewer than ``LEAST`` words, by the hash of their term numbers."""
+
+    items: dict[int, dict[int, list[tuple[tuple[int, ...], int]]]]
+
+    @staticmethod
+    def of(rows: list, vocabulary: dict[str, int]) -> Short:
+        items: dict = {}
+        for r in rows:
+            words = np.array([vocabulary[w] for w in r["words"]], np.int64)
+            at = int(run_hashes(words, len(words))[0])
+            items.setdefault(len(words), {}).setdefault(at, []).append((tuple(words.tolist()), r["item_id"]))
+        return Short(items)
+
+    def within(self, ids: np.ndarray) -> list[tuple[int, float, float]]:
+        found = set()
+        for n, by_hash in self.items.items():
+            if len(ids) < n or (n == 1 and len(ids) > 1):
+                continue
+            hashes = run_hashes(ids.astype(np.int64), n)
+            for i in np.flatnonzero(np.isin(hashes, np.fromiter(by_hash, np.int64, len(by_hash)))).tolist():
+                run = tuple(ids[i : i + n].tolist())
+                found.update(item for words, item in by_hash[int(hashes[i])] if words == run)
+        return [(item, 1.0, 1.0) for item in sorted(found)]
+
+
+def run_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` numbers in a row."""
+    out = np.zeros(len(ids) - n + 1, np.int64)
+    for k in range(n):
+        out = out * 1_000_003 + ids[k : k + len(out)]
+    return out
+
+
+def spaces(spark: SparkSession, block: list, frequency: np.ndarray, vocabulary: dict[str, int], rank: int) -> list[Space]:
+    """The latent spaces of a block of passages, each of at most ``rank`` passages."""
+    n = -(-len(block) // rank)
+    groups = [block[k::n] for k in range(n)]
     idf = np.log((frequency[0] + 1) / (frequency + 0.5)).clip(min=0)
-    idf[0] = 0
-    words = [np.array([vocabulary[w] for w in r["words"]], np.int32) for r in block]
-    sparse = []
-    for own in words:
-        at, n = np.unique(own, return_counts=True)
-        weight = n * idf[at]
-        sparse.append((at.tolist(), (weight / max(np.linalg.norm(weight), 1e-12)).tolist()))
+    of_group, sparse, first = [], [], 0
+    for group in groups:
+        words = [np.array([vocabulary[w] for w in r["words"]], np.int32) for r in group]
+        terms = np.unique(np.concatenate(words))
+        own = np.zeros(len(frequency), np.int32)
+        own[terms] = np.arange(1, len(terms) + 1)
+        words, weights = [own[w] for w in words], np.concatenate([[0], idf[terms]])
+        of_group.append((own, words, weights))
+        for w in words:
+            at, times = np.unique(w, return_counts=True)
+            weight = times * weights[at]
+            sparse.append(((first + at).tolist(), (weight / max(np.linalg.norm(weight), 1e-12)).tolist()))
+        first += len(weights)
     rows = spark.createDataFrame(pd.DataFrame(sparse, columns=["terms", "weights"]), "terms array<int>, weights array<double>")
-    _, components = randomised_svd(rows, len(vocabulary) + 1, min(rank, len(block)))
-    terms = (components * idf[:, None]).astype(np.float32)
-    latent = np.stack([terms[w].sum(0) for w in words])
-    norms = np.linalg.norm(latent, axis=1).clip(min=1e-9)
-    units = (latent / norms[:, None]).astype(np.float32)
-    return Space(vocabulary, terms, idf, [r["item_id"] for r in block], words, [r["answer"] for r in block], units, norms)
+    svds = randomised_svds(rows, [len(weights) for _, _, weights in of_group], rank)
+    out = []
+    for group, (own, words, weights), (_, components) in zip(groups, of_group, svds, strict=True):
+        terms = (components * weights[:, None]).astype(np.float32)
+        latent = np.stack([terms[w].sum(0) for w in words])
+        norms = np.linalg.norm(latent, axis=1).clip(min=1e-9)
+        units = (latent / norms[:, None]).astype(np.float32)
+        floors = (ROUNDING * np.array([least_product(weights[w]) for w in words]) / norms).astype(np.float32)
+        out.append(Space(own, terms, weights, [r["item_id"] for r in group], words, [r["answer"] for r in group], units, floors))
+    return out
+
+
+def least_product(idf: np.ndarray) -> float:
+    """Least sum of squares of those of a passage's ``idf`` that carry what a leak must: the smallest come first."""
+    idf = np.sort(idf)
+    need = CARRIED * LOOSE * idf.sum()
+    before = np.concatenate([[0], np.cumsum(idf)[:-1]])
+    return float((idf * (need - before).clip(0, idf)).sum())
 
 
 def leaks_of(s: Space, ids: list[np.ndarray]) -> list[list[tuple[int, float, float]]]:
@@ -256,10 +330,9 @@ def searched(s: Space, ids: list[np.ndarray]) -> list[list[tuple[int, float, flo
         if not len(which):
             continue
         windows = sum(sums[k : k + first[-1]] for k in range(width))
-        norms = np.sqrt(np.einsum("ij,ij->i", windows, windows)).clip(min=1e-9)
         near = windows @ s.units[which].T
-        # a window that holds LOOSE of a passage has about as much of its vector; few shared words give a cosine, but no length
-        close = starts & (near >= COSINE * norms[:, None]) & (near >= LENGTH * s.norms[which])
+        close = starts & (near >= s.floors[which])
+        norms = np.sqrt(np.einsum("ij,ij->i", windows, windows)).clip(min=1e-9)
         for w, p in np.argwhere(close):
             judged(s, int(which[p]), flat[w * CELL : (w + width) * CELL], float(near[w, p] / norms[w]), best[text_of[w]])
     return [[(item, *found) for item, found in sorted(own.items())] for own in best]
@@ -274,7 +347,7 @@ def judged(s: Space, passage: int, window: np.ndarray, cosine: float, best: dict
     length = common_subsequence(s.masks[passage], n, here)
     share = length / n
     present = np.isin(words, window)
-    if share < LOOSE or s.idf[words[present]].sum() < share * s.idf[words].sum() * 0.9:
+    if share < LOOSE or s.idf[words[present]].sum() < share * s.idf[words].sum() * CARRIED:
         return
     if share < STRICT:
         answer = words[n - s.answers[passage] :]
@@ -302,20 +375,26 @@ def contaminated(
         if own:
             vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for r in own for w in r["words"]}))}
             numbers, frequency = numbered(docs, id_col, text_col, vocabulary)
-            out = out.unionByName(found_in(numbers, space(spark, own, vocabulary, frequency, rank)))
+            long = [r for r in own if len(r["words"]) >= LEAST]
+            short = Short.of([r for r in own if len(r["words"]) < LEAST], vocabulary)
+            searches = spaces(spark, long, frequency, vocabulary, rank) if long else []
+            out = out.unionByName(found_in(numbers, searches, short, number_type(vocabulary)))
     best = out.groupBy("id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"))
     return best.select(F.col("id").cast(id_type).alias(id_col), "item_id", "cosine", "lcs_share")
 
 
-def found_in(numbers: DataFrame, s: Space) -> DataFrame:
+def found_in(numbers: DataFrame, searches: list[Space], short: Short, kind: type) -> DataFrame:
     """Leaks of the numbered documents (stored)."""
-    shared = numbers.sparkSession.sparkContext.broadcast(s)
-    kind = number_type(s.vocabulary)
+    shared = numbers.sparkSession.sparkContext.broadcast((searches, short))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        searches, short = shared.value
         for b in batches:
-            found = leaks_of(shared.value, [np.frombuffer(x, kind) for x in b["numbers"]])
-            rows = [(i, *leak) for i, own in zip(b["id"], found, strict=True) for leak in own]
+            ids = [np.frombuffer(x, kind) for x in b["numbers"]]
+            rows = [(i, *leak) for i, x in zip(b["id"], ids, strict=True) for leak in short.within(x)] if short.items else []
+            for s in searches:
+                found = leaks_of(s, [s.own[x] for x in ids])
+                rows += [(i, *leak) for i, own in zip(b["id"], found, strict=True) for leak in own]
             yield pd.DataFrame(rows, columns=["id", "item_id", "cosine", "lcs_share"])
 
     return stored(numbers.mapInPandas(run, f"id string, {LEAK}"), "leaks")

@@ -193,6 +193,39 @@ def test_decontamination(spark):
     assert decontamination.without_leaks(docs, bench).count() == len(texts) - 4
 
 
+def test_decontamination_of_many_passages(spark):
+    rng = np.random.default_rng(12)
+    share = 1 / np.arange(1, 4001)
+    usual = lambda n: [f"w{i}" for i in rng.choice(4000, n, p=share / share.sum())]
+    items = [usual(n) for n in rng.integers(15, 49, 600)]
+    exact = [" ".join([*usual(60), *item, *usual(60)]) for item in items]
+    altered = []
+    for item in items[:60]:
+        # words that no other text has, for 15 of 100 words
+        own = list(item)
+        for at in rng.choice(len(own), int(0.15 * len(own)), replace=False):
+            own[at] = f"new{at}"
+        altered.append(" ".join([*usual(60), *own, *usual(60)]))
+    texts = [*exact, *altered, "say quite a short thing", "quite short", "yes", "yes sir"]
+    short = [(1000, "Quite a short, thing"), (1001, "yes"), (1002, "a quite")]
+    bench = spark.createDataFrame([*((i, " ".join(x)) for i, x in enumerate(items)), *short], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, texts), bench).collect()}
+    missed = [i for i in range(600) if (i, i) not in got]
+    print("missed", len(missed), "of 600 exact copies; altered copies found:", len({(600 + i, i) for i in range(60)} & got), "of 60")
+    assert not missed
+    assert {x for x in got if x[1] >= 1000} == {(660, 1000), (662, 1001)}
+
+
+def test_no_leak_is_below_the_least_product():
+    rng = np.random.default_rng(13)
+    for _ in range(300):
+        idf = rng.exponential(2, rng.integers(6, 49))
+        least = decontamination.least_product(idf)
+        for order in (rng.permutation(len(idf)), np.argsort(idf)):
+            n = 1 + int(np.argmax(np.cumsum(idf[order]) >= decontamination.CARRIED * decontamination.LOOSE * idf.sum()))
+            assert (idf[order[:n]] ** 2).sum() >= least * 0.999999
+
+
 def test_common_subsequence():
     def slow(a, b):
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
