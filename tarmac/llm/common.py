@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where the session names no shared folder, that is in tests on one machine.
+#: Used where a local session names no shared folder, that is in tests on one machine.
 LOCAL_SHARED = "/tmp/tarmac-shared"
 #: What is cut off both ends of a word.
 EDGES = ".,;:!?()[]{}<>\"'`*_-/\\|«»“”‘’„…–—¡¿#"
@@ -19,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors see."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder of ``spark.checkpoint.dir``, which all executors see; on a cluster it must be set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or LOCAL_SHARED
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

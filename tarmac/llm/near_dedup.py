@@ -1,22 +1,24 @@
 """Near-duplicates by MinHash with an LSH forest; every link is confirmed on full shingle sets.
 
-A document's set holds its distinct five-word shingles.  Equal sets are grouped first, by a 128-bit hash, and only one
-document of each group goes on.  Its signature of ``trees * depth`` minima is sorted in ``trees`` orders, each starting
+A document's set holds its distinct five-word shingles.  Equal sets are one node, named by a 128-bit hash, and only
+one document of each goes on.  Its signature of ``trees * depth`` minima is sorted in ``trees`` orders, each starting
 at another minimum.  A region of an order is a run of signatures that share at least ``depth`` leading minima.  Within
 a region neighbours have the longest common prefixes, so sorting adapts the depth to how crowded the region is: each
 document is compared with its ``NEIGHBOURS`` predecessors, whatever the region's size.
 
 Links are confirmed in two rounds.  First each document's closest candidates; then all candidates that the first round
-left in different components.  In regions with more members than neighbours were compared, every pair from different
-components is then compared by sketches of 1,024 minima, within blocks, each small component against the whole region,
-so that no link between components is lost; pairs within one component need no test, as their link would change nothing.
+left in different components.  In regions with more members than neighbours were compared, each small component is also
+compared with the whole region, in blocks of bounded size: a block's task counts the shared shingles of all its pairs
+on their full sets and hands on a spanning forest of the links it finds, at most one link fewer than it has rows.  No
+link between components is lost; pairs within one component need no test, as their link would change nothing.
 
 The forest misses a pair at the threshold with probability (1 - j**depth)**trees (for 0.85, about 4e-7), and a signature
 estimate ``SLACK`` below the threshold rules a pair out (4.5 standard deviations).  Links themselves are exact up to
 collisions of 64-bit shingle hashes.
 
 Texts without words have an empty set and are linked with nothing; null texts count as empty.  Rows with the same id
-are linked by their texts like others.  Rows without id never represent a class.
+and different texts are linked by their own texts each.  Rows without id are linked like others but never represent a
+class; in a class without any id all rows are kept.  Other columns aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from .common import discard, shuffle_partitions, stored, table
 from .components import components
 
 WORDS, TREES, DEPTH, NEIGHBOURS, CLOSEST, SLACK = 5, 20, 4, 4, 4, 0.18
-#: Sketches of crowded regions: bytes, and the slack of their estimate (again 4.5 standard deviations); rows of a block's side.
-FINE, FINE_SLACK, BLOCK = 1_024, 0.05, 512
+#: Of a crowded region's block: rows and shingles of a side, columns of a counting step.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 18, 4_096
 #: Ids up to this number are broadcast to pick their texts (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes a Python worker keeps.
@@ -81,42 +83,57 @@ def signature(shingles: np.ndarray, a: np.ndarray) -> bytes:
     return (minima(shingles, a) >> np.uint64(32)).astype(">u4").tobytes()
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, size: int) -> DataFrame:
-    """(row columns id, n, set_hash, sig); sig and set_hash are null for empty sets."""
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, th): ``th`` is a hash of the text, which tells rows with the same id apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
 
+def node_of(shingles: np.ndarray) -> bytes | None:
+    import xxhash
+
+    return xxhash.xxh128_digest(shingles.tobytes()) if len(shingles) else None
+
+
+def signatures(rows: DataFrame, words: int, size: int) -> DataFrame:
+    """(id, th, n, node, sig) of rows (id, text, th); node and sig are null for empty sets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, a = WordHashes(), factors(size)
         for b in batches:
-            n, keys, sigs = [], [], []
+            n, nodes, sigs = [], [], []
             for text in b["text"]:
                 s = shingle_set(text, hashes, words)
                 n.append(len(s))
-                keys.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
+                nodes.append(node_of(s))
                 sigs.append(signature(s, a) if len(s) else None)
-            yield pd.DataFrame({"id": b["id"], "n": n, "set_hash": keys, "sig": sigs})
+            yield pd.DataFrame({"id": b["id"], "th": b["th"], "n": n, "node": nodes, "sig": sigs})
 
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id string, n long, set_hash binary, sig binary").withColumn("id", F.col("id").cast(dict(docs.dtypes)[id_col]))
+    id_type = dict(rows.dtypes)["id"]
+    # as strings, so that null ids don't turn numbers into floating point
+    texts = rows.withColumn("id", F.col("id").cast("string"))
+    return texts.mapInPandas(run, "id string, th long, n long, node binary, sig binary").withColumn("id", F.col("id").cast(id_type))
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, shingles array<long>) of the documents in ``ids``; of rows with the same id, any one whose set is named."""
+def shingle_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles array<long>) of the nodes in ``wanted`` (node, rep): read again from the rows that represent them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "shingles": [shingle_set(t, hashes, words).view(np.int64) for t in b["text"]]})
+            sets = [shingle_set(t, hashes, words) for t in b["text"]]
+            yield pd.DataFrame({"node": [node_of(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    small = ids.count() <= BROADCAST_IDS
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    return picked.mapInPandas(run, f"id {dict(ids.dtypes)['id']}, shingles array<long>")
+    small = wanted.count() <= BROADCAST_IDS
+    reps = wanted.select(F.col("rep.id").alias("__id"), F.col("rep.th").alias("__th"))
+    here = (F.col("th") == F.col("__th")) & F.col("id").eqNullSafe(F.col("__id"))
+    picked = rows.join(F.broadcast(reps) if small else reps, here, "left_semi")
+    # repeated rows give their set more than once
+    return picked.select("text").mapInPandas(run, "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
 def candidates(rows: DataFrame, size: int, floor: float, ratio: float) -> DataFrame:
-    """(a, b, est) of rows (t, turned, n, id) sorted by t and turned: each with its predecessors in the region."""
-    id_type = dict(rows.dtypes)["id"]
+    """(a, b, est) of rows (t, turned, n, node) sorted by t and turned: each with its predecessors in the region."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -133,18 +150,18 @@ def candidates(rows: DataFrame, size: int, floor: float, ratio: float) -> DataFr
         if held is not None:
             yield edge_rows(held)
 
-    schema = f"a {id_type}, b {id_type}, est double, t int, turned binary, n long"
+    schema = "a binary, b binary, est double, t int, turned binary, n long"
     return rows.mapInPandas(run, schema)
 
 
 def edge_rows(b: pd.DataFrame) -> pd.DataFrame:
     """Rows at a partition's ends, to be compared with the next partition's."""
-    return pd.DataFrame({"a": b["id"], "b": b["id"], "est": -1.0, "t": b["t"], "turned": b["turned"], "n": b["n"]})
+    return pd.DataFrame({"a": b["node"], "b": b["node"], "est": -1.0, "t": b["t"], "turned": b["turned"], "n": b["n"]})
 
 
 def compared(b: pd.DataFrame, old: int, size: int, floor: float, ratio: float) -> pd.DataFrame:
     sig = np.frombuffer(b"".join(b["turned"]), ">u4").reshape(len(b), size).astype(np.uint32)
-    ids, t, n = b["id"].to_numpy(), b["t"].to_numpy(), b["n"].to_numpy()
+    nodes, t, n = b["node"].to_numpy(), b["t"].to_numpy(), b["n"].to_numpy()
     out = []
     for lag in range(1, NEIGHBOURS + 1):
         i = np.arange(max(old, lag), len(b))
@@ -153,14 +170,14 @@ def compared(b: pd.DataFrame, old: int, size: int, floor: float, ratio: float) -
         i, j = i[same], j[same]
         est = (sig[i] == sig[j]).mean(axis=1)
         near = est >= floor
-        out.append(pd.DataFrame({"a": ids[i][near], "b": ids[j][near], "est": est[near]}))
+        out.append(pd.DataFrame({"a": nodes[i][near], "b": nodes[j][near], "est": est[near]}))
     return pd.concat(out, ignore_index=True).assign(t=0, turned=None, n=0)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("r"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("r"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("s", "r"))
     return both.filter(100 * common >= percent * (F.size("s") + F.size("r") - common)).select("a", "b")
@@ -173,92 +190,120 @@ def labelled(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return out.withColumns({f"{c}_comp": F.coalesce(f"{c}_comp", c) for c in "ab"})
 
 
-def sketches(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, sketch): one byte of each of ``FINE`` minima, of the sets named by ``ids``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = factors(FINE)
-        for b in batches:
-            least = (minima(np.asarray(s, np.int64).view(np.uint64), a) for s in b["shingles"])
-            yield pd.DataFrame({"id": b["id"], "sketch": [(m >> np.uint64(20)).astype(np.uint8).tobytes() for m in least]})
-
-    return sets.join(ids, "id", "left_semi").mapInPandas(run, f"id {dict(ids.dtypes)['id']}, sketch binary")
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Numbers of shingles that each set of ``x`` shares with each of ``y``."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(flat_x, flat_y)
+    places = []
+    for flat, sets in ((flat_x, x), (flat_y, y)):
+        at = np.searchsorted(both, flat).clip(max=max(len(both) - 1, 0))
+        known = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        row, column = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[known], at[known]
+        order = np.argsort(column, kind="stable")
+        places.append((row[order], column[order], len(sets)))
+    for i in range(0, len(both), COLUMNS):
+        parts = []
+        for row, column, n in places:
+            here = slice(*np.searchsorted(column, [i, i + COLUMNS]))
+            part = np.zeros((n, min(COLUMNS, len(both) - i)), np.float32)
+            part[row[here], column[here] - i] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def forest(linked: np.ndarray, of_x: np.ndarray, of_y: np.ndarray) -> list[tuple[int, int]]:
+    """Places (row, column) of ``linked`` that join components: at most one fewer than there are components."""
+    _, label = np.unique(np.concatenate([of_x, of_y]), return_inverse=True)
+    out = []
+    for i in np.flatnonzero(linked.any(axis=1)).tolist():
+        at = np.flatnonzero(linked[i])
+        own, first = np.unique(label[len(of_x) + at], return_index=True)
+        for other, k in zip(own.tolist(), first.tolist(), strict=True):
+            if other != label[i]:
+                out.append((i, int(at[k])))
+                label[label == other] = label[i]
+    return out
 
 
-def crowded(members: DataFrame, comps: DataFrame, sets: DataFrame, ratio: float) -> DataFrame:
-    """Pairs (a, b) of crowded regions that lie in different components and may be linked, by their sketches.
+def crowded(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of crowded regions that join different components, confirmed on full sets.
 
-    Every component of a region but the largest is compared with the whole region, in blocks of about ``BLOCK`` rows a
-    side.  Only pairs that the sketches don't rule out leave a block.
+    Every component of a region but the largest is compared with the whole region, in blocks of about ``BLOCK`` rows
+    or ``BLOCK_SHINGLES`` shingles a side.  Only a spanning forest of the links found leaves a block.
     """
-    id_type = dict(members.dtypes)["id"]
     salts = F.ceil(F.col("size") / BLOCK)
-    region = members.filter(F.col("size") > NEIGHBOURS + 1).select("bucket", "id", "n", "size").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    region = stored(region.withColumn("component", F.coalesce("component", "id")), "region")
-    of_component = region.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.max("size").alias("size"))
-    mixed = of_component.groupBy("bucket").agg(
-        F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("rows"), F.max("k").alias("most"), F.max("size").alias("size")
-    ).filter("most < rows")
-    mixed = mixed.select(
-        "bucket", "largest", F.ceil(F.col("rows") / BLOCK).alias("tiles"), F.ceil((F.col("rows") - F.col("most")) / BLOCK).alias("blocks"),
+    region = members.filter(F.col("size") > NEIGHBOURS + 1).select("bucket", "node", "n", "size").join(comps, "node", "left")
+    region = stored(region.withColumn("component", F.coalesce("component", "node")), "region")
+    of_component = region.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("weight"), F.max("size").alias("size"))
+    biggest = F.max_by(F.struct("component", "k", "weight"), F.struct("k", "component")).alias("largest")
+    mixed = of_component.groupBy("bucket").agg(biggest, F.sum("k").alias("rows"), F.sum("weight").alias("weight"), F.max("size").alias("size"))
+    blocks = lambda rows, weight: F.ceil(F.greatest(rows / BLOCK, weight / BLOCK_SHINGLES))
+    mixed = mixed.filter("largest.k < rows").select(
+        "bucket", F.col("largest.component").alias("largest"), blocks(F.col("rows"), F.col("weight")).alias("tiles"),
+        blocks(F.col("rows") - F.col("largest.k"), F.col("weight") - F.col("largest.weight")).alias("blocks"),
         F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"),
     )
     # a large region's rows meet its one row of ``mixed`` in several tasks
-    marked = region.withColumn("salt", F.pmod(F.xxhash64("id"), salts)).join(mixed, ["bucket", "salt"]).withColumn("small", F.col("component") != F.col("largest"))
-    marked = stored(marked.select("bucket", "id", "n", "component", "small", "tiles", "blocks"), "marked")
-    marked = marked.join(sketches(sets, marked.select("id").distinct()), "id")
+    marked = region.withColumn("salt", F.pmod(F.xxhash64("node"), salts)).join(mixed, ["bucket", "salt"]).withColumn("small", F.col("component") != F.col("largest"))
+    marked = marked.select("bucket", "node", "n", "component", "small", "tiles", "blocks").join(sets, "node")
+    marked = stored(marked, "marked")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n))
-    cols = ["bucket", "id", "n", "component", "small", "sketch"]
+    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n))
+    cols = ["bucket", "node", "n", "component", "small", "shingles"]
     left = marked.filter("small").select(*cols, F.lit(True).alias("left"), own("block", "blocks").alias("block"), spread("tiles").alias("tile"))
     right = marked.select(*cols, F.lit(False).alias("left"), spread("blocks").alias("block"), own("tile", "tiles").alias("tile"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = rows[rows["left"]], rows[~rows["left"]]
-        of = {c: y[c].to_numpy() for c in ("id", "n", "component", "small")}
-        of_y = np.frombuffer(b"".join(y["sketch"]), np.uint8).reshape(len(y), FINE)
-        out_a, out_b = [], []
-        for i, n, component, sketch in zip(x["id"], x["n"], x["component"], x["sketch"], strict=True):
-            # two small ones meet twice: once is enough
-            near = (of["component"] != component) & (np.minimum(of["n"], n) >= ratio * np.maximum(of["n"], n)) & (~of["small"] | (of["id"] > i))
-            at = np.flatnonzero(near)
-            same = np.count_nonzero(of_y[at] == np.frombuffer(sketch, np.uint8), axis=1)
-            found = of["id"][at[same >= (ratio - FINE_SLACK) * FINE]].tolist()
-            out_a += [i] * len(found)
-            out_b += found
-        return pd.DataFrame({"a": out_a, "b": out_b})
-
-    found = left.unionByName(right).groupBy("bucket", "block", "tile").applyInPandas(run, f"a {id_type}, b {id_type}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found: list = []
+        if len(x) and len(y):
+            common = shared_counts(x["shingles"].tolist(), y["shingles"].tolist())
+            both = x["n"].to_numpy()[:, None] + y["n"].to_numpy()[None, :]
+            linked = 100 * common >= percent * (both - common)
+            found = forest(linked, x["component"].to_numpy(), y["component"].to_numpy())
+        a, b = x["node"].to_numpy(), y["node"].to_numpy()
+        return pd.DataFrame({"a": [a[i] for i, _ in found], "b": [b[j] for _, j in found]})
+
+    found = left.unionByName(right).groupBy("bucket", "block", "tile").applyInPandas(run, "a binary, b binary")
+    out = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crowded")
+    discard(members.sparkSession, region, marked)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", percent: int = 85, words: int = WORDS) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row: component_id is the smallest id reachable over links."""
+    """(id, n_shingles, component_id, kept, th) of every row: component_id is the smallest id reachable over links, th
+    the hash of its text."""
     spark = docs.sparkSession
     size, ratio, floor = TREES * DEPTH, percent / 100, percent / 100 - SLACK
-    rows = stored(signatures(docs, id_col, text_col, words, size), "sigs")
+    texts = identified(docs, id_col, text_col)
+    rows = stored(signatures(texts, words, size), "sigs")
     # one document for each distinct set; a group of copies is reduced before the shuffle
-    reps = rows.filter("n > 0 and id is not null").groupBy("set_hash").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = rows.filter("n > 0").groupBy("node").agg(
+        F.min("id").alias("id"), F.max(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")
+    )
     reps = stored(reps, "reps")
     step = DEPTH * 4
     bucket = F.xxhash64("t", F.expr(f"substring(sig, t * {step} + 1, {step})"))
-    trees = reps.select("id", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).withColumn("bucket", bucket)
+    trees = reps.select("node", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).withColumn("bucket", bucket)
     # stored, so that the join may split a large region's rows
     shared = stored(trees.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
-    near = trees.select("id", "t", "bucket").join(shared, "bucket")
+    near = trees.select("node", "t", "bucket").join(shared, "bucket")
     turned = F.concat(F.expr(f"substring(sig, t * {step} + 1)"), F.expr(f"substring(sig, 1, t * {step})"))
-    members = stored(near.join(reps.select("id", "n", "sig"), "id").select("t", turned.alias("turned"), "n", "id", "bucket", "size"), "members")
-    order = members.select("t", "turned", "n", "id")
+    members = stored(near.join(reps.select("node", "n", "sig"), "node").select("t", turned.alias("turned"), "n", "node", "bucket", "size"), "members")
+    order = members.select("t", "turned", "n", "node")
     dealt = order.repartitionByRange(shuffle_partitions(spark), "t", "turned").sortWithinPartitions("t", "turned")
     found = stored(candidates(dealt, size, floor, ratio), "candidates")
     # a few rows from each end of each partition: their number doesn't grow with the table
-    ends = found.filter("est < 0").select("t", "turned", "n", F.col("a").alias("id")).coalesce(1).sortWithinPartitions("t", "turned")
+    ends = found.filter("est < 0").select("t", "turned", "n", F.col("a").alias("node")).coalesce(1).sortWithinPartitions("t", "turned")
     across = candidates(ends, size, floor, ratio).filter("est >= 0").select("a", "b", "est")
     pairs = found.filter("est >= 0").select("a", "b", "est").unionByName(across)
     pairs = stored(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("est").alias("est")).filter("a < b"), "pairs")
-    large = members.filter(F.col("size") > NEIGHBOURS + 1).select("id")
-    ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large).distinct(), "ids")
-    sets = stored(shingle_sets(docs, ids, id_col, text_col, words).dropDuplicates(["id"]), "sets")
+    large = members.filter(F.col("size") > NEIGHBOURS + 1).select("node")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large).distinct()
+    wanted = stored(nodes.join(reps.select("node", "rep"), "node"), "wanted")
+    sets = stored(shingle_sets(texts, wanted, words), "sets")
     # first round: for each document its closest candidates; every list is bounded by trees * neighbours * 2
     ends_of = pairs.select("a", "b", "est", F.explode(F.array("a", "b")).alias("of"))
     best = ends_of.groupBy("of").agg(F.slice(F.sort_array(F.collect_list(F.struct("est", "a", "b")), False), 1, CLOSEST).alias("best"))
@@ -266,22 +311,44 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", percen
     links = stored(confirmed(first, sets, percent), "links")
     comps = components(links)
     # second round: what's left between components, and crowded regions
-    left = labelled(pairs, comps).filter("a_comp != b_comp").select("a", "b")
-    rest = crowded(members, comps, sets, ratio)
-    untested = stored(left.unionByName(rest).distinct().join(first, ["a", "b"], "left_anti"), "untested")
-    more = stored(confirmed(untested, sets, percent), "links")
+    left = labelled(pairs, comps).filter("a_comp != b_comp").select("a", "b").join(first, ["a", "b"], "left_anti")
+    more = stored(confirmed(left, sets, percent), "links")
     if more.head(1):
         comps = components(links.unionByName(more))
-    discard(spark, shared, members, found, pairs, ids, sets, untested, more, links)
-    of_set = reps.select("set_hash", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    of_set = of_set.select("set_hash", F.coalesce("component", "id").alias("component"))
-    out = rows.select("id", "n", "set_hash").join(of_set, "set_hash", "left")
-    component = F.coalesce("component", "id")
+    rest = crowded(members, comps, sets, percent)
+    if rest.head(1):
+        comps = components(links.unionByName(more).unionByName(rest))
+    # the smallest id of each component's nodes
+    of_node = reps.select("node", "id").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = of_node.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_node = of_node.join(smallest, "component").select("node", "component_id")
+    out = stored(rows.select("id", "th", "n", "node").join(of_node, "node", "left"), "near-dup")
+    discard(spark, rows, reps, shared, members, found, pairs, wanted, sets, more, links, rest, comps)
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept")
-    )
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), "th",
+    )
+
+
+def representatives(docs: DataFrame, id_col: str, text_col: str = "text", percent: int = 85) -> DataFrame:
+    """``docs`` with one row of each class, that with the smallest id; of rows alike in id and text, one.
+
+    Rows without words and rows of classes without any id are kept all.
+    """
+    found = near_duplicates(docs, id_col, text_col, percent).filter("kept")
+    repeated = (F.count("*") > 1) & (F.max("n_shingles") > 0) & F.col("__id").isNotNull()
+    kept = stored(found.groupBy(F.col(id_col).alias("__id"), F.col("th").alias("__th")).agg(repeated.alias("__repeated")), "kept")
+    rows = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = lambda side: (F.col("__h") == side["__th"]) & F.col(id_col).eqNullSafe(side["__id"])
+    again = kept.filter("__repeated")
+    if not again.head(1):
+        return rows.join(kept, same(kept), "left_semi").select(*docs.columns)
+    single = kept.filter("not __repeated")
+    once = rows.join(again, same(again), "left_semi").dropDuplicates([id_col, "__h"])
+    return rows.join(single, same(single), "left_semi").unionByName(once).select(*docs.columns)
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all whole documents at 0.85."""
-    return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", percent=85).drop("th")

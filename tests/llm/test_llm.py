@@ -383,6 +383,7 @@ def test_near_dup_equals_brute_force(spark):
 def test_near_dup_crowded_regions_in_blocks(spark, monkeypatch):
     """One crowd of texts alike but mostly not linked, dealt to many blocks; links inside it must not be lost."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 50)
     rng = np.random.default_rng(3)
     base = [f"w{x}" for x in range(150)]
     texts = []
@@ -397,6 +398,19 @@ def test_near_dup_crowded_regions_in_blocks(spark, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(texts))] == want
 
 
+def test_near_dup_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(500)]
+    a, b, c = (" ".join(rng.choice(words, 60)) for _ in range(3))
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (1, a), (None, near(c)), (None, c), (9, None), (9, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, "doc_id").collect() if r["n_shingles"])
+    assert got == [(0, None, True), (0, None, True), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+    kept = Counter((r["doc_id"], r["text"]) for r in near_dedup.representatives(docs, "doc_id").collect())
+    assert kept == {(1, a): 1, (1, b): 1, (None, near(c)): 1, (None, c): 1, (9, None): 2, (None, ""): 1}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
