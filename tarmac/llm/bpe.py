@@ -1,13 +1,17 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text longer than ``chunk_chars`` is cut into chunks that overlap by ``overlap`` characters.  Chunks are pre-tokenised
-in parallel.  A chunk that starts inside a pre-token gives wrong pre-tokens at first, but from the first boundary that
-it shares with its predecessor on, both continue alike, as the pattern never looks behind.  There the chunks are
-stitched: each owns the characters from its own cut to the next one's.  The owned pieces are encoded in parallel, and
-a text's ids are its pieces' ids in order.  Where a chunk shares no boundary within the overlap (one pre-token longer
-than that), it's merged into the chunk before.  Decoding concatenates the raw bytes of the ids.
-
-Null texts count as empty: no ids.  Every row gives one row, repeated ones too.
+Every text is cut into chunks of ``chunk_chars`` characters that overlap by ``overlap``.  Chunks are pre-tokenised
+independently.  A chunk that starts inside a pre-token gives wrong pre-tokens at first, but from the first boundary
+that it shares with its predecessor on, both continue alike, as the pattern never looks behind.  There the chunks are
+stitched: each owns the characters from its own cut to the next one's.  The owned pieces are encoded, and a text's ids
+are its pieces' ids in order.  Where a chunk shares no boundary within the overlap (one pre-token longer than that),
+it's merged into the chunk before.  Decoding concatenates the raw bytes of the ids.
+
+A text's chunks are worked off by the task that reads it, up to ``DEALT_CHARS``; those of longer texts are dealt out
+to many tasks, by the same cuts.
+
+Null texts count as empty: no ids.  Every row gives one row, repeated ones too.  Result columns replace those of the
+same name; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
 
-CHUNK_CHARS, OVERLAP = 65_536, 4_096
+CHUNK_CHARS, OVERLAP = 4_096, 512
+#: Texts beyond this are dealt out in chunks of their own size.
+DEALT_CHARS, DEALT_CHUNK, DEALT_OVERLAP = 1 << 18, 1 << 16, 4_096
 #: The pattern looks at most so many characters past the end of a pre-token ("'re" is split otherwise if cut).
 LOOK_AHEAD = 4
 #: Pre-tokens kept with their ids in each Python worker; beyond that the memory is cleared.
@@ -60,19 +66,24 @@ class Encoder:
         self.encoding, self.raw, self.pattern = codec(path)
         self.memo: dict[str, list[int]] = {}
 
-    def ids(self, text: str) -> list[int]:
-        memo, out = self.memo, []
-        if len(memo) > MEMO:
-            memo.clear()
-        extend = out.extend
-        for piece in self.pattern.findall(text):
+    def ids(self, text: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> list[int]:
+        """Ids of a text by chunks that are pre-tokenised apart and stitched."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        out: list[int] = []
+        for pieces in stitched(text, self.pattern, chunk_chars, overlap):
+            self.encode(pieces, out)
+        return out
+
+    def encode(self, pieces: list[str], out: list[int]) -> None:
+        memo, extend = self.memo, out.extend
+        for piece in pieces:
             got = memo.get(piece)
             if got is None:
                 got = self.encoding.encode_ordinary(piece)
                 if len(piece) <= 64:
                     memo[piece] = got
             extend(got)
-        return out
 
     def bytes(self, ids) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
@@ -83,6 +94,32 @@ def boundaries(text: str, pattern) -> np.ndarray:
     return np.fromiter((m.start() for m in pattern.finditer(text)), np.int64)
 
 
+def stitched(text: str, pattern, chunk_chars: int, overlap: int) -> Iterator[list[str]]:
+    """The pre-tokens that each chunk of a text owns."""
+    held = pattern.findall(text[: chunk_chars + overlap])
+    begin = start = 0
+    while start + chunk_chars < len(text):
+        # the held pre-tokens begin at ``begin`` and reach past the next chunk's start
+        following = start + chunk_chars
+        part = text[following : following + chunk_chars + overlap]
+        new = pattern.findall(part)
+        ends, heads = np.cumsum([begin, *map(len, held)]), np.cumsum([following, *map(len, new)])
+        reach = min(len(text), following + overlap)
+        sure = ends[(ends >= following) & (ends <= reach - LOOK_AHEAD)]
+        shared = np.intersect1d(sure, heads[heads < reach])
+        if len(shared):
+            cut = int(shared[0])
+            yield held[: int(np.searchsorted(ends, cut))]
+            held, begin = new[int(np.searchsorted(heads, cut)) :], cut
+        else:
+            # no shared boundary: the chunk is merged into the one before, read on from its last sure boundary
+            last = int(np.searchsorted(ends, max(begin, min(reach - LOOK_AHEAD, int(ends[-2]))), side="right")) - 1
+            kept, at = held[:last], int(ends[last])
+            held = kept + pattern.findall(text[at : following + chunk_chars + overlap])
+        start = following
+    yield held
+
+
 def chunks(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int, overlap: int) -> DataFrame:
     """A row for each chunk of the texts: id, chunk number, start (code points from 0), text with the overlap."""
     n = F.length(text_col)
@@ -114,10 +151,10 @@ def cuts(parts: DataFrame, id_col: str, chunk_chars: int, overlap: int, path: st
 
 
 def encode(
-    docs: DataFrame, id_col: str, text_col: str = "text", path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP
+    docs: DataFrame, id_col: str, text_col: str = "text", path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, dealt_chars: int = DEALT_CHARS
 ) -> DataFrame:
     """(id, ids array<int>): one row for each row of ``docs``."""
-    return pieces_encoded(docs, id_col, text_col, path, chunk_chars, overlap, "ids array<int>", lambda enc, ids: (ids,), join_ids)
+    return pieces_encoded(docs, id_col, text_col, path, chunk_chars, overlap, dealt_chars, "ids array<int>", lambda enc, ids: (ids,), join_ids)
 
 
 def join_ids(df: DataFrame, id_col: str) -> DataFrame:
@@ -125,31 +162,33 @@ def join_ids(df: DataFrame, id_col: str) -> DataFrame:
     return df.groupBy(id_col).agg(F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
 
 
-def pieces_encoded(docs, id_col, text_col, path, chunk_chars, overlap, columns, finish, join):
-    """Short texts are one chunk and are finished where they're read; the chunks of longer ones are stitched first."""
+def pieces_encoded(docs, id_col, text_col, path, chunk_chars, overlap, dealt_chars, columns, finish, join):
+    """Texts up to ``dealt_chars`` are stitched and finished where they're read; the chunks of longer ones are dealt out."""
     path = path or vocabulary_path()
     id_type = dict(docs.dtypes)[id_col]
     names = [c.split()[0] for c in columns.split(", ")]
     docs = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    long = F.length("text") > chunk_chars
+    long = F.length("text") > dealt_chars
+    # chunks that are dealt out may be larger, up to a fourth of the text
+    wide, wide_overlap = max(chunk_chars, min(DEALT_CHUNK, dealt_chars // 4)), max(overlap, min(DEALT_OVERLAP, dealt_chars // 16))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = Encoder(path)
         for b in batches:
-            rows = [finish(enc, enc.ids(t)) for t in b["text"]]
+            rows = [finish(enc, enc.ids(t, max(chunk_chars, len(t) // 64), overlap)) for t in b["text"]]
             yield pd.DataFrame({id_col: b[id_col]} | dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in [id_col, *names]})
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = Encoder(path)
         for b in batches:
-            yield pd.DataFrame({"__key": b["__key"], "cut": b["cut"], "ids": [enc.ids(t) for t in b["piece"]]})
+            yield pd.DataFrame({"__key": b["__key"], "cut": b["cut"], "ids": [enc.ids(t, max(chunk_chars, len(t) // 64), overlap) for t in b["piece"]]})
 
     short_rows = docs.filter(~long).mapInPandas(whole, f"{id_col} {id_type}, {columns}")
     # repeated rows are encoded once, and count again at the end
     longer = docs.filter(long).groupBy(id_col, "text").agg(F.count("*").cast("int").alias("__n")).withColumn("__key", F.xxhash64(id_col, "text"))
     # the few long texts: their chunks are dealt out anew, so that one text's chunks are pre-tokenised by many tasks
-    dealt = chunks(longer, "__key", "text", chunk_chars, overlap).repartition(F.col("__key"), F.col("chunk"))
-    cut = cuts(dealt, "__key", chunk_chars, overlap, path)
+    dealt = chunks(longer, "__key", "text", wide, wide_overlap).repartition(F.col("__key"), F.col("chunk"))
+    cut = cuts(dealt, "__key", wide, wide_overlap, path)
     end = F.lead("cut").over(Window.partitionBy("__key").orderBy("cut"))
     spans = cut.withColumn("end", F.coalesce(end, F.lit((1 << 31) - 1).cast("long")))
     piece = F.substring("text", (F.col("cut") + 1).cast("int"), (F.col("end") - F.col("cut")).cast("int"))
@@ -176,7 +215,7 @@ def digest(enc: Encoder, ids: list[int]) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(enc.bytes(ids)).hexdigest()
 
 
-def encode_digests(docs: DataFrame, id_col: str, text_col: str = "text", path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
+def encode_digests(docs: DataFrame, id_col: str, text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every text, without moving the ids of short texts to the JVM."""
     path = path or vocabulary_path()
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -192,30 +231,32 @@ def encode_digests(docs: DataFrame, id_col: str, text_col: str = "text", path: s
 
         return whole.mapInPandas(run, f"{key} {dict(whole.dtypes)[key]}, {columns}")
 
-    return pieces_encoded(docs, id_col, text_col, path, chunk_chars, overlap, columns, digest, join)
+    return pieces_encoded(docs, id_col, text_col, path, CHUNK_CHARS, OVERLAP, DEALT_CHARS, columns, digest, join)
 
 
 def with_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256.
 
-    Only the long texts' digests are joined to their rows, by id and text; short rows get theirs where they're read.
+    Only the digests of texts that were dealt out are joined to their rows, by the text's hash.
     """
     path = path or vocabulary_path()
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def short(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = Encoder(path)
         for b in batches:
-            yield pd.DataFrame([digest(enc, enc.ids(t)) for t in b], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pd.DataFrame([digest(enc, enc.ids(t)) for t in b], columns=names)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    long = F.length(text) > CHUNK_CHARS
-    here = docs.filter(~long).withColumn("__d", short(text)).select(*docs.columns, "__d.*")
-    longer = docs.filter(long)
-    keys = longer.select(F.sha2(F.encode(F.col(text_col), "UTF-8"), 256).alias("__sha"), F.col(text_col).alias("text")).dropDuplicates(["__sha"])
-    found = encode_digests(keys, "__sha")
-    there = longer.withColumn("__sha", F.sha2(F.encode(F.col(text_col), "UTF-8"), 256)).join(found, "__sha")
-    return here.unionByName(there.select(*docs.columns, "n_tokens", "ids_sha256", "decoded_sha256"))
+    long = F.length(text) > DEALT_CHARS
+    here = docs.filter(~long).withColumn("__d", short(text)).select(*kept, "__d.*")
+    longer = docs.filter(long).withColumn("__sha", F.sha2(F.encode(F.col(text_col), "UTF-8"), 256))
+    keys = longer.select("__sha", F.col(text_col).alias("text")).dropDuplicates(["__sha"])
+    found = encode_digests(keys, "__sha", path=path).select("__sha", *[F.col(c).alias(f"__{c}") for c in names])
+    there = longer.join(found, "__sha").select(*kept, *[F.col(f"__{c}").alias(c) for c in names])
+    return here.unionByName(there)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

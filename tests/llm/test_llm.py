@@ -300,8 +300,8 @@ def test_bpe_equals_library(spark):
     rng = np.random.default_rng(6)
     mixed = "".join(rng.choice(list("ab  \n'sdé漢😀12,."), 9000))
     texts = [*ODD, mixed, "a" * 5000, " " * 3000 + "b", "don't " * 900]
-    for chunk, overlap in ((1000, 200), (64, 16), (65_536, 4_096)):
-        got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode(docs_of(spark, texts), "doc_id", chunk_chars=chunk, overlap=overlap).collect()}
+    for chunk, overlap, dealt in ((1000, 200, 4_000), (64, 16, 200), (4_096, 512, 1 << 30)):
+        got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode(docs_of(spark, texts), "doc_id", chunk_chars=chunk, overlap=overlap, dealt_chars=dealt).collect()}
         assert got == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
     pairs = bpe.encode(docs_of(spark, texts), "doc_id")
     assert {r["doc_id"]: bytes(r["raw"]).decode() for r in bpe.decode(pairs, "doc_id").collect()} == {i: t or "" for i, t in enumerate(texts)}
@@ -313,6 +313,27 @@ def test_bpe_equals_library(spark):
     assert bpe.encode_digests(docs_of(spark, []), "doc_id").count() == 0
 
 
+def test_bpe_stitches_like_whole_texts():
+    enc, _, pattern = bpe.codec(bpe.vocabulary_path())
+    rng = np.random.default_rng(16)
+    for k in range(400):
+        signs = list(("ab \n'sdé漢😀12,.", "a ", "ab'llre ", " \n\t x")[k % 4])
+        text = "".join(rng.choice(signs, rng.integers(0, 300)))
+        if k % 5 == 0:
+            text += "z" * int(rng.integers(0, 200)) + " " * int(rng.integers(0, 90)) + text
+        chunk, overlap = int(rng.integers(8, 60)), int(rng.integers(5, 20))
+        got = [x for pieces in bpe.stitched(text, pattern, chunk, overlap) for x in pieces]
+        assert got == pattern.findall(text), (text, chunk, overlap)
+    text = "some words of a long text, don't stop " * 30_000
+    assert bpe.Encoder(bpe.vocabulary_path()).ids(text) == enc.encode_ordinary(text)
+
+
+def test_bpe_replaces_columns_of_its_names(spark):
+    docs = docs_of(spark, ["one", None]).withColumn("n_tokens", F.lit("x")).withColumn("text2", F.col("text"))
+    rows = bpe.with_digests(docs).collect()
+    assert [r["n_tokens"] for r in rows] == [1, 0] and "text2" in rows[0].asDict()
+
+
 # --- HTML -----------------------------------------------------------------------------------------------------------
 
 
