@@ -1,12 +1,16 @@
 """Secret scan with corpus-wide ownership frequency, by DataFrame functions only.
 
-Candidates come from three kinds of pattern.  Every candidate's hash is counted over the corpus: the distinct
-repositories and the distinct owners that hold it.  A value that several owners hold is a widely copied example
-(documentation, test fixtures), for which copies of one text may count for one owner only; every other value that isn't
-a proven placeholder is taken for a live credential, short passwords included.
+Candidates come from three kinds of pattern, and from suspects: other runs of 20 characters or more that mix digits
+with letters of both cases and carry ``ENTROPY`` bits a character.  Every candidate's hash is counted over the corpus:
+the distinct repositories and the distinct owners that hold it.  A value that several owners hold is a widely copied
+example (documentation, test fixtures), for which copies of one text may count for one owner only; every other value
+that isn't a proven placeholder is taken for a live credential, short passwords included.  A suspect adds a span of the
+kind ``random`` only where a single owner holds its value; suspects that overlap a span of the three kinds add none.
 
 Positions come from the pieces between matches: a match starts after all pieces and matches before it.  They count
-code points.  Null texts count as empty and have no candidates.  Rows with the same id are counted apart.
+code points.  Null texts count as empty and have no candidates.  Rows with the same id are told apart by the hash of
+their text; rows alike in both have the same spans.  Rows without id are scanned and masked like others.  Columns that
+aren't named in the call aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +27,10 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+#: Suspects: least entropy in bits a character.
+ENTROPY = 3.5
+RANDOM = ("random", r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
+NAMES = [k[0] for k in (*KINDS, RANDOM)]
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -48,15 +56,41 @@ def spans_of(text: Column, number: int, pattern: str, group: int, least: int) ->
     return F.when(text.rlike(pattern), F.filter(spans, lambda s: F.length(s["value"]) >= least)).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
+def entropy(value: Column) -> Column:
+    """Bits a character of a text that isn't empty."""
+    signs = F.filter(F.split(value, ""), lambda c: c != "")
+    n = F.size(signs)
+    share = lambda c: F.size(F.filter(signs, lambda x: x == c)) / n
+    return F.aggregate(F.array_distinct(signs), F.lit(0.0), lambda sum_, c: sum_ - share(c) * F.log2(share(c)))
+
+
+def looks_random(value: Column) -> Column:
+    mixed = value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
+    return mixed & (entropy(value) >= ENTROPY)
+
+
+def none_if_null(spans: Column) -> Column:
+    return F.coalesce(spans, F.expr(f"cast(array() as {SPAN})"))
+
+
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``spans``: all kinds' spans by start, then kind as listed; overlapping kinds are all kept."""
-    kinds = [spans_of(F.coalesce(F.col(text_col), F.lit("")), i, p, g, least) for i, (_, p, g, least) in enumerate(KINDS)]
-    return docs.withColumn("spans", F.array_sort(F.concat(*[F.coalesce(k, F.expr(f"cast(array() as {SPAN})")) for k in kinds])))
+    """``docs`` with ``spans``, all kinds' spans by start, then kind as listed (overlapping kinds are all kept), and
+    ``suspects``, spans that ownership may add."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kinds = [none_if_null(spans_of(text, i, p, g, least)) for i, (_, p, g, least) in enumerate(KINDS)]
+    runs = none_if_null(spans_of(text, len(KINDS), *RANDOM[1:]))
+    apart = lambda s: ~F.exists("spans", lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))
+    suspects = F.filter(runs, lambda s: looks_random(s["value"]) & apart(s))
+    return docs.withColumn("spans", F.array_sort(F.concat(*kinds))).withColumn("suspects", suspects)
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def listed(spans: Column) -> Column:
     """kind:start:end of the spans, comma-joined."""
-    names = F.array(*[F.lit(k[0]) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in NAMES])
     one = lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))
     return F.concat_ws(",", F.transform(spans, one))
 
@@ -81,14 +115,14 @@ def same_text(text: Column) -> Column:
 def ownership(found: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
     """(hash, repositories, owners) of every candidate value; pre-aggregated by owner, so a hot value stays small.
 
-    With a column ``same``, all rows of one text count for its smallest owner.
+    With a column ``__same``, all rows of one text count for its smallest owner.
     """
-    same = "same" in found.columns
+    same = "__same" in found.columns
     values = found.select(
         F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"),
         F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
-        F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["value"])))).alias("hash"),
-        *(["same"] if same else []),
+        F.explode(F.array_distinct(F.transform(F.concat("spans", "suspects"), lambda s: F.xxhash64(s["value"])))).alias("hash"),
+        *([F.col("__same").alias("same")] if same else []),
     )
     if same:
         of_text = values.groupBy("hash", "same", "repo").agg(F.min("owner").alias("owner"))
@@ -101,51 +135,61 @@ def ownership(found: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", copied_owners: int = 3, by_text: bool = False) -> DataFrame:
-    """A row for each candidate: id, kind, start, end, value, repositories, owners, verdict.
+    """A row for each candidate: id, th (hash of its text), kind, start, end, value, repositories, owners, verdict.
 
-    Verdict: ``copied`` if ``copied_owners`` owners or more hold the value, else ``weak`` if it is a placeholder, else
-    ``live``.  With ``by_text``, the copies of one text count for one owner.
+    Verdict: ``copied`` if ``copied_owners`` owners or more hold the value (for suspects: more than one), else ``weak``
+    if it is a placeholder, else ``live``.  With ``by_text``, the copies of one text count for one owner.
     """
     repo_col = repo_col or id_col
-    kept = list(dict.fromkeys([id_col, repo_col, owner_col, "spans"]))
-    same = [same_text(F.col(text_col)).alias("same")] if by_text else []
-    found = stored(candidates(docs, text_col).filter(F.size("spans") > 0).select(*kept, *same), "secrets")
+    kept = list(dict.fromkeys([id_col, repo_col, owner_col]))
+    rows = docs.select(*kept, F.col(text_col).alias("__text"))
+    found = candidates(rows, "__text").filter((F.size("spans") > 0) | (F.size("suspects") > 0))
+    same = [same_text(F.col("__text")).alias("__same")] if by_text else []
+    found = stored(found.select(*kept, text_hash("__text").alias("th"), "spans", "suspects", *same), "secrets")
     return judged(found, id_col, repo_col, owner_col, copied_owners)
 
 
 def judged(found: DataFrame, id_col: str, repo_col: str, owner_col: str, copied_owners: int) -> DataFrame:
-    rows = found.select(id_col, F.explode("spans").alias("s")).select(id_col, "s.*", F.xxhash64("s.value").alias("hash"))
+    rows = found.select(id_col, "th", F.explode(F.concat("spans", "suspects")).alias("s")).select(id_col, "th", "s.*", F.xxhash64("s.value").alias("hash"))
     # a value held by most documents is one hot key of this join, which adaptive execution splits
     out = rows.join(ownership(found, repo_col, owner_col), "hash")
-    verdict = F.when(F.col("owners") >= copied_owners, "copied").when(is_placeholder(F.col("value")), "weak").otherwise("live")
-    names = F.array(*[F.lit(k[0]) for k in KINDS])
-    return out.select(id_col, F.get(names, F.col("kind")).alias("kind"), "start", "end", "value", "repositories", "owners", verdict.alias("verdict"))
+    most = F.when(F.col("kind") == len(KINDS), 2).otherwise(copied_owners)
+    verdict = F.when(F.col("owners") >= most, "copied").when(is_placeholder(F.col("value")), "weak").otherwise("live")
+    names = F.array(*[F.lit(k) for k in NAMES])
+    return out.select(id_col, "th", F.get(names, F.col("kind")).alias("kind"), "start", "end", "value", "repositories", "owners", verdict.alias("verdict"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Span counts and digests of every document, with its numbers of live and widely copied candidates."""
-    docs = table(spark, sf_dir, "documents")
-    same = F.when(F.size("spans") > 0, same_text(F.col("text"))).alias("same")
-    every = stored(candidates(docs).select("doc_id", "source", "spans", same), "secret-spans")
-    found = every.filter(F.size("spans") > 0)
-    verdicts = judged(found, "doc_id", "doc_id", "source", 3).groupBy("doc_id").agg(
-        F.count_if(F.col("verdict") == "live").alias("n_live"), F.count_if(F.col("verdict") == "copied").alias("n_copied")
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    some = (F.size("spans") > 0) | (F.size("suspects") > 0)
+    same = F.when(some, same_text(F.col("text"))).alias("__same")
+    every = stored(candidates(docs).select("doc_id", "source", text_hash("text").alias("th"), "spans", "suspects", same), "secret-spans")
+    rows = judged(every.filter(some), "doc_id", "doc_id", "source", 3)
+    # rows alike in id and text have the same spans: the set holds each once
+    verdicts = rows.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set(F.struct("start", "kind", "end", "verdict")).alias("found"))
+    count = lambda verdict: F.coalesce(F.size(F.filter("found", lambda s: s["verdict"] == verdict)), F.lit(0)).cast("long")
     n = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
-    # the span list of all three kinds is the base list: ownership judges candidates and adds none
-    return every.join(verdicts, "doc_id", "left").select(
+    added = F.filter("found", lambda s: (s["kind"] == RANDOM[0]) & (s["verdict"] == "live"))
+    added = F.transform(added, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end"), F.lit("").alias("value")))
+    here = (F.col("th") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return every.join(verdicts, here, "left").select(
         "doc_id",
         *[n(i).alias(f"n_{k[0]}") for i, k in enumerate(KINDS)],
         F.sha2(listed(F.col("spans")), 256).alias("base_sha256"),
-        listed(F.col("spans")).alias("spans"),
-        F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"),
-        F.coalesce("n_copied", F.lit(0).cast("long")).alias("n_copied"),
+        listed(F.array_sort(F.concat("spans", none_if_null(added)))).alias("spans"),
+        count("live").alias("n_live"),
+        count("copied").alias("n_copied"),
     )
 
 
 def redacted(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every live candidate's span replaced by ``mark``; overlapping spans are one."""
-    live = verdicts.filter(F.col("verdict") == "live").groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cut"))
+    """``docs`` with every live candidate's span replaced by ``mark``; overlapping spans are one.
+
+    ``verdicts`` of the same documents and texts; a row's text is cut by its own spans only.
+    """
+    live = verdicts.filter(F.col("verdict") == "live").groupBy(F.col(id_col).alias("__id"), F.col("th").alias("__th"))
+    live = live.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cut"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -155,5 +199,6 @@ def redacted(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str =
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(apart, new).otherwise(state["out"]).alias("out"))
 
     done = F.aggregate("__cut", zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    out = docs.join(live, id_col, "left")
+    rows = docs.withColumn("__h", text_hash(text_col))
+    out = rows.join(live, (F.col("__h") == F.col("__th")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
     return out.withColumn(text_col, F.when(F.col("__cut").isNotNull(), done).otherwise(F.col(text_col))).select(*docs.columns)

@@ -170,6 +170,19 @@ def test_secrets_short_and_copied_texts(spark):
     assert got == {("hex", 3, 1), ("assign", 3, 3)}
 
 
+def test_secrets_suspects_and_repeated_ids(spark):
+    value = "q8Zr1LmX0pTv9KdWs3Ye7"
+    rows = [(1, f"see {value} there", "a", 5), (1, "a harmless text that is long enough to be cut by positions", "a", 5)]
+    rows += [(1, "password = hunter22", "b", 5), (1, "password = hunter22", "b", 5), (None, "token: Zk93mdPq81", "c", 5)]
+    rows += [(2, "in two x8Zr1LmX0pTv9KdWs3Ye7 owners", "a", 5), (3, "in two x8Zr1LmX0pTv9KdWs3Ye7 again", "b", 5), (4, "Aa1" * 9, "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, spans int")
+    verdicts = secrets.scan(docs, "doc_id")
+    assert {(r["value"], r["verdict"]) for r in verdicts.filter("kind = 'random'").collect()} == {(value, "live"), ("x8Zr1LmX0pTv9KdWs3Ye7", "copied")}
+    masked = Counter((r["doc_id"], r["text"]) for r in secrets.redacted(docs, verdicts, "doc_id").collect())
+    want = [(1, "see [SECRET] there"), rows[1][:2], (1, "[SECRET]"), (1, "[SECRET]"), (None, "[SECRET]"), *(r[:2] for r in rows[5:])]
+    assert masked == Counter(want)
+
+
 # --- decontamination ------------------------------------------------------------------------------------------------
 
 
