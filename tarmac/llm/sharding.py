@@ -8,8 +8,12 @@ The bounds add up to the number of rows and differ by one at most, and so do the
 Only the number of rows of each cell reaches the driver: ``cells`` numbers, whatever the table's size.  From them come
 a few rank intervals for each cell, each sent to one shard; rows find theirs by an equi-join on the cell.
 
+Rows of a cell are ranked by the key.  A cell with more than ``most`` rows (a hot key, null keys) is split into parts
+that are ranked apart, each from where the parts before it end.
+
 Null keys hash like any other value.  Rows with the same key and order columns are interchangeable and ranked
-arbitrarily among themselves.  An empty table gives an empty result.  Other columns aren't looked at.
+arbitrarily among themselves.  An empty table gives an empty result.  Columns ``shard`` and ``slot`` are replaced;
+other columns aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import stored, table, text_or_empty
 
 
 def mixed(x: int) -> int:
@@ -68,8 +72,31 @@ def cell_of(key: Column, cells: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - (cells.bit_length() - 1)).cast("int")
 
 
+#: Rows that a task ranks at most, about.
+MOST = 1 << 20
+
+
+def ranked(placed: DataFrame, key: str, order: tuple[str, ...], counts: list[int], most: int) -> DataFrame:
+    """``placed`` with ``__rank``, which numbers each cell's rows from 0."""
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(key, *order)).cast("long") - 1
+    if max(counts) <= most:
+        return placed.withColumn("__rank", rank("__cell"))
+    spark = placed.sparkSession
+    parts = [(cell, -(-n // most)) for cell, n in enumerate(counts) if n > most]
+    # at most a row for each ``most`` rows of the table, and one for each cell
+    split = F.broadcast(spark.createDataFrame(parts, "__cell int, __parts int"))
+    part = F.pmod(F.monotonically_increasing_id(), F.coalesce("__parts", F.lit(1))).cast("int")
+    # stored, so that a repeated task can't deal the rows out anew
+    dealt = stored(placed.join(split, "__cell", "left").withColumn("__part", part).drop("__parts"), "ring-parts")
+    sizes = dealt.groupBy("__cell", "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__cell").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__cell", "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    own = dealt.withColumn("__own", rank("__cell", "__part")).join(sizes, ["__cell", "__part"])
+    return own.withColumn("__rank", F.col("__own") + F.col("__before"))
+
+
 def shard_ring(
-    df: DataFrame, key: str, shards: int = 16, vnodes: int = 256, cells: int = 1 << 14, order: tuple[str, ...] = ()
+    df: DataFrame, key: str, shards: int = 16, vnodes: int = 256, cells: int = 1 << 14, order: tuple[str, ...] = (), most: int = MOST
 ) -> DataFrame:
     """``df`` with ``shard`` and ``slot``; the slots of a shard run from 0 without a gap.
 
@@ -83,13 +110,13 @@ def shard_ring(
         counts[r["__cell"]] = r["n"]
     # bounded by the ring: an interval for each cell, and one more whenever a shard becomes full
     plan = spark.createDataFrame(
-        fill(ring_points(shards, vnodes, cells), counts, shards), "__of int, __start long, __end long, shard int, __base long"
+        fill(ring_points(shards, vnodes, cells), counts, shards), "__of int, __start long, __end long, __shard int, __base long"
     )
-    rank = F.row_number().over(Window.partitionBy("__cell").orderBy(key, *order)).cast("long") - 1
-    ranked = placed.withColumn("__rank", rank)
     inside = (F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__end"))
-    out = ranked.join(F.broadcast(plan), (F.col("__cell") == F.col("__of")) & inside)
-    return out.withColumn("slot", F.col("__base") + F.col("__rank") - F.col("__start")).select(*df.columns, "shard", "slot")
+    out = ranked(placed, key, order, counts, most).join(F.broadcast(plan), (F.col("__cell") == F.col("__of")) & inside)
+    slot = F.col("__base") + F.col("__rank") - F.col("__start")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
+    return out.select(*kept, F.col("__shard").alias("shard"), slot.alias("slot"))
 
 
 def op10_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
