@@ -33,6 +33,8 @@ from .common import fresh_path, stored, table
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 #: Bytes of a range, and of one read.
 RANGE_BYTES, READ_BYTES = 32 << 20, 1 << 20
+#: Repeated digests up to this number are broadcast (28 bytes each), more are joined by a shuffle.
+BROADCAST_DIGESTS = 1_000_000
 MANIFEST = "path string, bytes long, records long"
 RECORDS = "record_id string, uri string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary, offset long, path string"
 
@@ -77,10 +79,13 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str =
     """Write the archives; returns the stored manifest."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = pages.select(
-        F.col(id_col).cast("long").alias("id"), F.col(uri_col).alias("uri"), text.alias("html"), F.sha1(F.encode(text, "UTF-8")).alias("sha")
+        F.col(id_col).cast("long").alias("id"), F.col(uri_col).alias("uri"), text.alias("html"), F.unhex(F.sha1(F.encode(text, "UTF-8"))).alias("sha")
     )
     # only payloads that occur more than once need to know their response; a hot payload is counted before the shuffle
     copied = rows.groupBy("sha").agg(F.count("*").alias("n"), F.max("id").alias("first")).filter("n > 1").select("sha", "first")
+    copied = stored(copied, "warc-copied")
+    # payloads move only where the repeated digests are too many to be sent to the tasks
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_DIGESTS else copied
     refers = F.when(F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("first") != F.col("id"))), F.col("first"))
     ready = rows.join(copied, "sha", "left").select("id", "uri", "html", refers.alias("refers"))
 
