@@ -2,9 +2,11 @@
 
 Equal vectors are one node of a graph, whatever their number; as ties go to smaller ids, a node keeps the ``k + 1``
 smallest ids of its copies, which is all that any list of ``k`` neighbours can hold.  Nodes are dealt to shards by the
-hash of the vector, about ``SHARD_ROWS`` to each, and each task builds the graph of one shard: layers of neighbour
-lists in one flat array of integers, -1 where a list ends.  Queries go to every shard in blocks; each shard gives its
-nearest nodes, with distances in double precision on the original vectors, and the lists are merged by query.
+hash of the vector, and each task builds the graph of one shard: layers of neighbour lists in one flat array of
+integers, -1 where a list ends.  Shards grow with the table, from ``SHARD_ROWS`` to what a task's memory holds, once
+there are several for each shuffle partition: every query visits every shard, so fewer shards mean less work.  Queries
+go to the shards in blocks of a size that a task holds; each shard gives its nearest nodes, with distances in double
+precision on the original vectors, and the lists are merged by query.
 
 Every row is indexed; nothing is fitted on a sample.  Rows whose vector is null, zero or holds a null or non-finite
 component take no part, neither do rows without id.  Vectors of different lengths never meet.  Rows with the same id
@@ -21,10 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import shuffle_partitions, stored, table
 
-#: Rows of a shard, queries of a block, links of a node above layer 0 (twice as many there), widths of both searches.
-SHARD_ROWS, BLOCK, LINKS, BUILD_WIDTH, SEARCH_WIDTH = 4_096, 4_096, 12, 48, 128
+#: Least rows of a shard, bytes of a large shard's vectors, shards for each shuffle partition, bytes of a block of queries, links of a node above layer 0 (twice as many there), widths of both searches.
+SHARD_ROWS, SHARD_BYTES, SHARDS, BLOCK_BYTES, LINKS, BUILD_WIDTH, SEARCH_WIDTH = 4_096, 64 << 20, 4, 32 << 20, 12, 48, 128
 #: Parts into which the copies of one vector are dealt before they are merged.
 SALTS = 64
 
@@ -157,13 +159,22 @@ def nodes_of(df: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     return parts.groupBy("key").agg(F.first("vector").alias("vector"), smallest(F.flatten(F.collect_list("ids"))).alias("ids"))
 
 
+def shard_size(rows: int, width: int, partitions: int) -> int:
+    """Rows of a shard: enough shards to keep all tasks busy, none larger than a task's memory holds."""
+    most = max(1, SHARD_BYTES // (8 * width + 12 * LINKS))
+    return min(most, max(SHARD_ROWS, -(-rows // (SHARDS * partitions))))
+
+
 INDEX = "shard string, width int, vectors binary, level binary, start binary, flat binary, entry int, top int, ids array<array<long>>"
 
 
-def build(df: DataFrame, id_col: str, vec_col: str, k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build(df: DataFrame, id_col: str, vec_col: str, k: int = 10, shard_rows: int | None = None) -> DataFrame:
     """The index: a stored row for each shard; it serves lists of up to ``k`` neighbours."""
     nodes = stored(nodes_of(df, id_col, vec_col, k), "hnsw-nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
+    rows, widest = nodes.agg(F.count("*"), F.max(F.size("vector"))).head()
+    if shard_rows is None:
+        shard_rows = shard_size(rows, widest or 1, shuffle_partitions(df.sparkSession))
+    shards = max(1, -(-rows // shard_rows))
     dealt = nodes.withColumn("shard", F.concat_ws("-", F.size("vector"), F.pmod(F.xxhash64("key"), F.lit(shards))))
 
     def graph(b: pd.DataFrame) -> pd.DataFrame:
@@ -191,7 +202,8 @@ def search(index: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: i
     rows = queries.filter(usable(vec_col) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("query_id"), F.transform(vec_col, lambda x: x.cast("double") + F.lit(0.0)).alias("vector")
     )
-    blocks = max(1, -(-rows.count() // BLOCK))
+    n, widest = rows.agg(F.count("*"), F.max(F.size("vector"))).head()
+    blocks = max(1, -(-n * 8 * (widest or 1) // BLOCK_BYTES))
     rows = rows.withColumn("width", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     # shards and block numbers are few; every query goes to every shard of its width
     shards = index.select(F.col("shard").alias("at"), F.col("width"))
