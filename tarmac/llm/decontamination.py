@@ -9,10 +9,11 @@ passage's candidate if the product is what any leak has at least, whatever words
 cases the shared words must carry as much of the passage's inverse document frequency, so that frequent words in
 common don't make a leak.
 
-The latent space is that of the benchmark's passages, not of the corpus: leading components of the corpus follow
-frequent words and lose the rare ones that tell a passage from others.  The benchmark is searched in blocks of
-``BLOCK`` passages, split into spaces of ``RANK``; only a block's passages, terms and components are broadcast, which
-bounds them.
+Words of all documents are numbered once for each ``NUMBERED`` passages, by the words of these; blocks of ``BLOCK``
+passages then search the stored numbers.  The latent space is that of the benchmark's passages, not of the corpus: leading components of the corpus follow
+frequent words and lose the rare ones that tell a passage from others.  A block is split into spaces of ``RANK``
+passages; only a block's passages, terms and components, and the distinct words of ``NUMBERED`` passages are broadcast,
+which bounds them.
 
 Null and empty texts match nothing.  A benchmark item of fewer than ``LEAST`` words leaks where all its words stand
 in a row, an item of one word where it is the whole text, as such a word occurs by chance.  Rows with the same id are
@@ -31,10 +32,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import EDGES, stored, table
+from .common import EDGES, discard, stored, table
 
 PASSAGE, OVERLAP, LEAST, CELL = 48, 24, 6, 16
-RANK, EXTRA, ROUNDS, BLOCK = 128, 16, 2, 4_096
+RANK, EXTRA, ROUNDS, BLOCK, NUMBERED = 128, 16, 2, 4_096, 131_072
 LOOSE, STRICT, ANSWER = 0.6, 0.8, 0.7
 #: Share of the passage's inverse document frequency in a leak, as a part of its share of words; room for rounding.
 CARRIED, ROUNDING = 0.9, 0.99
@@ -88,7 +89,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[str,
     A task adds a row with its own counts, so one pass gives both.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    kind = number_type(vocabulary)
+    kind = number_type(len(vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Terms(shared.value)
@@ -120,8 +121,8 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[str,
     return both.filter(F.col("counts").isNull()).select("id", "numbers"), out
 
 
-def number_type(vocabulary: dict[str, int]) -> type:
-    return np.uint16 if len(vocabulary) < 65_536 else np.int32
+def number_type(terms: int) -> type:
+    return np.uint16 if terms < 65_536 else np.int32
 
 
 def randomised_svd(rows: DataFrame, columns: int, rank: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +184,7 @@ def randomised_svds(rows: DataFrame, columns: list[int], rank: int, rounds: int
 class Space:
     """What a task needs to search the passages of one latent space."""
 
-    #: The space's own number of each term of the block, 0 for terms of other spaces.
+    #: The space's terms, sorted; their places from 1 up are its own numbers, 0 for terms of other spaces.
     own: np.ndarray
     #: Latent vector of each term times its inverse document frequency; row 0 is zero.
     terms: np.ndarray
@@ -266,10 +267,8 @@ def spaces(spark: SparkSession, block: list, frequency: np.ndarray, vocabulary:
     for group in groups:
         words = [np.array([vocabulary[w] for w in r["words"]], np.int32) for r in group]
         terms = np.unique(np.concatenate(words))
-        own = np.zeros(len(frequency), np.int32)
-        own[terms] = np.arange(1, len(terms) + 1)
-        words, weights = [own[w] for w in words], np.concatenate([[0], idf[terms]])
-        of_group.append((own, words, weights))
+        words, weights = [np.searchsorted(terms, w) + 1 for w in words], np.concatenate([[0], idf[terms]])
+        of_group.append((terms, words, weights))
         for w in words:
             at, times = np.unique(w, return_counts=True)
             weight = times * weights[at]
@@ -361,39 +360,54 @@ def judged(s: Space, passage: int, window: np.ndarray, cosine: float, best: dict
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    rank: int = RANK, block: int = BLOCK,
+    rank: int = RANK, block: int = BLOCK, numbered_at_once: int = NUMBERED,
 ) -> DataFrame:
     """(id, item_id, cosine, lcs_share): a row for each document and benchmark item that it holds."""
     spark = docs.sparkSession
     parts = stored(passages(benchmark, item_col, item_text), "passages")
-    blocks = -(-parts.count() // block)
     id_type = dict(docs.dtypes)[id_col]
     out = spark.createDataFrame([], f"id string, {LEAK}")
-    for k in range(blocks):
-        # about ``block`` passages of at most PASSAGE words
-        own = parts.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == k).orderBy("item_id", "part").collect()
-        if own:
-            vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for r in own for w in r["words"]}))}
-            numbers, frequency = numbered(docs, id_col, text_col, vocabulary)
-            long = [r for r in own if len(r["words"]) >= LEAST]
-            short = Short.of([r for r in own if len(r["words"]) < LEAST], vocabulary)
+    for some in dealt(parts, numbered_at_once):
+        # at most the distinct words of about ``numbered_at_once`` passages of PASSAGE words
+        words = [r[0] for r in some.select(F.explode("words")).distinct().collect()]
+        vocabulary = {w: i + 1 for i, w in enumerate(sorted(words))}
+        numbers, frequency = numbered(docs, id_col, text_col, vocabulary)
+        for own in dealt(some, block):
+            # about ``block`` passages of at most PASSAGE words
+            rows = own.orderBy("item_id", "part").collect()
+            long = [r for r in rows if len(r["words"]) >= LEAST]
+            short = Short.of([r for r in rows if len(r["words"]) < LEAST], vocabulary)
             searches = spaces(spark, long, frequency, vocabulary, rank) if long else []
-            out = out.unionByName(found_in(numbers, searches, short, number_type(vocabulary)))
+            out = out.unionByName(found_in(numbers, searches, short, len(vocabulary)))
+        discard(spark, numbers)
     best = out.groupBy("id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"))
     return best.select(F.col("id").cast(id_type).alias(id_col), "item_id", "cosine", "lcs_share")
 
 
-def found_in(numbers: DataFrame, searches: list[Space], short: Short, kind: type) -> DataFrame:
-    """Leaks of the numbered documents (stored)."""
+def dealt(parts: DataFrame, size: int) -> Iterator[DataFrame]:
+    """Passages in portions of about ``size``; none without passages."""
+    n = -(-parts.count() // size)
+    for k in range(n):
+        own = parts.filter(F.pmod(F.xxhash64(F.lit(size), "item_id", "part"), F.lit(n)) == k) if n > 1 else parts
+        if own.head(1):
+            yield own
+
+
+def found_in(numbers: DataFrame, searches: list[Space], short: Short, terms: int) -> DataFrame:
+    """Leaks of the documents (stored), whose words have numbers up to ``terms``."""
+    kind = number_type(terms)
     shared = numbers.sparkSession.sparkContext.broadcast((searches, short))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         searches, short = shared.value
+        own = np.zeros(terms + 1, np.int32)
         for b in batches:
             ids = [np.frombuffer(x, kind) for x in b["numbers"]]
             rows = [(i, *leak) for i, x in zip(b["id"], ids, strict=True) for leak in short.within(x)] if short.items else []
             for s in searches:
-                found = leaks_of(s, [s.own[x] for x in ids])
+                own[s.own] = np.arange(1, len(s.own) + 1)
+                found = leaks_of(s, [own[x] for x in ids])
+                own[s.own] = 0
                 rows += [(i, *leak) for i, own in zip(b["id"], found, strict=True) for leak in own]
             yield pd.DataFrame(rows, columns=["id", "item_id", "cosine", "lcs_share"])
 

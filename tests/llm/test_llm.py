@@ -198,8 +198,8 @@ def test_decontamination(spark):
     texts = [*ODD, noise(), f"{noise()} {items[0]} {noise()}", f"{noise()} {' '.join(changed)} {noise()}", items[2], f"{noise()} {items[1]}", noise()]
     bench = spark.createDataFrame([*enumerate(items), (7, None), (8, ""), (9, "too short")], "item_id long, text string")
     docs = docs_of(spark, texts)
-    for block in (4096, 2):
-        got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench, block=block).collect()}
+    for block, at_once in ((4096, 131_072), (2, 3)):
+        got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench, block=block, numbered_at_once=at_once).collect()}
         assert got == {(8, 0), (9, 0), (10, 2), (11, 1)}
     assert decontamination.contaminated(docs_of(spark, []), bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
@@ -286,6 +286,12 @@ def test_hnsw(spark):
     assert hnsw.search(hnsw.build(df.limit(0), "vec_id", "embedding"), df, "vec_id", "embedding").count() == 0
 
 
+def test_shard_size():
+    assert hnsw.shard_size(50_000, 64, 200) == hnsw.SHARD_ROWS
+    assert hnsw.shard_size(10**7, 64, 200) == 12_500
+    assert hnsw.shard_size(10**10, 64, 200) == hnsw.SHARD_BYTES // (8 * 64 + 12 * hnsw.LINKS)
+
+
 # --- WARC -----------------------------------------------------------------------------------------------------------
 
 
@@ -466,6 +472,17 @@ def test_ring(spark):
     assert sharding.shard_ring(docs.limit(0), "doc_id").count() == 0
 
 
+def test_ring_splits_hot_keys_and_replaces_columns(spark):
+    rows = [(None, i, "q") for i in range(300)] + [(i, i, "q") for i in range(300)]
+    df = spark.createDataFrame(rows, "shard long, slot long, __n string")
+    got = sharding.shard_ring(df, "shard", 4, most=40)
+    assert got.columns == ["__n", "shard", "slot"]
+    by_shard: dict = {}
+    for r in got.collect():
+        by_shard.setdefault(r["shard"], []).append(r["slot"])
+    assert {s: sorted(x) for s, x in by_shard.items()} == {s: list(range(150)) for s in range(4)}
+
+
 def test_ring_moves_little(spark):
     docs = spark.range(4000).withColumnRenamed("id", "doc_id")
     a, b = ({r["doc_id"]: r["shard"] for r in sharding.shard_ring(docs, "doc_id", n).collect()} for n in (16, 17))
