@@ -1,21 +1,25 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 Every word gets a vector from its characters (a small recurrent network with attention pooling) and one from a word
-table.  A second recurrent network with attention pooling reads windows of ``WINDOW`` words; windows overlap
-and cover the whole text.  A text's score is its highest window probability.  The networks are plain numpy.
+table.  A second recurrent network with attention pooling reads windows of ``WINDOW`` words, one every ``STEP`` words:
+all overlapping windows at a stride of half a window, so that each passage of up to half a window lies whole in one.
+A text's score is its highest window probability.  The networks are plain numpy.
 
 The fit takes at most ``SAMPLE`` texts of label 1 and twice as many of label 0, picked by the hash of their ids, none longer than
-``SAMPLE_CHARS``; that bounds what reaches the driver.  At first a toxic text's label goes to the window
+``SAMPLE_CHARS``; this bounds what the one task that fits reads, and only the weights reach the driver.  A fit that is
+repeated after a lost executor gives the same weights.  At first a toxic text's label goes to the window
 with the word that most tells toxic from other texts, later to the window that the network itself scores highest; for
 label 0 also to further windows.
 
 Null and empty texts and texts of white space only are one window without words.  Repeated rows get equal scores.
-Null labels, and labels without text, don't count; of several labels for an id the highest counts.  Without texts of
-both labels nothing can be learnt, and every score is 0.
+Null labels, and labels without text, don't count; of several labels for an id the highest counts, of several texts the
+smallest.  Without texts of both labels nothing can be learnt, and every score is 0.  A column ``toxicity`` is
+replaced; other columns aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import EDGES, table
 
 SAMPLE, SAMPLE_CHARS = 1_000, 20_000
-WINDOW, STEP, PIECE = 32, 24, 24
+WINDOW, STEP, PIECE = 32, 16, 24
 #: Rows of the character table, width of its vectors, hidden width of the character and of the word network.
 CHARS, CHAR_WIDTH, CHAR_HIDDEN, WORD_WIDTH, HIDDEN = 512, 8, 8, 8, 8
 VOCABULARY, EPOCHS, BATCH, RATE = 20_000, 6, 64, 0.01
@@ -345,24 +349,39 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: those with the smallest id hashes of each label."""
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y"))
-    known = known.filter(~held_out(id_col)).groupBy(id_col).agg(F.max("y").alias("y"))
-    drawn = [known.filter(F.col("y") == y).orderBy(F.xxhash64(F.lit("toxic"), id_col), id_col).limit((2 - y) * per_label) for y in (0, 1)]
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> DataFrame:
+    """(id string, text, y) to learn from: those with the smallest id hashes of each label, one text for each id."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
+    known = known.filter(~held_out("__id")).groupBy("__id").agg(F.max("y").alias("y"))
+    drawn = [known.filter(F.col("y") == y).orderBy(F.xxhash64(F.lit("toxic"), "__id"), "__id").limit((2 - y) * per_label) for y in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
     # at most 3 * per_label ids and marks
-    picked = docs.join(F.broadcast(drawn[0].unionByName(drawn[1])), id_col).filter(F.length(text_col) <= SAMPLE_CHARS)
-    rows = picked.select(F.col(id_col), F.col(text_col), "y").limit(6 * per_label).collect()
-    rows = sorted(rows, key=lambda r: (str(r[0]), r[1]))
-    return [r[1] for r in rows], [r[2] for r in rows]
+    picked = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "__id")
+    return picked.groupBy("__id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select(F.col("__id").cast("string").alias("id"), "text", "y")
+
+
+def fitted(chosen: DataFrame) -> tuple[dict, dict[str, int]] | None:
+    """What one task learns from the sample, or nothing where a label is missing."""
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((i, t, y) for b in batches for i, t, y in zip(b["id"], b["text"], b["y"], strict=True))
+        if len({y for _, _, y in rows}) == 2:
+            net, vocabulary = fit([t for _, t, _ in rows], [y for _, _, y in rows])
+            yield pd.DataFrame({"learnt": [pickle.dumps((net, list(vocabulary)))]})
+
+    got = chosen.coalesce(1).mapInPandas(learn, "learnt binary").head()
+    if got is None:
+        return None
+    net, words = pickle.loads(bytes(got[0]))
+    return net, {w: i + 1 for i, w in enumerate(words)}
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE) -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1) of each whole text."""
-    texts, marks = sample(docs, labels, id_col, text_col, label_col, per_label)
-    if len(set(marks)) < 2:
+    found = fitted(sample(docs, labels, id_col, text_col, label_col, per_label))
+    if found is None:
         return docs.withColumn("toxicity", F.lit(0.0))
-    learnt = docs.sparkSession.sparkContext.broadcast(fit(texts, marks))
+    learnt = docs.sparkSession.sparkContext.broadcast(found)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -109,6 +109,9 @@ def test_toxicity_learns_held_out(spark):
     assert hits >= 0.95 and all(0 <= s <= 1 for s in got.values()) and len(got) == 507
     assert got[500] == got[501] == got[502]
     assert {r["toxicity"] for r in toxicity.score(docs, known.filter("toxic = 0")).collect()} == {0.0}
+    odd = docs.withColumn("y", F.lit("a")).withColumn("toxicity", F.lit("b")).withColumn("toxic", F.lit(1))
+    rows = toxicity.score(odd.unionByName(odd.filter("doc_id < 9")), known).collect()
+    assert len(rows) == 516 and {r["doc_id"]: r["toxicity"] for r in rows} == got and {r["y"] for r in rows} == {"a"}
 
 
 # --- secrets --------------------------------------------------------------------------------------------------------
