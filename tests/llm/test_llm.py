@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html as entities
 import re
 import zlib
 from collections import Counter
@@ -369,7 +370,47 @@ def test_html():
     assert html_text.main_text(deep) == "text"
 
 
+STORY = "<h1>Head line</h1><p>First long paragraph of the story, with enough words to count.</p><p>Short.</p><p>By Ann, with a <a href=x>link</a> inside and more words after it.</p>"
+TOLD = "Head line First long paragraph of the story, with enough words to count. Short. By Ann, with a link inside and more words after it."
+MENU = "<div><a href=/>Home</a> <a href=/a>About us</a> <a href=/c>Contact</a></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='post has-sidebar'>{STORY}</div><div class=sidebar><p>Other things to read</p></div>",
+        f"<div class='entry share-enabled'>{STORY}</div><div class='share-bar'>Share this</div>",
+        f"<form><input name=q>{MENU}<div>{STORY}</div></form>",
+        f"<div class='layout-sidebar-right'><div>{STORY}</div><div class=sidebar-right>Popular now, and some more words</div></div>",
+        f"{MENU}<div>{STORY}</div><div>Copyright Foo</div>",
+        f"<main>{STORY}<ul><li><a>Other story one</a></li><li><a>Other story two</a></li><li><a>Other story three</a></li></ul></main>",
+        f"<header><h1>Site</h1></header>{MENU}<article><header>{STORY[:18]}</header>{STORY[18:]}<div class=ad>Buy now</div></article><div id=comments><p>{'So true, I say. ' * 40}</p></div>",
+        f"<div id=page>{MENU}<div id=content>{STORY}<div class=comment-list><p>Nice</p></div></div><footer>{'Legal words. ' * 60}</footer></div>",
+        f"<body>{MENU}<section>{STORY}</section><div class=cookie-notice>We use cookies</div></body>",
+    ],
+)
+def test_html_density_decides(page):
+    assert html_text.main_text(page) == TOLD
+
+
+def test_html_long_page():
+    words = "many words of a long page "
+    assert html_text.main_text(f"<div>{f'<p>{words * 40}</p>' * 500}</div>" + MENU) == " ".join([(words * 40).strip()] * 500)
+
+
+def test_html_given_pages():
+    rows = duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()
+    for (page,) in rows:
+        story = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        blocks = re.split(r"</?(?:h1|p|ul|li|div|blockquote)[^>]*>", story)
+        clean = (re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]+>", " " if "<br" in b else "", b))).strip() for b in blocks)
+        got = html_text.main_text(page)
+        assert re.sub(r"\s+", "", got) == re.sub(r"\s+", "", " ".join(b for b in clean if b))
+
+
 def test_html_frame(spark):
+    odd = spark.createDataFrame([(1, "old", "<p>a</p>", 3)], "page_id long, text string, html string, __x int")
+    assert html_text.extract(odd).collect()[0].asDict() == {"page_id": 1, "__x": 3, "text": "a"}
     rows = [(1, "u", "<p>a</p>", "x"), (2, None, None, "y"), (2, None, None, "y")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, extra string")).collect()
     assert sorted((r["page_id"], r["text"], r["extra"]) for r in got) == [(1, "a", "x"), (2, "", "y"), (2, "", "y")]
