@@ -1,21 +1,27 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Words are what white space separates, in lower case.  Every word of the documents is one of the model's; with a
-``vocabulary``, only so many of the most frequent ones are (ties: smaller word first), and every other word is one
-unknown word.  The bigram count table covers all documents and is partitioned by the bigram's hash; documents' bigrams, counted within each document, are joined to it
-and their scores are summed per document.  Texts are read again for the join rather than their bigrams stored, as these
-take more room than the texts:
-
-    score(v w) = ln(c(v w) / c(v))           if c(v w) >= min_count
-               = ln(backoff * c(w) / words)  otherwise
-
-The first word follows the start mark, whose count is the number of documents with words.  Scores are integers of a
-millionth, so sums don't depend on their order.
-
-The ``CODED`` most frequent words have short codes and counts that are sent to the tasks; the others go by a hash of
-the word, and their counts by a join with the bigrams that need them.  A bigram needs one count only: its first word's
-if it is seen, else its second word's.  A bigram has one row for each document at most before the join, and adaptive execution splits the join's hot keys.
-Null and empty texts have no words: score 0.  Rows with the same id are one document; rows without id, too.
+Words are what white space separates, in lower case; every word of the documents is one of the model's.  The count
+tables of all n-grams up to ``order`` cover all documents and are partitioned by the n-gram's hash; documents' n-grams,
+counted within each document, are joined to them and their scores are summed per document.  Texts are read again for
+each join rather than their n-grams stored, as these take more room than the texts:
+
+    score(u v w) = ln(c(u v w) / c(u v))       if c(u v w) >= min_count
+                 = ln(backoff) + score(v w)    otherwise, down to
+    score(v w)   = ln(c(v w) / c(v))           if c(v w) >= min_count
+                 = ln(backoff * c(w) / words)  otherwise
+
+``min_count`` is 2, as every n-gram that is scored has been counted itself; one is seen if it stands elsewhere too.
+The first word follows the start mark, whose count is the number of documents with words; n-grams don't reach past it.
+Scores are integers of a millionth, so sums don't depend on their order.  An order above 2 adds, for each order, what
+its n-grams that are seen change: score less the score that backing off gives; only these meet the orders below.
+
+The most frequent words, at most ``CODED``, have short codes and counts that are sent to the tasks; the others go by a
+hash of the word, and their counts by a join with the bigrams that need them.  That only shortens keys.  A bigram needs
+one count only: its first word's if it is seen, else its second word's.  An n-gram has one row for each document at most
+before a join, and adaptive execution splits the join's hot keys.
+
+Null and empty texts have no words: score 0.  Rows with the same id are one document; rows without id, too.  An empty
+table gives no rows.  Other columns aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-VOCABULARY, BACKOFF, MIN_COUNT = 65_000, 0.4, 2
-#: Codes of the unknown word and of the start mark; the key of a bigram of short codes holds both.
-UNKNOWN, START, SHIFT = 0, 1, 20
-#: Words with short codes when all words count; this only shortens keys.  Hashes remembered in a Python worker.
-CODED, MEMO = 250_000, 200_000
+ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
+#: Code of the start mark; the key of a bigram of short codes holds both.
+START, SHIFT = 1, 20
+#: Words with short codes, steps for each doubling of the counts among which they're chosen, hashes remembered in a Python worker.
+CODED, STEPS, MEMO = 250_000, 16, 200_000
 #: A bigram and the row that it stands in, side by side in 64 bits.
 ROW_BITS = 20
 #: Distinct words counted in a Python worker before they're handed on, words whose bigrams it holds, rows of a batch.
@@ -66,17 +72,31 @@ def words_joined(text_col: str):
     return F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The most frequent words and their counts, all words down to some count; at most ``most``."""
+    step = F.floor(F.log2("n") * STEPS)
+    # a row for each step: a few hundred, whatever the table
+    sizes = sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    least, words = None, 0
+    for at, n in sizes:
+        words += n
+        if words > most:
+            break
+        least = at
+    if least is None:
+        return []
+    return sorted(((r["word"], r["n"]) for r in counts.filter(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 class Codes(dict):
-    """Codes of words: short ones from 0 up, else the word's hash, below 0 (the unknown word's code unless ``whole``)."""
+    """Codes of words: short ones from 2 up, else the word's hash, below 0."""
 
-    def __init__(self, coded: dict[str, int], whole: bool):
-        self.coded, self.whole = coded, whole
+    def __init__(self, coded: dict[str, int]):
+        self.coded = coded
 
     def __missing__(self, word: str) -> int:
         at = self.coded.get(word)
         if at is None:
-            if not self.whole:
-                return UNKNOWN
             at = hashed(word)
         if len(self) > MEMO:
             self.clear()
@@ -89,14 +109,31 @@ def hashed(word: str) -> int:
     return int.from_bytes(digest, "little") % (1 << 63) - (1 << 63)
 
 
-def keys_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Keys of bigrams: both short codes side by side, else a hash of both codes, below 0."""
+def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of each pair of numbers, below 0."""
     x = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) + second.astype(np.uint64)
     for by, shift in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27)):
         x = (x ^ x >> np.uint64(shift)) * np.uint64(by)
     x = (x ^ x >> np.uint64(31)) | np.uint64(1 << 63)
-    return np.where((first >= 0) & (second >= 0), first << SHIFT | second, x.view(np.int64))
+    return x.view(np.int64)
+
+
+def keys_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Keys of bigrams: both short codes side by side, else a hash of both codes, below 0."""
+    return np.where((first >= 0) & (second >= 0), first << SHIFT | second, mixed(first, second))
+
+
+def higher(first: np.ndarray, second: np.ndarray, rows: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, prefix's key, suffix's key, row) of the n-grams of an order above 2 that don't reach past a text's start mark."""
+    begins = np.flatnonzero(np.diff(rows, prepend=-1))
+    place = np.arange(len(rows)) - np.repeat(begins, np.diff(np.append(begins, len(rows))))
+    keys = prefix = suffix = keys_of(first, second)
+    for _ in range(3, order + 1):
+        prefix, suffix = np.concatenate([keys[:1], keys[:-1]]), keys
+        keys = mixed(prefix, second)
+    whole = place >= order - 2
+    return keys[whole], prefix[whole], suffix[whole], rows[whole]
 
 
 Held = tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]
@@ -133,28 +170,18 @@ def in_batches(**columns) -> Iterator[pa.RecordBatch]:
         yield whole.slice(i, BATCH)
 
 
-def score(
-    docs: DataFrame, id_col: str, text_col: str = "text", vocabulary: int | None = None, backoff: float = BACKOFF, min_count: int = MIN_COUNT
-) -> DataFrame:
-    """(id, n_tokens, n_seen, score_micro): ``n_seen`` bigrams of a document were found in the count table.
-
-    Without a ``vocabulary``, every word counts as itself.
-    """
-    whole = vocabulary is None
-    coded = CODED if whole else vocabulary
-    if coded > (1 << SHIFT) - 2:
-        raise ValueError("the vocabulary is too large for the bigram key")
+def score(docs: DataFrame, id_col: str, text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
+    """(id, n_tokens, n_seen, score_micro): ``n_seen`` bigrams of a document were found in the count table."""
     spark = docs.sparkSession
     counts = stored(word_counts(docs, text_col), "lm-words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(coded).collect()]
-
+    top = most_frequent(counts, CODED)
     ids = spark.sparkContext.broadcast({word: i + 2 for i, (word, _) in enumerate(top)})
     id_type = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), words_joined(text_col).alias("text")).filter("text != ''")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first, second, _, _ in held_bigrams(batches, Codes(ids.value, whole)):
+        for first, second, _, _ in held_bigrams(batches, Codes(ids.value)):
             keys = keys_of(first, second)
             short = keys >= 0
             key, n = np.unique(keys[short], return_counts=True)
@@ -164,19 +191,17 @@ def score(
             yield from in_batches(key=key, n=n, first=first[~short][at], second=second[~short][at])
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first, second, rows, of_rows in held_bigrams(batches, Codes(ids.value, whole)):
+        for first, second, rows, of_rows in held_bigrams(batches, Codes(ids.value)):
             keys = keys_of(first, second)
             short = keys >= 0
             # ordered by key, which leaves less to shuffle
             own, n = np.unique(keys[short] << ROW_BITS | rows[short], return_counts=True)
             yield from in_batches(id=of_rows.take(pa.array(own & (1 << ROW_BITS) - 1)), key=own >> ROW_BITS, n=n.astype(np.int32))
-            key, at = np.unique(keys[~short], return_inverse=True)
-            own, n = np.unique(at << ROW_BITS | rows[~short], return_counts=True)
-            yield from in_batches(id=of_rows.take(pa.array(own & (1 << ROW_BITS) - 1)), key=key[own >> ROW_BITS], n=n.astype(np.int32))
+            yield from hashed_rows(keys[~short], rows[~short], of_rows)
 
     def uncoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[~b["word"].isin(ids.value.keys())]
+            b = b[[w not in ids.value for w in b["word"]]]
             yield pd.DataFrame({"word": [hashed(w) for w in b["word"]], "c": b["n"].to_numpy()}, dtype=np.int64)
 
     pairs = texts.select("text").mapInArrow(counted, "key long, n long, first long, second long").groupBy("key").agg(
@@ -184,25 +209,26 @@ def score(
     )
     rows = texts.mapInArrow(bigrams, f"id {id_type}, key long, n int")
     # bounded by the short codes
-    starts = texts.count()
-    singles = [(UNKNOWN, total - sum(n for _, n in top)), (START, starts), *((i + 2, n) for i, (_, n) in enumerate(top))]
+    singles = [(START, texts.count()), *((i + 2, n) for i, (_, n) in enumerate(top))]
     of_word = F.broadcast(spark.createDataFrame(singles, "word long, c long"))
+    rest = counts.mapInPandas(uncoded, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
     seen = F.col("pairs") >= min_count
     first = F.coalesce("first", F.shiftright("key", SHIFT))
     second = F.coalesce("second", F.col("key").bitwiseAND((1 << SHIFT) - 1))
     parts = pairs.select("key", "pairs", seen.cast("int").alias("seen"), F.when(seen, first).otherwise(second).alias("word"))
     ratio = F.when(F.col("seen") == 1, F.col("pairs") / F.col("c")).otherwise(F.lit(backoff) * F.col("c") / F.lit(float(total)))
     micro = F.round(F.log(ratio) * 1e6).cast("long").alias("micro")
-    scored = parts.filter("word >= 0").join(of_word, "word").select("key", "seen", micro)
-    sums = F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("seen")).alias("n_seen"), F.sum(F.col("n") * F.col("micro")).alias("score_micro")
+    scored = parts.filter("word >= 0").join(of_word, "word")
     # a partition of the count table is a hash table: the many bigrams of documents need no sort
-    found = rows.join(scored.hint("shuffle_hash"), "key").select("id", "n", "seen", "micro")
-    if whole:
-        # only what needs the count of a word without a short code is dealt out by word
-        rest = counts.mapInPandas(uncoded, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-        needy = rows.join(parts.filter("word < 0").hint("shuffle_hash"), "key").select("id", "n", "pairs", "seen", "word")
-        found = found.unionByName(needy.join(rest, "word").select("id", "n", "seen", micro))
-    sums = found.groupBy("id").agg(*sums)
+    found = rows.join(scored.select("key", "seen", micro).hint("shuffle_hash"), "key").select("id", "n", "seen", "micro")
+    # only what needs the count of a word without a short code is dealt out by word
+    needy = rows.join(parts.filter("word < 0").hint("shuffle_hash"), "key").select("id", "n", "pairs", "seen", "word")
+    found = found.unionByName(needy.join(rest, "word").select("id", "n", "seen", micro))
+    found = found.select("id", F.col("n").cast("long").alias("n"), (F.col("n") * F.col("seen")).alias("seen"), (F.col("n") * F.col("micro")).alias("micro"))
+    if order > 2:
+        known = scored.unionByName(parts.filter("word < 0").join(rest, "word")).filter("seen = 1").select("key", F.col("pairs").alias("c"), micro)
+        found = found.unionByName(of_higher_orders(texts, ids, known, order, backoff, min_count))
+    sums = found.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.sum("seen").alias("n_seen"), F.sum("micro").alias("score_micro"))
     every = docs.select(F.col(id_col).alias(id_col)).distinct()
     zero = F.lit(0).cast("long")
     return every.join(sums, every[id_col].eqNullSafe(sums["id"]), "left").select(
@@ -210,17 +236,53 @@ def score(
     )
 
 
-def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff score of every whole document under the model of all documents, with the vocabulary of its SQL."""
-    return with_mean(score(table(spark, sf_dir, "documents"), "doc_id", vocabulary=VOCABULARY))
+def hashed_rows(keys: np.ndarray, rows: np.ndarray, of_rows: pa.Array) -> Iterator[pa.RecordBatch]:
+    """(id, key, n) of each row and key, ordered by key."""
+    key, at = np.unique(keys, return_inverse=True)
+    own, n = np.unique(at << ROW_BITS | rows, return_counts=True)
+    yield from in_batches(id=of_rows.take(pa.array(own & (1 << ROW_BITS) - 1)), key=key[own >> ROW_BITS], n=n.astype(np.int32))
 
 
-def op1_lm_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under the model of all documents and all their words."""
-    return with_mean(score(table(spark, sf_dir, "documents"), "doc_id"))
+def of_higher_orders(texts: DataFrame, ids, known: DataFrame, order: int, backoff: float, min_count: int) -> DataFrame:
+    """(id, n, seen, micro) rows that orders above 2 add to the bigrams' sums; ``known`` (key, c, micro) has the seen bigrams."""
+    back = round(float(np.log(backoff)) * 1e6)
+    zero = F.lit(0).cast("long")
+    # backing off counts wherever there's history enough, unless the n-gram is seen
+    words = F.size(F.split("text", " "))
+    tries = sum((F.greatest(words - (k - 2), F.lit(0)) for k in range(3, order + 1)), F.lit(0))
+    out = texts.select("id", zero.alias("n"), zero.alias("seen"), (tries * F.lit(back)).cast("long").alias("micro"))
+    id_type = dict(texts.dtypes)["id"]
+    for k in range(3, order + 1):
+
+        def counted(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
+            for first, second, rows, _ in held_bigrams(batches, Codes(ids.value)):
+                keys, prefix, suffix, _ = higher(first, second, rows, k)
+                key, at, n = np.unique(keys, return_index=True, return_counts=True)
+                yield from in_batches(key=key, n=n, prefix=prefix[at], suffix=suffix[at])
+
+        def grams(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
+            for first, second, rows, of_rows in held_bigrams(batches, Codes(ids.value)):
+                keys, _, _, own = higher(first, second, rows, k)
+                yield from hashed_rows(keys, own, of_rows)
+
+        counts = texts.select("text").mapInArrow(counted, "key long, n long, prefix long, suffix long").groupBy("key").agg(
+            F.sum("n").alias("c"), F.min("prefix").alias("prefix"), F.min("suffix").alias("suffix")
+        )
+        # a seen n-gram's prefix and suffix are seen, too
+        prefix, suffix = known.select(F.col("key").alias("prefix"), F.col("c").alias("of")), known.select(F.col("key").alias("suffix"), F.col("micro").alias("less"))
+        micro = F.round(F.log(F.col("c") / F.col("of")) * 1e6).cast("long")
+        scored = counts.filter(F.col("c") >= min_count).join(prefix, "prefix").join(suffix, "suffix").select("key", "c", micro.alias("micro"), (micro - back - F.col("less")).alias("more"))
+        scored = stored(scored, "lm-grams")
+        rows = texts.mapInArrow(grams, f"id {id_type}, key long, n int")
+        found = rows.join(scored.select("key", "more").hint("shuffle_hash"), "key")
+        out = out.unionByName(found.select("id", zero.alias("n"), zero.alias("seen"), (F.col("n") * F.col("more")).alias("micro")))
+        known = scored.select("key", "c", "micro")
+    return out
 
 
-def with_mean(out: DataFrame) -> DataFrame:
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every whole document under the bigram model of all documents and all their words."""
+    out = score(table(spark, sf_dir, "documents"), "doc_id")
     mean = F.when(F.col("n_tokens") > 0, F.col("score_micro") / F.col("n_tokens") / 1e6)
     return out.withColumn("mean_log_score", mean)
 
@@ -230,23 +292,17 @@ WITH words AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
 ), tokens AS (
   SELECT doc_id, unnest(ws) AS w, unnest(list_prepend('', ws[:len(ws) - 1])) AS v FROM words WHERE len(ws) > 0
-), counts AS (SELECT w, count(*) AS n FROM tokens GROUP BY w),
-vocabulary AS (SELECT w, n FROM counts ORDER BY n DESC, w LIMIT {VOCABULARY}),
-marked AS (
-  SELECT doc_id, coalesce(a.w, '? ') AS w, CASE WHEN v = '' THEN '' ELSE coalesce(b.w, '? ') END AS v
-  FROM tokens LEFT JOIN vocabulary a ON a.w = tokens.w LEFT JOIN vocabulary b ON b.w = tokens.v
 ), singles AS (
-  SELECT w, n::DOUBLE AS n FROM vocabulary
-  UNION ALL SELECT '? ', (SELECT count(*) FROM tokens) - (SELECT coalesce(sum(n), 0) FROM vocabulary)
-  UNION ALL SELECT '', (SELECT count(*) FROM marked WHERE v = '')
-), pairs AS (SELECT v, w, count(*) AS n FROM marked GROUP BY v, w),
+  SELECT w, count(*)::DOUBLE AS n FROM tokens GROUP BY w
+  UNION ALL SELECT '', (SELECT count(*) FROM tokens WHERE v = '')
+), pairs AS (SELECT v, w, count(*) AS n FROM tokens GROUP BY v, w),
 scored AS (
   SELECT pairs.v, pairs.w, (pairs.n >= {MIN_COUNT})::INT AS seen,
     round(ln(CASE WHEN pairs.n >= {MIN_COUNT} THEN pairs.n / a.n ELSE {BACKOFF} * b.n / (SELECT count(*) FROM tokens)::DOUBLE END) * 1e6)::BIGINT AS micro
   FROM pairs JOIN singles a ON a.w = pairs.v JOIN singles b ON b.w = pairs.w
 ), sums AS (
   SELECT doc_id, count(*) AS n_tokens, sum(seen)::BIGINT AS n_seen, sum(micro)::BIGINT AS score_micro
-  FROM marked JOIN scored USING (v, w) GROUP BY doc_id
+  FROM tokens JOIN scored USING (v, w) GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_seen, 0) AS n_seen, coalesce(score_micro, 0) AS score_micro,
   score_micro / n_tokens / 1e6 AS mean_log_score

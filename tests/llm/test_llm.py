@@ -44,14 +44,32 @@ def test_lm_scores_all_words(spark, monkeypatch):
     texts = [*ODD, *(" ".join(f"w{i}" for i in rng.zipf(1.3, 80)) for _ in range(60))]
     docs = docs_of(spark, texts)
     frame = docs.select("doc_id", "text").toPandas()  # noqa: F841
-    limit = f"LIMIT {lm_scoring.VOCABULARY}"
-    assert lm_scoring.OP1_SQL.count(limit) == 1
-    want = {r[0]: r[1:4] for r in duckdb.sql(lm_scoring.OP1_SQL.replace(limit, "").replace("FROM documents", "FROM frame")).fetchall()}
+    want = {r[0]: r[1:4] for r in duckdb.sql(lm_scoring.OP1_SQL.replace("FROM documents", "FROM frame")).fetchall()}
     for coded in (lm_scoring.CODED, 50, 0):
         monkeypatch.setattr(lm_scoring, "CODED", coded)
         got = {r["doc_id"]: (r["n_tokens"], r["n_seen"], r["score_micro"]) for r in lm_scoring.score(docs, "doc_id").collect()}
         assert got == want
-    assert {r["doc_id"]: r["score_micro"] for r in lm_scoring.score(docs, "doc_id", vocabulary=50).collect()} != {i: w[2] for i, w in want.items()}
+
+
+def test_lm_higher_orders(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [*ODD, *(" ".join(f"w{i}" for i in rng.zipf(1.5, 60)) for _ in range(40))]
+    words = [(t or "").split() for t in texts]
+    grams = Counter(tuple((["^", *w])[i : i + k]) for w in words if w for k in (1, 2, 3, 4) for i in range(len(w) + 2 - k))
+    total = sum(map(len, words))
+
+    def plain(history, w):
+        if not history:
+            return round(float(np.log(0.4 * grams[(w,)] / total)) * 1e6)
+        if grams[(*history, w)] >= 2:
+            return round(float(np.log(grams[(*history, w)] / grams[tuple(history)])) * 1e6)
+        return plain(history[1:], w) + (round(float(np.log(0.4)) * 1e6) if len(history) > 1 else 0)
+
+    monkeypatch.setattr(lm_scoring, "CODED", 5)
+    for order in (3, 4):
+        got = {r["doc_id"]: r["score_micro"] for r in lm_scoring.score(docs_of(spark, texts), "doc_id", order=order).collect()}
+        want = {i: sum(plain((["^", *own])[max(0, j + 2 - order) : j + 1], w) for j, w in enumerate(own)) for i, own in enumerate(words)}
+        assert got == want
 
 
 # --- toxicity -------------------------------------------------------------------------------------------------------
