@@ -1,9 +1,10 @@
 """Stupid-backoff language-model scores, computed relationally.
 
 Words are what white space separates, in lower case; every word of the documents is one of the model's.  The count
-tables of all n-grams up to ``order`` cover all documents and are partitioned by the n-gram's hash; documents' n-grams,
-counted within each document, are joined to them and their scores are summed per document.  Texts are read again for
-each join rather than their n-grams stored, as these take more room than the texts:
+tables of all n-grams up to ``order`` cover all documents and are partitioned by the n-gram's hash; documents' exploded
+n-grams are joined to them and their scores are summed per document.  A task hands on an n-gram once for about ``HELD``
+words, with the documents that it stands in, dealt out by the n-gram; the count table is aggregated where these rows
+lie and joined to them there, so that n-grams move once:
 
     score(u v w) = ln(c(u v w) / c(u v))       if c(u v w) >= min_count
                  = ln(backoff) + score(v w)    otherwise, down to
@@ -17,8 +18,8 @@ its n-grams that are seen change: score less the score that backing off gives; o
 
 The most frequent words, at most ``CODED``, have short codes and counts that are sent to the tasks; the others go by a
 hash of the word, and their counts by a join with the bigrams that need them.  That only shortens keys.  A bigram needs
-one count only: its first word's if it is seen, else its second word's.  An n-gram has one row for each document at most
-before a join, and adaptive execution splits the join's hot keys.
+one count only: its first word's if it is seen, else its second word's.  An n-gram occurs no more often than its rarest
+word; where that may be more than ``SALTED`` times, its rows are dealt out to several tasks, whose counts are added up.
 
 Null and empty texts have no words: score 0.  Rows with the same id are one document; rows without id, too.  An empty
 table gives no rows.  Other columns aren't looked at, whatever their names.
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +44,19 @@ ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
 #: Code of the start mark; the key of a bigram of short codes holds both.
 START, SHIFT = 1, 20
 #: Words with short codes, steps for each doubling of the counts among which they're chosen, hashes remembered in a Python worker.
-CODED, STEPS, MEMO = 250_000, 16, 200_000
-#: A bigram and the row that it stands in, side by side in 64 bits.
+CODED, STEPS, MEMO = 500_000, 16, 200_000
+#: An n-gram and the row that it stands in, side by side in 64 bits.
 ROW_BITS = 20
+#: Columns that name an n-gram.
+GRAM = ["a", "b", "salt"]
 #: Distinct words counted in a Python worker before they're handed on, words whose bigrams it holds, rows of a batch.
 COUNTED, HELD, BATCH = 300_000, 2_000_000, 250_000
+#: Occurrences of an n-gram that a task takes, about.
+SALTED = 1 << 22
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all documents; words are counted within tasks first."""
+    """(word, n) over all documents, words as their hashes; words are counted within tasks first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
@@ -58,13 +64,13 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for text in b["text"]:
                 held.update(text.split(" "))
             if len(held) > COUNTED:
-                yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                yield pd.DataFrame({"word": [hashed(w) for w in held], "n": list(held.values())})
                 held.clear()
         if held:
-            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+            yield pd.DataFrame({"word": [hashed(w) for w in held], "n": list(held.values())})
 
     texts = docs.select(words_joined(text_col).alias("text")).filter("text != ''")
-    return texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def words_joined(text_col: str):
@@ -72,7 +78,7 @@ def words_joined(text_col: str):
     return F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
 
 
-def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[int, int]]:
     """The most frequent words and their counts, all words down to some count; at most ``most``."""
     step = F.floor(F.log2("n") * STEPS)
     # a row for each step: a few hundred, whatever the table
@@ -91,13 +97,12 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
 class Codes(dict):
     """Codes of words: short ones from 2 up, else the word's hash, below 0."""
 
-    def __init__(self, coded: dict[str, int]):
+    def __init__(self, coded: dict[int, int]):
         self.coded = coded
 
     def __missing__(self, word: str) -> int:
-        at = self.coded.get(word)
-        if at is None:
-            at = hashed(word)
+        at = hashed(word)
+        at = self.coded.get(at, at)
         if len(self) > MEMO:
             self.clear()
         self[word] = at
@@ -124,8 +129,9 @@ def keys_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.where((first >= 0) & (second >= 0), first << SHIFT | second, mixed(first, second))
 
 
-def higher(first: np.ndarray, second: np.ndarray, rows: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, prefix's key, suffix's key, row) of the n-grams of an order above 2 that don't reach past a text's start mark."""
+def higher(first: np.ndarray, second: np.ndarray, rows: np.ndarray, order: int) -> tuple[np.ndarray, ...]:
+    """(which bigrams end one, key, prefix's key, suffix's key, row) of the n-grams of an order above 2 that don't reach
+    past a text's start mark."""
     begins = np.flatnonzero(np.diff(rows, prepend=-1))
     place = np.arange(len(rows)) - np.repeat(begins, np.diff(np.append(begins, len(rows))))
     keys = prefix = suffix = keys_of(first, second)
@@ -133,7 +139,7 @@ def higher(first: np.ndarray, second: np.ndarray, rows: np.ndarray, order: int)
         prefix, suffix = np.concatenate([keys[:1], keys[:-1]]), keys
         keys = mixed(prefix, second)
     whole = place >= order - 2
-    return keys[whole], prefix[whole], suffix[whole], rows[whole]
+    return whole, keys[whole], prefix[whole], suffix[whole], rows[whole]
 
 
 Held = tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]
@@ -170,64 +176,93 @@ def in_batches(**columns) -> Iterator[pa.RecordBatch]:
         yield whole.slice(i, BATCH)
 
 
-def score(docs: DataFrame, id_col: str, text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
-    """(id, n_tokens, n_seen, score_micro): ``n_seen`` bigrams of a document were found in the count table."""
-    spark = docs.sparkSession
-    counts = stored(word_counts(docs, text_col), "lm-words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    top = most_frequent(counts, CODED)
-    ids = spark.sparkContext.broadcast({word: i + 2 for i, (word, _) in enumerate(top)})
-    id_type = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).alias("id"), words_joined(text_col).alias("text")).filter("text != ''")
+def posted(texts: DataFrame, shared, order: int, named: bool = False) -> DataFrame:
+    """(a, b, salt, id, n), dealt out by the first three: an n-gram, and how often a text has it; ``named``: its key, too.
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first, second, _, _ in held_bigrams(batches, Codes(ids.value)):
-            keys = keys_of(first, second)
-            short = keys >= 0
-            key, n = np.unique(keys[short], return_counts=True)
-            none = pa.nulls(len(key), pa.int64())
-            yield from in_batches(key=key, n=n, first=none, second=none)
-            key, at, n = np.unique(keys[~short], return_index=True, return_counts=True)
-            yield from in_batches(key=key, n=n, first=first[~short][at], second=second[~short][at])
-
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first, second, rows, of_rows in held_bigrams(batches, Codes(ids.value)):
+    Bigrams of short codes have a, both codes with a salt above them, and b = 0; others have the words' codes; longer
+    n-grams have the keys of prefix and suffix.  A salt tells parts of an n-gram that may be too much for one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, counts = shared.value
+        task = TaskContext.get().partitionId()
+        for number, (first, second, rows, of_rows) in enumerate(held_bigrams(batches, Codes(ids))):
+            often = np.minimum(*(np.where(codes >= 0, counts[np.maximum(codes, 0)], 0) for codes in (first, second)))
             keys = keys_of(first, second)
-            short = keys >= 0
+            if order > 2:
+                whole, keys, first, second, rows = higher(first, second, rows, order)
+                often = often[whole]
             # ordered by key, which leaves less to shuffle
-            own, n = np.unique(keys[short] << ROW_BITS | rows[short], return_counts=True)
-            yield from in_batches(id=of_rows.take(pa.array(own & (1 << ROW_BITS) - 1)), key=own >> ROW_BITS, n=n.astype(np.int32))
-            yield from hashed_rows(keys[~short], rows[~short], of_rows)
+            key, lead, at = np.unique(keys, return_index=True, return_inverse=True)
+            own, n = np.unique(at << ROW_BITS | rows, return_counts=True)
+            of_key, row = own >> ROW_BITS, own & (1 << ROW_BITS) - 1
+            parts = np.minimum(often[lead] // SALTED, 1 << 20)
+            # one salt for a task's rows of an n-gram, the same when the task is repeated
+            salt = mixed(np.full(len(key), task), np.full(len(key), number)).view(np.uint64) % (parts + 1).astype(np.uint64)
+            salt = np.where(parts > 0, 1 + salt.astype(np.int64), 0)
+            a, b = first[lead], second[lead]
+            if order == 2:
+                packed = key >= 0
+                a, b, salt = np.where(packed, salt << 2 * SHIFT | key, a), np.where(packed, 0, b), np.zeros(len(key), np.int64)
+            columns = {"a": a[of_key], "b": b[of_key], "salt": salt[of_key].astype(np.int32), "id": of_rows.take(pa.array(row)), "n": n.astype(np.int32)}
+            yield from in_batches(**columns, **({"key": key[of_key]} if named else {}))
+
+    columns = f"a long, b long, salt int, id {dict(texts.dtypes)['id']}, n int{', key long' if named else ''}"
+    return texts.mapInArrow(run, columns).repartition(*GRAM)
+
+
+def counted(grams: DataFrame, salted: bool) -> DataFrame:
+    """(a, b, salt, c): the count table, partitioned like ``grams``; with the key where ``grams`` has one."""
+    # an n-gram's count is no less than its rows; reading the ids too, both sides of the later join share one exchange
+    count = F.greatest(F.sum("n"), F.count("id")).alias("c")
+    named = [F.min("key").alias("key")] if "key" in grams.columns else []
+    own = grams.groupBy(*GRAM).agg(count, *named)
+    if not salted:
+        return own
+    packed = (F.col("b") == 0) & (F.col("a") >= 1 << 2 * SHIFT)
+    split = own.filter((F.col("salt") > 0) | packed).withColumn("gram", F.when(packed, F.col("a").bitwiseAND((1 << 2 * SHIFT) - 1)).otherwise(F.col("a")))
+    totals = split.groupBy("gram", "b").agg(F.sum("c").alias("total"), F.collect_list(F.struct("a", "salt")).alias("parts"))
+    totals = totals.select("b", "total", F.explode("parts").alias("part")).select("part.a", "b", "part.salt", "total")
+    return own.join(totals, GRAM, "left").select(*GRAM, F.coalesce("total", "c").alias("c"), *(["key"] if named else []))
 
-    def uncoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b[[w not in ids.value for w in b["word"]]]
-            yield pd.DataFrame({"word": [hashed(w) for w in b["word"]], "c": b["n"].to_numpy()}, dtype=np.int64)
 
-    pairs = texts.select("text").mapInArrow(counted, "key long, n long, first long, second long").groupBy("key").agg(
-        F.sum("n").alias("pairs"), F.min("first").alias("first"), F.min("second").alias("second")
-    )
-    rows = texts.mapInArrow(bigrams, f"id {id_type}, key long, n int")
+def score(docs: DataFrame, id_col: str, text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
+    """(id, n_tokens, n_seen, score_micro): ``n_seen`` bigrams of a document were found in the count table."""
+    spark = docs.sparkSession
+    words = stored(word_counts(docs, text_col), "lm-words")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    top = most_frequent(words, CODED)
+    texts = docs.select(F.col(id_col).alias("id"), words_joined(text_col).alias("text")).filter("text != ''")
+    begun = texts.count()
+    ids = {word: i + 2 for i, (word, _) in enumerate(top)}
+    shared = spark.sparkContext.broadcast((ids, np.array([0, begun, *(n for _, n in top)], np.int64)))
+    salted = max([begun, *(n for _, n in top[:1])]) >= SALTED
+
     # bounded by the short codes
-    singles = [(START, texts.count()), *((i + 2, n) for i, (_, n) in enumerate(top))]
-    of_word = F.broadcast(spark.createDataFrame(singles, "word long, c long"))
-    rest = counts.mapInPandas(uncoded, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    seen = F.col("pairs") >= min_count
-    first = F.coalesce("first", F.shiftright("key", SHIFT))
-    second = F.coalesce("second", F.col("key").bitwiseAND((1 << SHIFT) - 1))
-    parts = pairs.select("key", "pairs", seen.cast("int").alias("seen"), F.when(seen, first).otherwise(second).alias("word"))
-    ratio = F.when(F.col("seen") == 1, F.col("pairs") / F.col("c")).otherwise(F.lit(backoff) * F.col("c") / F.lit(float(total)))
+    of_word = F.broadcast(spark.createDataFrame([(START, begun), *((i + 2, n) for i, (_, n) in enumerate(top))], "word long, of long"))
+    # more words than the bigrams ask for do no harm: coded ones aren't asked for by their hash
+    rest = words.select("word", F.col("n").alias("of"))
+    grams = posted(texts, shared, 2, order > 2)
+    seen = F.col("c") >= min_count
+    packed = F.col("b") == 0
+    low = (1 << SHIFT) - 1
+    first = F.when(packed, F.shiftright("a", SHIFT).bitwiseAND(low)).otherwise(F.col("a"))
+    second = F.when(packed, F.col("a").bitwiseAND(low)).otherwise(F.col("b"))
+    named = ["key"] if order > 2 else []
+    parts = counted(grams, salted).select(*GRAM, *named, "c", seen.cast("int").alias("seen"), F.when(seen, first).otherwise(second).alias("word"))
+    ratio = F.when(F.col("seen") == 1, F.col("c") / F.col("of")).otherwise(F.lit(backoff) * F.col("of") / F.lit(float(total)))
     micro = F.round(F.log(ratio) * 1e6).cast("long").alias("micro")
-    scored = parts.filter("word >= 0").join(of_word, "word")
+    scored = parts.filter("word >= 0").join(of_word, "word").select(*GRAM, *named, "c", "seen", micro)
     # a partition of the count table is a hash table: the many bigrams of documents need no sort
-    found = rows.join(scored.select("key", "seen", micro).hint("shuffle_hash"), "key").select("id", "n", "seen", "micro")
+    found = grams.join(scored.select(*GRAM, "seen", "micro").hint("shuffle_hash"), GRAM).select("id", "n", "seen", "micro")
     # only what needs the count of a word without a short code is dealt out by word
-    needy = rows.join(parts.filter("word < 0").hint("shuffle_hash"), "key").select("id", "n", "pairs", "seen", "word")
+    needy = grams.join(parts.filter("word < 0").drop("key").hint("shuffle_hash"), GRAM).select("id", "n", "c", "seen", "word")
     found = found.unionByName(needy.join(rest, "word").select("id", "n", "seen", micro))
-    found = found.select("id", F.col("n").cast("long").alias("n"), (F.col("n") * F.col("seen")).alias("seen"), (F.col("n") * F.col("micro")).alias("micro"))
+    found = found.select("id", F.col("n").cast("long").alias("n"), (F.col("n") * F.col("seen")).cast("long").alias("seen"), (F.col("n") * F.col("micro")).alias("micro"))
     if order > 2:
-        known = scored.unionByName(parts.filter("word < 0").join(rest, "word")).filter("seen = 1").select("key", F.col("pairs").alias("c"), micro)
-        found = found.unionByName(of_higher_orders(texts, ids, known, order, backoff, min_count))
+        known = scored.unionByName(parts.filter("word < 0").join(rest, "word").select(*GRAM, *named, "c", "seen", micro))
+        known = known.filter("seen = 1").select("key", "c", "micro")
+        found = found.unionByName(of_higher_orders(texts, shared, known, order, backoff, min_count, salted))
     sums = found.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.sum("seen").alias("n_seen"), F.sum("micro").alias("score_micro"))
     every = docs.select(F.col(id_col).alias(id_col)).distinct()
     zero = F.lit(0).cast("long")
@@ -236,14 +271,7 @@ def score(docs: DataFrame, id_col: str, text_col: str = "text", order: int = ORD
     )
 
 
-def hashed_rows(keys: np.ndarray, rows: np.ndarray, of_rows: pa.Array) -> Iterator[pa.RecordBatch]:
-    """(id, key, n) of each row and key, ordered by key."""
-    key, at = np.unique(keys, return_inverse=True)
-    own, n = np.unique(at << ROW_BITS | rows, return_counts=True)
-    yield from in_batches(id=of_rows.take(pa.array(own & (1 << ROW_BITS) - 1)), key=key[own >> ROW_BITS], n=n.astype(np.int32))
-
-
-def of_higher_orders(texts: DataFrame, ids, known: DataFrame, order: int, backoff: float, min_count: int) -> DataFrame:
+def of_higher_orders(texts: DataFrame, shared, known: DataFrame, order: int, backoff: float, min_count: int, salted: bool) -> DataFrame:
     """(id, n, seen, micro) rows that orders above 2 add to the bigrams' sums; ``known`` (key, c, micro) has the seen bigrams."""
     back = round(float(np.log(backoff)) * 1e6)
     zero = F.lit(0).cast("long")
@@ -251,32 +279,18 @@ def of_higher_orders(texts: DataFrame, ids, known: DataFrame, order: int, backof
     words = F.size(F.split("text", " "))
     tries = sum((F.greatest(words - (k - 2), F.lit(0)) for k in range(3, order + 1)), F.lit(0))
     out = texts.select("id", zero.alias("n"), zero.alias("seen"), (tries * F.lit(back)).cast("long").alias("micro"))
-    id_type = dict(texts.dtypes)["id"]
     for k in range(3, order + 1):
-
-        def counted(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
-            for first, second, rows, _ in held_bigrams(batches, Codes(ids.value)):
-                keys, prefix, suffix, _ = higher(first, second, rows, k)
-                key, at, n = np.unique(keys, return_index=True, return_counts=True)
-                yield from in_batches(key=key, n=n, prefix=prefix[at], suffix=suffix[at])
-
-        def grams(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
-            for first, second, rows, of_rows in held_bigrams(batches, Codes(ids.value)):
-                keys, _, _, own = higher(first, second, rows, k)
-                yield from hashed_rows(keys, own, of_rows)
-
-        counts = texts.select("text").mapInArrow(counted, "key long, n long, prefix long, suffix long").groupBy("key").agg(
-            F.sum("n").alias("c"), F.min("prefix").alias("prefix"), F.min("suffix").alias("suffix")
-        )
+        grams = posted(texts, shared, k, True)
+        # n-grams that were split have a row for each part
+        known = known.select("key", "c", "micro").dropDuplicates(["key"])
         # a seen n-gram's prefix and suffix are seen, too
-        prefix, suffix = known.select(F.col("key").alias("prefix"), F.col("c").alias("of")), known.select(F.col("key").alias("suffix"), F.col("micro").alias("less"))
+        prefix = known.select(F.col("key").alias("a"), F.col("c").alias("of"))
+        suffix = known.select(F.col("key").alias("b"), F.col("micro").alias("less"))
         micro = F.round(F.log(F.col("c") / F.col("of")) * 1e6).cast("long")
-        scored = counts.filter(F.col("c") >= min_count).join(prefix, "prefix").join(suffix, "suffix").select("key", "c", micro.alias("micro"), (micro - back - F.col("less")).alias("more"))
-        scored = stored(scored, "lm-grams")
-        rows = texts.mapInArrow(grams, f"id {id_type}, key long, n int")
-        found = rows.join(scored.select("key", "more").hint("shuffle_hash"), "key")
+        scored = counted(grams, salted).filter(F.col("c") >= min_count).join(prefix, "a").join(suffix, "b")
+        known = stored(scored.select(*GRAM, "key", "c", micro.alias("micro"), (micro - back - F.col("less")).alias("more")), "lm-grams")
+        found = grams.join(known.select(*GRAM, "more").hint("shuffle_hash"), GRAM)
         out = out.unionByName(found.select("id", zero.alias("n"), zero.alias("seen"), (F.col("n") * F.col("more")).alias("micro")))
-        known = scored.select("key", "c", "micro")
     return out
 
 

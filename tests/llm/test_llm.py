@@ -45,8 +45,9 @@ def test_lm_scores_all_words(spark, monkeypatch):
     docs = docs_of(spark, texts)
     frame = docs.select("doc_id", "text").toPandas()  # noqa: F841
     want = {r[0]: r[1:4] for r in duckdb.sql(lm_scoring.OP1_SQL.replace("FROM documents", "FROM frame")).fetchall()}
-    for coded in (lm_scoring.CODED, 50, 0):
+    for coded, salted in ((lm_scoring.CODED, lm_scoring.SALTED), (50, 3), (0, 3)):
         monkeypatch.setattr(lm_scoring, "CODED", coded)
+        monkeypatch.setattr(lm_scoring, "SALTED", salted)
         got = {r["doc_id"]: (r["n_tokens"], r["n_seen"], r["score_micro"]) for r in lm_scoring.score(docs, "doc_id").collect()}
         assert got == want
 
@@ -66,6 +67,7 @@ def test_lm_higher_orders(spark, monkeypatch):
         return plain(history[1:], w) + (round(float(np.log(0.4)) * 1e6) if len(history) > 1 else 0)
 
     monkeypatch.setattr(lm_scoring, "CODED", 5)
+    monkeypatch.setattr(lm_scoring, "SALTED", 20)
     for order in (3, 4):
         got = {r["doc_id"]: r["score_micro"] for r in lm_scoring.score(docs_of(spark, texts), "doc_id", order=order).collect()}
         want = {i: sum(plain((["^", *own])[max(0, j + 2 - order) : j + 1], w) for j, w in enumerate(own)) for i, own in enumerate(words)}
