@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 EARTH_KM = 6371.0
 # Role names and condition words.
 ROLES = {"admin": "Admin", "road_surveyor": "Road Surveyor", "asset_manager": "Asset Manager", "viewer": "Viewer"}
+ROLE_ALIASES = {"surveyor": "road_surveyor", "asset": "asset_manager", "admin": "admin", "viewer": "viewer"}
+MEDIA = {"mp4": "video/mp4", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gpx": "application/gpx+xml", "json": "application/json"}
 CONDITIONS = {"Good": "good", "Fair": "fair", "Poor": "poor", "Damaged": "poor", "Missing": "poor"}
 
 
@@ -45,7 +47,7 @@ def minutes_seconds(seconds: Column) -> Column:
 
 
 def megabytes(size: Column) -> Column:
-    return F.format_string("%.2f MB", size / (1024.0 * 1024.0))
+    return F.when(size.isNotNull(), F.format_string("%.2f MB", size / (1024.0 * 1024.0)))
 
 
 def time_asked(text: Column) -> Column:
@@ -74,7 +76,13 @@ def video_key(path: Column) -> Column:
 
 
 def route_code(route: Column) -> Column:
-    return F.concat(F.lit("R"), F.lpad(route.cast("string"), 3, "0"))
+    return F.concat(F.lit("R"), zero_padded(route, 3))
+
+
+def zero_padded(n: Column, width: int) -> Column:
+    """At least ``width`` digits; longer numbers stay whole."""
+    text = n.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
 
 
 def route_number(code: Column) -> Column:
@@ -82,7 +90,7 @@ def route_number(code: Column) -> Column:
 
 
 def numbered_id(prefix: str, n: Column, width: int = 5) -> Column:
-    return F.concat(F.lit(f"{prefix}-"), F.lpad(n.cast("string"), width, "0"))
+    return F.concat(F.lit(f"{prefix}-"), zero_padded(n, width))
 
 
 def condition_of(choices: Column) -> Column:
@@ -105,7 +113,7 @@ def frame_in_range(frame: Column, total: Column) -> Column:
 
 
 def road_class(km: Column) -> Column:
-    return F.when(km >= 50, "NH").when(km >= 15, "SH").otherwise("MDR")
+    return F.when(km >= 50, "National/Expressway").when(km >= 15, "Municipal/Urban Road").otherwise("Local Access Road")
 
 
 def frame_path(number: Column, seconds: Column) -> Column:
@@ -132,9 +140,16 @@ def marker_radius(n: Column) -> Column:
 
 
 def role_name(role: Column) -> Column:
+    """Display name of a canonical role."""
     return F.coalesce(F.element_at(literal_map(ROLES), F.lower(role)), F.lit("Road Surveyor"))
 
 
+def canonical_role(role: Column) -> Column:
+    """Canonical role of a display name, whatever its case, or of an alias; others are road surveyors."""
+    of = literal_map({v: k for k, v in ROLES.items()} | ROLE_ALIASES)
+    return F.coalesce(F.element_at(of, role), F.element_at(of, F.initcap(role)), F.lit("road_surveyor"))
+
+
 def object_id(c: Column) -> Column:
     """A plain id or that of an extended-JSON object."""
     return F.coalesce(F.get_json_object(F.when(c.startswith("{"), c), "$.$oid"), c)
@@ -151,3 +166,102 @@ def steady_confidence(key: Column) -> Column:
 
 def percent_label(name: Column, confidence: Column) -> Column:
     return F.format_string("%s: %.2f", name, confidence)
+
+
+def endpoint_names(road: Column) -> Column:
+    """Names of a road's two ends, by its kind."""
+    a = F.when(road.contains("Rd") | road.contains("Road"), " Start").when(road.contains("St"), " North").otherwise(" Point A")
+    b = F.when(road.contains("Rd") | road.contains("Road"), " End").when(road.contains("St"), " South").otherwise(" Point B")
+    return F.struct(F.concat(road, a).alias("start_name"), F.concat(road, b).alias("end_name"))
+
+
+def on_circle(lat: float, lon: float, angle: Column, radius: Column) -> Column:
+    """A point at an angle (radians) and a distance in degrees from a centre, six digits."""
+    return F.struct(F.round(lat + radius * F.sin(angle), 6).alias("lat"), F.round(lon + radius * F.cos(angle), 6).alias("lng"))
+
+
+def demo_key(path: Column, keys: list[str], default: str | None = None) -> Column:
+    """The first key that the file's stem contains."""
+    stem = file_stem(path)
+    out = F.lit(default)
+    for key in reversed(keys):
+        out = F.when(stem.contains(key), F.lit(key)).otherwise(out)
+    return out
+
+
+def prefix_category(name: Column, prefixes: list[str], default: str = "default") -> Column:
+    """The first of the prefixes that the name starts with."""
+    out = F.lit(default)
+    for prefix in reversed(prefixes):
+        out = F.when(name.startswith(prefix), F.lit(prefix)).otherwise(out)
+    return out
+
+
+def preview(text: Column, n: int = 200) -> Column:
+    return F.substring(text, 1, n)
+
+
+def resized(width: Column, height: Column, most: int) -> Column:
+    """Width and height in whole pixels, the wider side ``most`` at most, in the same ratio."""
+    scale = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(width, height))
+    return F.struct((width * scale).cast("int").alias("width"), (height * scale).cast("int").alias("height"))
+
+
+def media_type(path: Column) -> Column:
+    return F.coalesce(F.element_at(literal_map(MEDIA), file_extension(path)), F.lit("application/octet-stream"))
+
+
+def data_url(path: Column, content: Column) -> Column:
+    return F.concat(F.lit("data:"), media_type(path), F.lit(";base64,"), F.base64(content))
+
+
+def predictions(payload: Column, schema: str) -> Column:
+    """Detections of a response: a bare list, or the list under ``predictions``."""
+    bare = F.from_json(F.when(F.ltrim(payload).startswith("["), payload), f"array<{schema}>")
+    return F.coalesce(bare, F.from_json(payload, f"predictions array<{schema}>")["predictions"], F.from_json(F.lit("[]"), f"array<{schema}>"))
+
+
+def first_style(names: Column, styles: dict[str, str], default: str) -> Column:
+    """What ``styles`` has for the first name of an array."""
+    return F.coalesce(F.element_at(literal_map(styles), F.get(names, F.lit(0))), F.lit(default))
+
+
+def style(name: Column, styles: dict[str, str], default: str) -> Column:
+    return F.coalesce(F.element_at(literal_map(styles), name), F.lit(default))
+
+
+def band_of(value: Column, bands: Column) -> Column:
+    """The first band of ``good:>0.8,fair:0.5-0.8,poor:<0.5`` that holds the value; null if none does."""
+    part = lambda b, i: F.regexp_extract(b, r"^\s*(\w+):([<>]?)([0-9.]+)(?:-([0-9.]+))?\s*$", i)
+    low, high = lambda b: part(b, 3).try_cast("double"), lambda b: part(b, 4).try_cast("double")
+    holds = lambda b: F.when(part(b, 2) == ">", value > low(b)).when(part(b, 2) == "<", value < low(b)).otherwise((value >= low(b)) & (value <= high(b)))
+    found = F.filter(F.split(bands, ","), lambda b: F.coalesce(holds(b), F.lit(False)))
+    return F.get(F.transform(found, lambda b: part(b, 1)), F.lit(0))
+
+
+def description(category: Column, condition: Column) -> Column:
+    return F.concat(F.initcap(F.lower(category)), F.lit(" in "), F.lower(condition), F.lit(" condition"))
+
+
+def toggled(names: Column, name: Column) -> Column:
+    """The set without the name if it has it, else with it."""
+    return F.when(F.array_contains(names, name), F.array_remove(names, name)).otherwise(F.array_append(names, name))
+
+
+def summed_maps(a: Column, b: Column) -> Column:
+    """Values of both maps added by key."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+
+def merged_maps(a: Column, b: Column) -> Column:
+    """All entries; the second map wins."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(y, x))
+
+
+def sorted_keys(m: Column) -> Column:
+    return F.sort_array(F.map_keys(m))
+
+
+def number_in(key: Column) -> Column:
+    """The digits of a key as a number (R010 is 10)."""
+    return F.regexp_extract(key, r"(\d+)$", 1).try_cast("long")

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import absent, present
-from .ranking import with_latest
+from .joins import absent, first_per_key, present
+from .ranking import with_latest, with_versions
 
 
-def merge_update(table: DataFrame, changes: DataFrame, key: str, touch: str | None = None, now: Column | None = None) -> DataFrame:
-    """Changed columns of matching rows; null in ``changes`` leaves a value.  Keys in ``changes`` are unique."""
+def merge_update(table: DataFrame, changes: DataFrame, key: str, touch: str | None = None, now: Column | None = None, set_null: tuple[str, ...] = ()) -> DataFrame:
+    """Changed columns of matching rows; null in ``changes`` leaves a value, but is set in the columns ``set_null``.
+
+    Keys in ``changes`` are unique.
+    """
     cols = [c for c in changes.columns if c != key and c in table.columns]
     right = changes.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in cols])
     out = table.join(right, F.col(key) == F.col("__k"), "left")
-    out = out.withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in cols})
+    new = {c: F.when(F.col("__k").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)) if c in set_null else F.coalesce(F.col(f"__{c}"), F.col(c)) for c in cols}
+    out = out.withColumns(new)
     if touch:
         out = out.withColumn(touch, F.when(F.col("__k").isNotNull(), now if now is not None else F.current_timestamp()).otherwise(F.col(touch)))
     return out.select(*table.columns)
@@ -56,3 +60,37 @@ def repaired_paths(table: DataFrame, cols: list[str]) -> DataFrame:
     for c, new in fixed.items():
         changed = changed | F.coalesce(new != F.col(c), F.lit(False))
     return table.withColumn("changed", changed).withColumns(fixed)
+
+
+def bulk_insert(table: DataFrame, rows: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:
+    """Rows with defaults for what they lack are added; keys that are there already, or stand twice, are tolerated."""
+    given = {c: F.coalesce(F.col(c), v) if c in rows.columns else v for c, v in defaults.items()}
+    return append_new(table, rows.withColumns(given), key)
+
+
+def set_by_title(table: DataFrame, title: str, key: str, changes: DataFrame) -> DataFrame:
+    """``changes`` (title and new values) go to the first row of each title, by key."""
+    first = first_per_key(table.join(changes.select(title), title, "left_semi"), title, key).select(key, title)
+    return merge_update(table, first.join(changes, title).drop(title), key)
+
+
+def with_location(frames: DataFrame, lat: str = "lat", lon: str = "lon", altitude: str = "altitude", time: str = "gpx_timestamp") -> DataFrame:
+    """Frames that an as-of join linked: a point as ``location`` (null without one), altitude and time."""
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col(lon), F.col(lat)).alias("coordinates"))
+    linked = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    kept = [c for c in frames.columns if c not in (lat, lon, altitude, time)]
+    return frames.select(*kept, F.when(linked, point).alias("location"), F.col(altitude).alias("altitude"), F.col(time).alias("gpx_timestamp"))
+
+
+def create_surveys(surveys: DataFrame, new: DataFrame) -> DataFrame:
+    """New surveys join the old ones; versions by date and the latest flag of each route are set anew."""
+    rows = surveys.unionByName(new, allowMissingColumns=True).drop("survey_version", "is_latest")
+    return with_latest(with_versions(rows, "route_id", "survey_date", "id"), "route_id", F.desc("survey_date"), F.desc("id"))
+
+
+def add_messages(chats: DataFrame, messages: DataFrame, new: DataFrame, preview: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(chats, messages) after new messages (id, chat_id, content, created_at): each chat shows its newest one."""
+    newest = new.groupBy(F.col("chat_id").alias("id")).agg(
+        F.max("created_at").alias("updated_at"), F.max_by(F.substring("content", 1, preview), F.struct("created_at", "id")).alias("last_message_preview")
+    )
+    return merge_update(chats, newest, "id"), messages.unionByName(new)

@@ -52,10 +52,22 @@ def band_join(left: DataFrame, right: DataFrame, key: str, time: str, width: flo
     Times fall into cells of that width, so only three neighbouring cells meet, by an equi-join.
     """
     cell = lambda c: F.floor(c / F.lit(width))
-    l = left.withColumn("__cell", F.explode(F.array(*[cell(F.col(time)) + d for d in (-1, 0, 1)]))) if how == "inner" else left  # noqa: E741
+    # a left row without a partner has no cell to be dropped with: pairs are found first, the rest is added
+    l = left.withColumn("__cell", F.explode(F.array(*[cell(F.col(time)) + d for d in (-1, 0, 1)])))  # noqa: E741
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], cell(F.col(time)).alias("__rcell"))
     near = F.abs(F.col(time) - F.col(f"r_{time}")) < width
-    return l.join(r, (F.col(key) == F.col(f"r_{key}")) & (F.col("__cell") == F.col("__rcell")) & near).drop("__cell", "__rcell")
+    pairs = l.join(r, (F.col(key) == F.col(f"r_{key}")) & (F.col("__cell") == F.col("__rcell")) & near).drop("__cell", "__rcell")
+    if how == "inner":
+        return pairs
+    met = pairs.select(F.col(key).alias("__k"), F.col(time).alias("__t")).distinct()
+    alone = left.join(met, F.col(key).eqNullSafe(F.col("__k")) & F.col(time).eqNullSafe(F.col("__t")), "left_anti")
+    return pairs.unionByName(alone, allowMissingColumns=True)
+
+
+def band_lists(left: DataFrame, right: DataFrame, key: str, time: str, width: float, id_col: str, value: str) -> DataFrame:
+    """(id, values): every left row with the sorted values of the right rows near it in time, empty where there's none."""
+    pairs = band_join(left, right, key, time, width, "left")
+    return pairs.groupBy(id_col).agg(F.sort_array(F.collect_list(f"r_{value}")).alias("values"))
 
 
 def nearest_k(df: DataFrame, key: str, distance: Column, order: str, k: int = 3) -> DataFrame:

@@ -76,3 +76,25 @@ def union_first(sources: list[DataFrame], key: str, order: str) -> DataFrame:
         all_ = one if all_ is None else all_.unionByName(one)
     w = Window.partitionBy(key).orderBy("source", order)
     return all_.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def page_with_total(df: DataFrame, number: int, size: int, *order) -> DataFrame:
+    """A page with the number of all rows and of pages on each of its rows; an empty page has none."""
+    total = df.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
+    return page(df, number, size, *order).join(F.broadcast(total))
+
+
+def latest_rows(df: DataFrame, key: str, date: str) -> DataFrame:
+    """All rows of each key's latest date."""
+    last = df.groupBy(F.col(key).alias("__k")).agg(F.max(date).alias("__d"))
+    return df.join(last, (F.col(key) == F.col("__k")) & (F.col(date) == F.col("__d"))).drop("__k", "__d")
+
+
+def history(surveys: DataFrame, route: str, value, version: str = "survey_version") -> DataFrame:
+    return surveys.filter(F.col(route) == F.lit(value)).orderBy(F.desc(version))
+
+
+def unique_names(df: DataFrame, name: str, *order) -> DataFrame:
+    """Repeated names get _1, _2, ... behind them, in order."""
+    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
+    return df.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n.cast("string"))))

@@ -11,9 +11,19 @@ RESULT = f"struct<id:string,type:string,from_name:string,to_name:string,origin:s
 TASKS = f"id long, data struct<video:string>, annotations array<struct<id:long,completed_by:int,result:array<{RESULT}>>>"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or a pattern has files, in whatever file system it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def read_tasks(spark: SparkSession, categories: dict[str, str]) -> DataFrame:
-    """Tasks of several files; ``categories`` maps file names to categories, files that match none have null."""
-    rows = spark.read.schema(TASKS).option("multiLine", True).json(list(categories))
+    """Tasks of several files; ``categories`` maps paths to categories.  Files that aren't there are skipped."""
+    there = [p for p in categories if exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], f"{TASKS}, category string")
+    rows = spark.read.schema(TASKS).option("multiLine", True).json(there)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     of = F.create_map(*[F.lit(x) for path, c in categories.items() for x in (path.rsplit("/", 1)[-1], c)])
     return rows.withColumn("category", F.element_at(of, name))

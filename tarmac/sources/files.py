@@ -34,7 +34,7 @@ def folder_counts(files: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, coordinates: tuple[str, ...] = ("lat", "lng")) -> None:
     """CSV with a header, coordinates with six digits; values with commas are quoted."""
-    fixed = {c: F.format_string("%.6f", c) for c in coordinates if c in df.columns}
+    fixed = {c: F.when(F.col(c).isNotNull(), F.format_string("%.6f", c)) for c in coordinates if c in df.columns}
     df.withColumns(fixed).write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import first_per_key
+
+#: States that may follow a state.
+FOLLOWS = {"pending": ["claimed"], "claimed": ["processing", "failed"], "processing": ["processing", "completed", "failed"], "failed": ["pending"]}
 EVENTS = "job_id string, video_id string, status string, progress int, at timestamp"
 
 
@@ -28,13 +32,27 @@ def transitions(events: DataFrame) -> DataFrame:
 
 
 def process_pending(events: DataFrame, work, checkpoint: str, out: str):
-    """Pending jobs of each micro-batch, oldest first, through ``work`` (DataFrame to DataFrame), appended to ``out``.
+    """Pending jobs of each micro-batch, one row each, through ``work`` (DataFrame to DataFrame), appended to ``out``.
 
     A batch that is run again overwrites its own folder, so each job's result is written once.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        pending = df.filter("status = 'pending'").dropDuplicates(["job_id"]).orderBy("at", "job_id")
+        # a job's first event tells when it was created
+        pending = first_per_key(df.filter("status = 'pending'"), "job_id", "at", "video_id")
         work(pending).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def claimed(events: DataFrame, n: int = 1) -> DataFrame:
+    """The ``n`` oldest jobs whose last event is ``pending``, as the rows that claim them (tables)."""
+    states = events.groupBy("job_id").agg(F.max_by("status", "at").alias("status"), F.max_by("video_id", "at").alias("video_id"), F.min("at").alias("created"))
+    return states.filter("status = 'pending'").orderBy("created", "job_id").limit(n).withColumn("status", F.lit("claimed"))
+
+
+def illegal_transitions(events: DataFrame) -> DataFrame:
+    """Changes of state that may not be."""
+    of = F.create_map(*[x for k, v in FOLLOWS.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
+    after = F.coalesce(F.element_at(of, F.col("previous")), F.array().cast("array<string>"))
+    return transitions(events).filter(~F.array_contains(after, F.col("status")))

@@ -189,3 +189,32 @@ def test_window_stream_equals_batch(spark, tmp_path):
     q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     batch = windows.per_window(windows.event_time(src), "ts", "1 hour", ["event_type"], "value")
     assert batch.exceptAll(spark.table("hours")).count() == 0
+
+
+def test_faults_of_round_one(spark):
+
+    one = spark.range(1)
+    cells = {
+        "code": X.route_code(F.lit(1234)), "short": X.route_code(F.lit(7)), "id": X.numbered_id("AST", F.lit(123456)), "size": X.megabytes(F.lit(None).cast("double")),
+        "class": X.road_class(F.lit(20)), "role": X.canonical_role(F.lit("road surveyor")), "alias": X.canonical_role(F.lit("asset")), "odd": X.canonical_role(F.lit(None).cast("string")),
+        "band": X.band_of(F.lit(0.5), F.lit("good:>0.8,fair:0.5-0.8,poor:<0.5")), "none": X.band_of(F.lit(0.9), F.lit("poor:<0.5")),
+        "media": X.media_type(F.lit("/a/b.MP4")), "key": X.demo_key(F.lit("/x/ab_cd.gpx"), ["cd", "ab"]), "data": X.data_url(F.lit("a.png"), F.lit("x").cast("binary")),
+    }
+    got = one.select(*[c.alias(k) for k, c in cells.items()]).head().asDict()
+    assert got == {
+        "code": "R1234", "short": "R007", "id": "AST-123456", "size": None, "class": "Municipal/Urban Road", "role": "road_surveyor", "alias": "asset_manager",
+        "odd": "road_surveyor", "band": "fair", "none": None, "media": "video/mp4", "key": "cd", "data": "data:image/png;base64,eA==",
+    }
+    a = spark.createDataFrame([(1, 0.0, "a"), (1, 50.0, "b"), (2, 0.0, "c")], "k int, t double, x string")
+    got = J.band_join(a, a.filter("x = 'a'"), "k", "t", 2.0, "left")
+    assert sorted((r["x"], r["r_x"]) for r in got.collect()) == [("a", "a"), ("b", None), ("c", None)]
+    table = spark.createDataFrame([(1, "x", "p"), (2, "y", "q")], "id int, c string, d string")
+    changes = spark.createDataFrame([(1, None, None)], "id int, c string, d string")
+    assert sorted(tuple(r) for r in dml.merge_update(table, changes, "id", set_null=("c",)).collect()) == [(1, None, "p"), (2, "y", "q")]
+    assert tasks_source.read_tasks(spark, {"/nowhere/a.json": "a"}).count() == 0
+    rows = [("j", "v", "pending", 0, 1), ("j", "v", "completed", 9, 2), ("i", "v", "pending", 0, 3), ("h", "v", "pending", 0, 2)]
+    events = spark.createDataFrame(rows, "job_id string, video_id string, status string, progress int, at int")
+    assert [r["job_id"] for r in jobs.claimed(events).collect()] == ["h"]
+    assert [r["job_id"] for r in jobs.illegal_transitions(events).collect()] == ["j"]
+    new = spark.createDataFrame([(2, "z", "r"), (3, None, None), (3, None, None)], "id int, c string, d string")
+    assert sorted(tuple(r) for r in dml.bulk_insert(table, new, "id", {"c": F.lit("now")}).collect()) == [(1, "x", "p"), (2, "y", "q"), (3, "now", None)]
