@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str, alias: str, default: Column | None = None) -> DataFrame:
     """Left lookup of one column of a dimension; ``default`` where there is none."""
@@ -16,22 +18,33 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str, al
     return out if default is None else out.withColumn(alias, F.coalesce(F.col(alias), default))
 
 
-def nearest_asof(left: DataFrame, right: DataFrame, key: str, time: str, order: str, values: list[str]) -> DataFrame:
+def nearest_asof(left: DataFrame, right: DataFrame, key: str, time: str, order: str, values: list[str], span: float | None = None) -> DataFrame:
     """Each left row with the values of the right row of its key that is nearest in time; ties: earlier time, then order.
 
     One shuffle by key: both sides are laid into one time line, and windows carry the nearest row before and after.
     Rows per key are sorted, never paired, so long tracks cost n log n.  Keys without right rows keep nulls.
+    With a ``span`` a key's line is cut into cells of that length, one task each; the first and last right row of each
+    cell, one short row, travel on to the cells beside it.
     """
     own = [c for c in left.columns]
     point = F.struct(F.col(time).alias("__t"), F.col(order).alias("__o"), *values)
     one = left.select(F.col(key).alias("__k"), F.col(time).alias("__time"), F.lit(1).alias("__side"), F.struct(*own).alias("__row"), F.lit(None).cast(right.select(point).schema[0].dataType).alias("__p"))
     two = right.select(F.col(key).alias("__k"), F.col(time).alias("__time"), F.lit(0).alias("__side"), F.lit(None).cast(one.schema["__row"].dataType).alias("__row"), point.alias("__p"))
-    line = one.unionByName(two)
     side, t, o = F.col("__side"), F.col("__time"), F.col("__p.__o")
+    line = one.unionByName(two).withColumn("__cell", F.lit(0).cast("long") if span is None else F.floor(t / F.lit(float(span))))
     # of points with one time, the first in order counts: it comes last before a row and first after it
-    past = Window.partitionBy("__k").orderBy(t, side, o.desc()).rowsBetween(Window.unboundedPreceding, 0)
-    coming = Window.partitionBy("__k").orderBy(t, side.desc(), o).rowsBetween(0, Window.unboundedFollowing)
+    past = Window.partitionBy("__k", "__cell").orderBy(t, side, o.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    coming = Window.partitionBy("__k", "__cell").orderBy(t, side.desc(), o).rowsBetween(0, Window.unboundedFollowing)
     both = line.withColumn("__a", F.last("__p", True).over(past)).withColumn("__b", F.first("__p", True).over(coming)).filter("__row is not null")
+    if span is not None:
+        first, last = (F.min_by("__p", F.when(side == 0, F.struct(at, o))) for at in (t, -t))
+        cells = line.groupBy(F.col("__k").alias("__ck"), F.col("__cell").alias("__cc")).agg(first.alias("__first"), last.alias("__last"))
+        track = Window.partitionBy("__ck").orderBy("__cc")
+        earlier = F.last("__last", True).over(track.rowsBetween(Window.unboundedPreceding, -1))
+        later = F.first("__first", True).over(track.rowsBetween(1, Window.unboundedFollowing))
+        edges = cells.select("__ck", "__cc", earlier.alias("__earlier"), later.alias("__later"))
+        both = both.join(edges, F.col("__k").eqNullSafe(F.col("__ck")) & F.col("__cell").eqNullSafe(F.col("__cc")), "left")
+        both = both.withColumns({"__a": F.coalesce("__a", "__earlier"), "__b": F.coalesce("__b", "__later")})
     a, b = F.abs(t - F.col("__a.__t")), F.abs(F.col("__b.__t") - t)
     pick = F.when(F.col("__b").isNull() | (a <= b), F.col("__a")).otherwise(F.col("__b"))
     return both.withColumn("__n", pick).select("__row.*", F.col("__n.__t").alias(f"matched_{time}"), *[F.col(f"__n.{v}").alias(v) for v in values])
@@ -90,11 +103,11 @@ def absent(df: DataFrame, other: DataFrame, key: str, other_key: str | None = No
 
 
 def round_robin(files: DataFrame, roads: DataFrame, file_order: str, road_order: str) -> DataFrame:
-    """Each road with file number (road number mod number of files); both are small listings."""
-    numbered = lambda df, c: df.withColumn("__n", F.row_number().over(Window.orderBy(c)) - 1)
+    """Each road with file number (road number mod number of files); none without files."""
     total = files.agg(F.count("*").alias("__total"))
-    r = numbered(roads, road_order).join(F.broadcast(total)).filter("__total > 0").withColumn("__i", F.pmod("__n", "__total")).drop("__n", "__total")
-    return r.join(numbered(files, file_order).withColumnRenamed("__n", "__i"), "__i").drop("__i")
+    r = numbered(roads, "__n", road_order).join(F.broadcast(total)).filter("__total > 0")
+    r = r.withColumn("__i", F.pmod(F.col("__n") - 1, "__total")).drop("__n", "__total")
+    return r.join(numbered(files, "__n", file_order).withColumn("__i", F.col("__n") - 1).drop("__n"), "__i").drop("__i")
 
 
 def merged_models(rows: DataFrame, key: str, model: str, detections: str) -> DataFrame:

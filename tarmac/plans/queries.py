@@ -104,7 +104,7 @@ def nearest_point(spark, d):
     f = R.frames(spark, d)
     clicks = S.matching(f, event_type="click").select("frame_number", "video_id", "seconds")
     points = S.matching(f, event_type="view").select("video_id", "seconds", F.col("frame_number").alias("point"))
-    return J.nearest_asof(clicks, points, "video_id", "seconds", "point", ["point"]).select("frame_number", "video_id", "seconds", "point")
+    return J.nearest_asof(clicks, points, "video_id", "seconds", "point", ["point"], span=86_400.0).select("frame_number", "video_id", "seconds", "point")
 
 
 @query(f"""WITH p AS (SELECT video_id, frame_number AS point, row_number() OVER (PARTITION BY video_id ORDER BY frame_number) - 1 AS idx FROM {FRAMES} WHERE event_type = 'view'),

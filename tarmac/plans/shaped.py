@@ -237,3 +237,60 @@ def linked_frames(spark, d):
 def state_changes(spark, d):
     e = R.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.struct("ts", "event_id").alias("at"))
     return Q.transitions(e).groupBy("job_id").agg(F.count("*").alias("changes"))
+
+
+@query("""SELECT l_orderkey AS id, l_linenumber AS item, trunc((l_partkey + 1) * least(1e0, 640e0 / greatest(l_partkey + 1, l_suppkey + 1)))::INT AS width, trunc((l_suppkey + 1) * least(1e0, 640e0 / greatest(l_partkey + 1, l_suppkey + 1)))::INT AS height,
+ CASE l_returnflag WHEN 'R' THEN 'red' WHEN 'A' THEN 'amber' ELSE 'grey' END AS colour, upper(l_linestatus) || ' in ' || lower(l_returnflag) || ' condition' AS description,
+ CASE l_returnflag WHEN 'A' THEN 'R' WHEN 'R' THEN 'A' ELSE 'A,R,' || l_returnflag END AS shown FROM lineitem""")
+def styled_items(spark, d):
+    li = R.table(spark, d, "lineitem")
+    flag = F.col("l_returnflag")
+    size = X.resized(F.col("l_partkey") + 1, F.col("l_suppkey") + 1, 640)
+    return li.select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("item"), size["width"].alias("width"), size["height"].alias("height"),
+        X.first_style(F.array(flag, "l_linestatus"), {"R": "red", "A": "amber"}, "grey").alias("colour"), X.description(F.col("l_linestatus"), flag).alias("description"),
+        F.array_join(X.toggled(F.array(F.lit("A"), F.lit("R")), flag), ",").alias("shown"),
+    )
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN contains(p_brand, '#12') THEN '#12' WHEN contains(p_brand, '#1') THEN '#1' ELSE 'none' END AS key,
+ 'data:image/png;base64,' || base64(encode(p_name)) AS data FROM part""")
+def demo_files(spark, d):
+    p = R.table(spark, d, "part")
+    name = F.concat(F.lit("/demo/"), "p_brand", F.lit(".v2.gpx"))
+    return p.select(F.col("p_partkey").alias("id"), X.demo_key(name, ["#12", "#1"], "none").alias("key"), X.data_url(F.concat("p_brand", F.lit(".png")), F.col("p_name").cast("binary")).alias("data"))
+
+
+@query(f"""WITH p AS (SELECT video_id, frame_number, seconds FROM {FRAMES} WHERE event_type = 'view') SELECT video_id, frame_number, (row_number() OVER (PARTITION BY video_id ORDER BY seconds, frame_number) - 1)::INT AS at FROM p""")
+def track_points(spark, d):
+    views = S.matching(R.frames(spark, d), event_type="view")
+    tracks = views.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seconds", "frame_number"))).alias("points"))
+    return P.points(tracks, "video_id", "points").select("video_id", "point.frame_number", F.col("place").alias("at"))
+
+
+@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY p_brand, p_partkey) + (SELECT max(p_partkey) FROM part) AS new_id FROM part")
+def numbered_on(spark, d):
+    p = R.table(spark, d, "part")
+    return W.surrogate_keys(p, p.withColumnRenamed("p_partkey", "new_id"), "new_id", "p_brand", "p_partkey").select(F.col("p_partkey").alias("id"), "new_id")
+
+
+def job_events(spark, d):
+    """Events as states of jobs, one job a user."""
+    kind = F.col("event_type")
+    status = F.when(kind == "click", "pending").when(kind == "view", "claimed").otherwise("processing")
+    return R.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("user_id").alias("video_id"), status.alias("status"), F.struct("ts", "event_id").alias("at"))
+
+
+JOBS = "(SELECT user_id AS job_id, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'claimed' ELSE 'processing' END AS status, ts, event_id FROM events)"
+
+
+@query(f"""SELECT job_id, 'claimed' AS status FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS k, first(ts) OVER w AS born, first(event_id) OVER w AS first_id FROM {JOBS} WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id))
+ WHERE k = 1 AND status = 'pending' ORDER BY born, first_id LIMIT 20""")
+def claimed_jobs(spark, d):
+    return Q.claimed(job_events(spark, d), 20).select("job_id", "status")
+
+
+@query(f"""SELECT job_id, previous, status, count(*) AS n FROM (SELECT job_id, status, lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS previous FROM {JOBS})
+ WHERE previous <> status AND NOT (previous = 'pending' AND status = 'claimed') AND NOT (previous = 'claimed' AND status = 'processing') GROUP BY 1, 2, 3""")
+def illegal_changes(spark, d):
+    return Q.illegal_transitions(job_events(spark, d)).groupBy("job_id", "previous", "status").agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,26 @@ def claimed(events: DataFrame, n: int = 1) -> DataFrame:
     return states.filter("status = 'pending'").orderBy("created", "job_id").limit(n).withColumn("status", F.lit("claimed"))
 
 
+def tracked(events: DataFrame) -> DataFrame:
+    """Changes of state of a stream of events, as they come, each with whether it may be; a job's last state is kept.
+
+    Events of a job within a micro-batch are taken by time; one that arrives in a later batch follows those before it.
+    """
+
+    def step(key, batches, state):
+        last = state.get[0] if state.exists else None
+        out = []
+        for at, status in pd.concat(list(batches))[["at", "status"]].sort_values("at", kind="stable").itertuples(index=False):
+            if last is not None and status != last:
+                out.append((key[0], last, status, at, status in FOLLOWS.get(last, ())))
+            last = status
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["job_id", "previous", "status", "at", "legal"]).astype({"legal": bool, "at": "datetime64[ns]"})
+
+    rows = events.select("job_id", "status", "at").filter("job_id is not null and status is not null")
+    return rows.groupBy("job_id").applyInPandasWithState(step, "job_id string, previous string, status string, at timestamp, legal boolean", "status string", "append", "NoTimeout")
+
+
 def illegal_transitions(events: DataFrame) -> DataFrame:
     """Changes of state that may not be."""
     of = F.create_map(*[x for k, v in FOLLOWS.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])

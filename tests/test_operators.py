@@ -1,4 +1,5 @@
 import json
+import os
 import sqlite3
 
 import pytest
@@ -218,3 +219,40 @@ def test_faults_of_round_one(spark):
     assert [r["job_id"] for r in jobs.illegal_transitions(events).collect()] == ["j"]
     new = spark.createDataFrame([(2, "z", "r"), (3, None, None), (3, None, None)], "id int, c string, d string")
     assert sorted(tuple(r) for r in dml.bulk_insert(table, new, "id", {"c": F.lit("now")}).collect()) == [(1, "x", "p"), (2, "y", "q"), (3, "now", None)]
+
+
+def test_numbers_without_gaps(spark):
+    rows = [(None if i % 7 == 0 else 5 if i % 3 else i, f"r{i % 400}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b string").repartition(5)
+    got = W.numbered(df, "n", "a", buckets=8).orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(1, 3001))
+    assert [r["a"] for r in got] == sorted((a for a, _ in rows), key=lambda a: (a is not None, a or 0))
+    assert sorted((r["a"] or -1, r["b"]) for r in got) == sorted((a or -1, b) for a, b in rows)
+    assert W.numbered(df.limit(0), "n", "a").count() == 0 and W.numbered(df.limit(1), "n", "a").head()["n"] == 1
+
+
+def test_nearest_asof_in_cells(spark):
+    left = spark.range(400).select(F.col("id"), (F.col("id") % 4).alias("v"), (F.pmod(F.xxhash64("id"), F.lit(2000)) / 2).alias("t"))
+    right = spark.range(60).select((F.col("id") % 3).alias("v"), F.floor(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1000)) / 50).alias("t"), F.col("id").alias("p"))
+    right = right.withColumn("t", F.col("t") * 50.0)
+    whole = J.nearest_asof(left, right, "v", "t", "p", ["p"])
+    for span in (1.0, 30.0, 500.0):
+        cut = J.nearest_asof(left, right, "v", "t", "p", ["p"], span=span)
+        assert cut.columns == whole.columns and sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_tracked_stream_equals_table(spark, tmp_path):
+    rows = [("a", "pending", 1), ("b", "pending", 2), ("a", "claimed", 3), ("b", "completed", 4), ("a", "processing", 5), ("a", "processing", 6), ("a", "failed", 7), ("a", "completed", 8), (None, "pending", 9)]
+    (tmp_path / "in").mkdir()
+    for i in range(0, len(rows), 4):
+        lines = [json.dumps({"job_id": j, "video_id": "v", "status": s, "progress": 0, "at": f"2024-01-01T00:00:{t:02}Z"}) for j, s, t in rows[i : i + 4]]
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(lines))
+        os.utime(tmp_path / "in" / f"{i}.json", (i, i))
+    live = jobs.tracked(jobs.job_events(spark, str(tmp_path / "in")))
+    q = live.writeStream.format("memory").queryName("tracked").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    table = spark.read.schema(jobs.EVENTS).json(str(tmp_path / "in")).filter("job_id is not null")
+    key = ["job_id", "previous", "status", "at"]
+    got = spark.table("tracked")
+    assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, jobs.transitions(table).select(key).collect()))
+    assert sorted(map(tuple, got.filter("not legal").select(key).collect())) == sorted(map(tuple, jobs.illegal_transitions(table).select(key).collect()))
