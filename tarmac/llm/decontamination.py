@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -204,6 +205,14 @@ class Space:
         self.masks = [bit_masks(w) for w in self.words]
         self.sets = [set(w.tolist()) for w in self.words]
 
+    @cached_property
+    def products(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(cells of a window, passages, product of each term's latent vector with each of these passages' unit vectors).
+
+        A window's product with a passage is the sum of its terms' products, so windows need no latent vectors.
+        """
+        return [(n, which, self.terms @ self.units[which].T) for n, which in self.cells if len(which)]
+
 
 def bit_masks(words: np.ndarray) -> dict[int, int]:
     out: dict[int, int] = {}
@@ -320,25 +329,24 @@ def searched(s: Space, ids: list[np.ndarray]) -> list[list[tuple[int, float, flo
     flat = np.zeros(first[-1] * CELL, np.int32)
     for x, c in zip(ids, first[:-1], strict=True):
         flat[c * CELL : c * CELL + len(x)] = x
-    in_cells = flat.reshape(-1, CELL)
-    sums = np.zeros((first[-1] + 3, s.terms.shape[1]), np.float32)
-    for k in range(CELL):
-        sums[:-3] += s.terms[in_cells[:, k]]
+    by_place = np.ascontiguousarray(flat.reshape(-1, CELL).T)
     best: list[dict] = [{} for _ in ids]
-    for width, which in s.cells:
-        if not len(which):
-            continue
-        windows = sum(sums[k : k + first[-1]] for k in range(width))
-        near = windows @ s.units[which].T
+    for width, which, products in s.products:
+        sums = np.zeros((first[-1] + 3, len(which)), np.float32)
+        term = np.empty((first[-1], len(which)), np.float32)
+        for here in by_place:
+            sums[:-3] += np.take(products, here, axis=0, out=term, mode="clip")
+        near = sums[: first[-1]]
+        for k in range(1, width):
+            near = near + sums[k : k + first[-1]]
         close = starts & (near >= s.floors[which])
-        norms = np.sqrt(np.einsum("ij,ij->i", windows, windows)).clip(min=1e-9)
-        for w, p in np.argwhere(close):
-            judged(s, int(which[p]), flat[w * CELL : (w + width) * CELL], float(near[w, p] / norms[w]), best[text_of[w]])
+        for w, p in zip(*np.divmod(np.flatnonzero(close), len(which)), strict=True):
+            judged(s, int(which[p]), flat[w * CELL : (w + width) * CELL], float(near[w, p]), best[text_of[w]])
     return [[(item, *found) for item, found in sorted(own.items())] for own in best]
 
 
-def judged(s: Space, passage: int, window: np.ndarray, cosine: float, best: dict[int, tuple[float, float]]) -> None:
-    """Adds the passage's item to ``best`` if the window holds it."""
+def judged(s: Space, passage: int, window: np.ndarray, product: float, best: dict[int, tuple[float, float]]) -> None:
+    """Adds the passage's item to ``best`` if the window, which has this product with it, holds it."""
     words, n = s.words[passage], len(s.words[passage])
     here = window.tolist()
     if len(s.sets[passage].intersection(here)) < 0.8 * LOOSE * len(s.sets[passage]):
@@ -354,6 +362,7 @@ def judged(s: Space, passage: int, window: np.ndarray, cosine: float, best: dict
         if got < ANSWER * len(answer):
             return
     item = s.items[passage]
+    cosine = product / max(float(np.linalg.norm(s.terms[window].sum(0))), 1e-9)
     if item not in best or (share, cosine) > best[item][::-1]:
         best[item] = (cosine, share)
 
