@@ -33,17 +33,50 @@ def transitions(events: DataFrame) -> DataFrame:
 
 
 def process_pending(events: DataFrame, work, checkpoint: str, out: str):
-    """Pending jobs of each micro-batch, one row each, through ``work`` (DataFrame to DataFrame), appended to ``out``.
+    """Pending jobs of each micro-batch, one row each, through ``work`` (DataFrame to DataFrame), appended to ``out``."""
+    # a job's first event tells when it was created
+    first = lambda df: first_per_key(df.filter("status = 'pending'"), "job_id", "at", "video_id")
+    return by_batch(events, lambda df: work(first(df)), checkpoint, out)
+
+
+def process_claims(events: DataFrame, work, checkpoint: str, out: str):
+    """The same for jobs that ``claims`` gives: none that is done or was claimed before, in whatever micro-batch."""
+    return by_batch(claims(events), work, checkpoint, out)
+
+
+def by_batch(rows: DataFrame, work, checkpoint: str, out: str):
+    """Each micro-batch through ``work``.
 
     A batch that is run again overwrites its own folder, so each job's result is written once.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        # a job's first event tells when it was created
-        pending = first_per_key(df.filter("status = 'pending'"), "job_id", "at", "video_id")
-        work(pending).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        work(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def claims(events: DataFrame) -> DataFrame:
+    """(job_id, video_id, created) of each job of a stream when it is found pending; from then on it counts as claimed.
+
+    A job is claimed again only where a pending event follows a state that may be left for pending.  Events older than
+    a job's last one change nothing, neither do events without job or state.
+    """
+
+    def step(key, batches, state):
+        last, last_at, created, video = state.get if state.exists else (None, None, None, None)
+        for at, status, own in pd.concat(list(batches))[["at", "status", "video_id"]].sort_values("at", kind="stable").itertuples(index=False):
+            created = at if created is None else min(created, at)
+            if last is not None and (at < last_at or (status == "pending" and status not in FOLLOWS.get(last, ()))):
+                continue
+            last, last_at, video = status, at, own
+        found = [(key[0], video, created)] if last == "pending" else []
+        state.update(("claimed" if found else last, last_at, created, video))
+        yield pd.DataFrame(found, columns=["job_id", "video_id", "created"]).astype({"created": "int64"})
+
+    rows = events.select("job_id", "video_id", "status", F.unix_micros("at").alias("at")).filter("job_id is not null and status is not null and at is not null")
+    found = rows.groupBy("job_id").applyInPandasWithState(step, "job_id string, video_id string, created long", "status string, at long, created long, video_id string", "append", "NoTimeout")
+    return found.withColumn("created", F.timestamp_micros("created"))
 
 
 def claimed(events: DataFrame, n: int = 1) -> DataFrame:

@@ -256,3 +256,20 @@ def test_tracked_stream_equals_table(spark, tmp_path):
     got = spark.table("tracked")
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, jobs.transitions(table).select(key).collect()))
     assert sorted(map(tuple, got.filter("not legal").select(key).collect())) == sorted(map(tuple, jobs.illegal_transitions(table).select(key).collect()))
+
+
+def test_stream_claims_each_job_once(spark, tmp_path):
+    batches = [
+        [("a", "pending", 1), ("b", "pending", 2), (None, "pending", 2), ("d", None, 2)],
+        [("a", "claimed", 3), ("a", "processing", 4), ("a", "failed", 5), ("c", "pending", 3), ("c", "completed", 6)],
+        [("a", "pending", 7), ("b", "pending", 8), ("c", "pending", 2), ("e", "pending", 9), ("e", "pending", 9)],
+    ]
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(batches):
+        lines = [json.dumps({"job_id": j, "video_id": f"v{t}", "status": s, "progress": 0, "at": f"2024-01-01T00:00:{t:02}Z"}) for j, s, t in rows]
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(lines))
+        os.utime(tmp_path / "in" / f"{i}.json", (i + 1, i + 1))
+    jobs.process_claims(jobs.job_events(spark, str(tmp_path / "in")), lambda df: df, str(tmp_path / "c"), str(tmp_path / "out")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("batch", "job_id").collect()
+    # b was claimed before and not left for pending since; c's pending event is older than its completion
+    assert [(r["batch"], r["job_id"], r["video_id"], r["created"].second) for r in got] == [(0, "a", "v1", 1), (0, "b", "v2", 2), (2, "a", "v7", 1), (2, "e", "v9", 9)]
