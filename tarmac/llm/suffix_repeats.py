@@ -41,9 +41,9 @@ from .common import stored, table
 
 LEAST, CORE = 400, 128
 #: Pieces of one core that are sorted in one task; more are split by longer cores.
-MOST = 4096
+MOST = 2048
 #: Bytes of text that are worked off at a time.
-BLOCK = 1 << 22
+BLOCK = 1 << 19
 MULTIPLIER, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
