@@ -58,3 +58,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def streamed_by(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows of a key in one partition, sorted by key and ``order``, for tasks that read them as a stream.
+
+    Dealt out by a hash of the key: a plain repartition by the key counts as met where a join or union below claims that
+    partitioning, and adaptive execution may then still split or mix its partitions.
+    """
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, streamed_by, table
 
 #: Ids of a node's conversations are joined in blocks of so many neighbouring ids at most.
 BLOCK = 4096
@@ -75,7 +75,7 @@ def prefixes(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
     names = ["conv_id", "depth", "digest", "parent", "chars", "last"]
     tops = ids.select("conv_id", F.lit(0).cast("long").alias("place"), F.lit(None).cast("binary").alias("digest"), F.lit(0).cast("long").alias("chars"))
-    lined = rows.unionByName(tops).repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    lined = streamed_by(rows.unionByName(tops), "conv_id", "place")
     return lined.mapInPandas(chain, "conv_id long, depth long, digest binary, parent binary, chars long, last boolean")
 
 
@@ -102,7 +102,7 @@ def ends(rows: DataFrame) -> DataFrame:
 
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda c: c.cast("string")), ",")
     blocks = rows.filter("last").groupBy("digest", F.floor(F.col("conv_id") / BLOCK).alias("block")).agg(ids.alias("ids"))
-    lined = blocks.repartition("digest").sortWithinPartitions("digest", "block")
+    lined = streamed_by(blocks, "digest", "block")
     return lined.select("digest", "ids").mapInPandas(hashed, "digest binary, ends_sha256 string")
 
 
@@ -126,8 +126,10 @@ def trie(rows: DataFrame, ids: DataFrame) -> DataFrame:
     chained = stored(marked.withColumn("before", before), "trie-chained")
     tops = chained.groupBy("conv_id", "top").agg(F.min("depth").alias("depth"), F.sum("saves").alias("saves"), F.count_if(F.col("n_children") == 0).alias("leaves"))
     # the tops on each conversation's path; those of a conversation that is the smallest of none aren't needed
-    on_path = lines.select(F.col("conv_id").alias("c"), F.col("depth").alias("at"), "digest").join(tops.select("top"), F.col("digest") == F.col("top"), "left_semi")
+    on_path = lines.filter("depth > 0").select(F.col("conv_id").alias("c"), F.col("depth").alias("at"), "digest").join(tops.select("top"), F.col("digest") == F.col("top"), "left_semi")
     above = tops.join(on_path, (F.col("conv_id") == F.col("c")) & (F.col("at") <= F.col("depth")))
+    # the root is above all
+    above = above.select("digest", "saves", "leaves").unionByName(tops.select(F.lit(ROOT).alias("digest"), "saves", "leaves"))
     sums = above.groupBy(F.col("digest").alias("s")).agg(F.sum("saves").alias("saved"), F.sum("leaves").alias("n_leaves"))
     parents = nodes.select(F.col("digest").alias("p"), F.col("conv_id").alias("parent_conv_id"))
     out = chained.join(sums, F.col("top") == F.col("s")).join(parents, F.col("parent") == F.col("p"), "left")

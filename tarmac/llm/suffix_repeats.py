@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, streamed_by, table
 
 LEAST, CORE = 400, 128
 #: Pieces of one core that are sorted in one task; more are split by longer cores.
@@ -275,7 +275,7 @@ def scanned(pieces: DataFrame, least: int) -> DataFrame:
         if held:
             yield work(held)
 
-    lined = pieces.select("core", "own", "copies", "piece").repartition("core").sortWithinPartitions("core", "own")
+    lined = streamed_by(pieces.select("core", "own", "copies", "piece"), "core", "own")
     return lined.mapInPandas(run, f"core long, own long, spans array<{REPEAT}>")
 
 
@@ -308,7 +308,7 @@ def resolved(pieces: DataFrame, least: int, most: int) -> DataFrame:
 
     Halving ends by itself: windows at one distance from the anchor have themselves as core, so equal cores are copies.
     """
-    sizes = pieces.groupBy(F.col("core").alias("of")).agg(F.count("*").alias("many"))
+    sizes = stored(pieces.groupBy(F.col("core").alias("of")).agg(F.count("*").alias("many")), "repeat-sizes")
     sized = pieces.join(sizes, F.col("core") == F.col("of")).drop("of")
     span = F.struct(F.lit(0).alias("start"), F.octet_length("piece").alias("length"), F.col("own").alias("repeat"), F.lit(0).cast("long").alias("around"))
     alone = sized.filter("many = 1 and copies > 1").select("core", "own", F.array(span).alias("spans"))
@@ -348,7 +348,8 @@ def occurrences(rows: DataFrame, least: int, core: int, most: int) -> DataFrame:
     rows = rows.filter(F.octet_length("raw") >= least).select("row", "row2", "raw")
     every = stored(anchors(rows, least, core), "repeat-anchors")
     shared = every.groupBy(F.col("core").alias("of")).agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("z"))
-    shared = shared.filter("n > 1").select("of", (F.col("a") == F.col("z")).alias("alike"))
+    # stored: an aggregate by core within the join would keep a hot core from being split there
+    shared = stored(shared.filter("n > 1").select("of", (F.col("a") == F.col("z")).alias("alike")), "repeat-cores")
     hits = stored(every.join(shared, F.col("core") == F.col("of")).drop("of"), "repeat-hits")
     whole = hits.filter("alike").select("row", "row2", F.col("at").alias("start"), "length", F.col("own").alias("repeat"), F.lit(0).cast("long").alias("around"))
     mixed = hits.filter("not alike")
