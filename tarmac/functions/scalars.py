@@ -175,9 +175,16 @@ def endpoint_names(road: Column) -> Column:
     return F.struct(F.concat(road, a).alias("start_name"), F.concat(road, b).alias("end_name"))
 
 
-def on_circle(lat: float, lon: float, angle: Column, radius: Column) -> Column:
-    """A point at an angle (radians) and a distance in degrees from a centre, six digits."""
-    return F.struct(F.round(lat + radius * F.sin(angle), 6).alias("lat"), F.round(lon + radius * F.cos(angle), 6).alias("lng"))
+def road_ends(lat: float, lon: float, angle: Column, km: Column) -> Column:
+    """Both ends of a road laid around a centre, six digits: an angle (radians) and a distance that grows with length.
+
+    The start lies km / 100 degrees out, half a degree at most; the end km / 150 degrees further, 0.2 radians on.
+    """
+    near = F.least(km / 100, F.lit(0.5))
+    far = near + km / 150
+    at = lambda r, a: (F.round(lat + r * F.cos(a), 6), F.round(lon + r * F.sin(a), 6))
+    names = ("start_lat", "start_lng", "end_lat", "end_lng")
+    return F.struct(*[c.alias(n) for n, c in zip(names, (*at(near, angle), *at(far, angle + 0.2)), strict=True)])
 
 
 def demo_key(path: Column, keys: list[str], default: str | None = None) -> Column:
@@ -201,10 +208,12 @@ def preview(text: Column, n: int = 200) -> Column:
     return F.substring(text, 1, n)
 
 
-def resized(width: Column, height: Column, most: int) -> Column:
-    """Width and height in whole pixels, the wider side ``most`` at most, in the same ratio."""
-    scale = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(width, height))
-    return F.struct((width * scale).cast("int").alias("width"), (height * scale).cast("int").alias("height"))
+def resized(width: Column, height: Column, to_width: Column | None = None, to_height: Column | None = None) -> Column:
+    """Size of a frame asked for by width, height or both; the side that isn't given (or 0) keeps the ratio, cut to whole pixels."""
+    none = F.lit(None).cast("int")
+    w, h = (F.nullif(none if c is None else c.cast("int"), F.lit(0)) for c in (to_width, to_height))
+    keep_w, keep_h = (width * (h / height)).cast("int"), (height * (w / width)).cast("int")
+    return F.struct(F.coalesce(w, keep_w, width.cast("int")).alias("width"), F.coalesce(h, keep_h, height.cast("int")).alias("height"))
 
 
 def media_type(path: Column) -> Column:
@@ -239,8 +248,10 @@ def band_of(value: Column, bands: Column) -> Column:
     return F.get(F.transform(found, lambda b: part(b, 1)), F.lit(0))
 
 
-def description(category: Column, condition: Column) -> Column:
-    return F.concat(F.initcap(F.lower(category)), F.lit(" in "), F.lower(condition), F.lit(" condition"))
+def description(kind: Column, condition: Column) -> Column:
+    """``Poor condition traffic sign detected``."""
+    capital = F.concat(F.upper(F.substring(condition, 1, 1)), F.lower(F.substring(condition, 2, 1 << 30)))
+    return F.concat(capital, F.lit(" condition "), F.lower(kind), F.lit(" detected"))
 
 
 def toggled(names: Column, name: Column) -> Column:

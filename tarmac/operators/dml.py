@@ -49,6 +49,56 @@ def delete_surveys(surveys: DataFrame, videos: DataFrame, frames: DataFrame, gon
     }
 
 
+def deleted_files(videos: DataFrame, gone: DataFrame, library: str = "video_library", top: str = "uploads/") -> DataFrame:
+    """(survey_id, id, path, kept) for the files of deleted surveys' videos: those of the library are kept.
+
+    A video's own file comes with its thumbnail and track; a path is given below the upload folder.
+    """
+    lost = present(videos, gone, "survey_id", "id")
+    url = F.coalesce(F.col("storage_url"), F.lit(""))
+    stays = url.contains(library) | (url == "")
+    files = F.when(stays, F.array(url)).otherwise(F.array("storage_url", "thumbnail_url", "gpx_file_url"))
+    each = lost.select("survey_id", "id", stays.alias("kept"), F.explode(files).alias("path")).filter("path <> ''")
+    below = F.regexp_replace(F.regexp_replace("path", "^/+", ""), f"^{top}", "")
+    return each.select("survey_id", "id", F.when(F.col("kept"), F.col("path")).otherwise(below).alias("path"), "kept")
+
+
+def delete_report(surveys: DataFrame, videos: DataFrame, gone: DataFrame, library: str = "video_library") -> DataFrame:
+    """One row a deleted survey: its videos, files to delete and files of the library that stay."""
+    lost = present(videos, gone, "survey_id", "id")
+    own = F.coalesce(F.col("storage_url"), F.lit(""))
+    counts = lost.groupBy("survey_id").agg(
+        F.count("*").alias("deleted_videos"), F.count_if((own != "") & ~own.contains(library)).alias("deleted_files"), F.count_if(own.contains(library)).alias("preserved_files")
+    )
+    rows = present(surveys.select("id"), gone, "id").join(counts, F.col("id") == F.col("survey_id"), "left").drop("survey_id")
+    return rows.na.fill(0, ["deleted_videos", "deleted_files", "preserved_files"])
+
+
+def rewrite_changed(path: str, part: str, table: DataFrame, changed: DataFrame) -> None:
+    """Write the rows of ``table`` (a new snapshot of what lies at ``path``) whose partition holds a changed row.
+
+    ``changed`` has the partitions (column ``part``) that an update touched, before or after it.  Others' files stay;
+    a partition that lost all its rows goes.  Partition values are plain words or numbers.  The new rows are written aside first, as they may come from ``path``.
+    """
+    import uuid
+
+    spark = table.sparkSession
+    # as many values as partitions at most, held here because the files they are read from go
+    hit = [r[0] for r in changed.select(part).distinct().collect()]
+    rows = table.filter(F.col(part).isin(hit))
+    aside = f"{path.rstrip('/')}/.new-{uuid.uuid4().hex}"
+    rows.write.partitionBy(part).parquet(aside)
+    fresh = spark.read.schema(table.schema).parquet(aside)
+    fresh.select(*table.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    left = {r[0] for r in fresh.select(part).distinct().collect()}
+    for value in set(hit) - left:
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}={value}")
+        where.getFileSystem(conf).delete(where, True)
+    where = jvm.org.apache.hadoop.fs.Path(aside)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def backfill(table: DataFrame, c: str, value: Column) -> DataFrame:
     return table.withColumn(c, F.coalesce(F.col(c), value))
 

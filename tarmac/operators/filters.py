@@ -76,25 +76,6 @@ def allowed_columns(df: DataFrame, allowed: list[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c in allowed])
 
 
-#: Words that a search ignores.
-STOP = "a an and are as at be by for from in is it of on or that the this to was with".split()
-
-
-def stem(word: Column) -> Column:
-    """A plain English stem: plural and verb endings cut from words of more than four letters."""
-    return F.when(F.length(word) > 4, F.regexp_replace(word, "(ings?|ies|ed|es|s)$", "")).otherwise(word)
-
-
-def stems(*cols: str) -> Column:
-    words = F.split(F.lower(F.concat_ws(" ", *cols)), "[^a-z0-9]+")
-    return F.transform(F.filter(words, lambda w: (w != "") & ~w.isin(*STOP)), stem)
-
-
-def full_text(df: DataFrame, query: str, *cols: str) -> DataFrame:
-    """Rows that have any of the query's words, by stems and without stop words."""
-    return df.withColumn("__q", F.lit(query)).filter(F.arrays_overlap(stems(*cols), stems("__q"))).drop("__q")
-
-
 def surveys_listing(surveys: DataFrame, latest_only: bool = True, **equal) -> DataFrame:
     """Surveys by equal values; only the latest ones unless told otherwise."""
     rows = matching(surveys, **equal)

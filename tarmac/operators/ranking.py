@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -110,11 +110,33 @@ def latest_rows(df: DataFrame, key: str, date: str) -> DataFrame:
     return df.join(last, (F.col(key) == F.col("__k")) & (F.col(date) == F.col("__d"))).drop("__k", "__d")
 
 
+def rows_of_date(df: DataFrame, key: str, date: str, wanted: Column | None = None) -> DataFrame:
+    """All rows of the wanted date, or of each key's latest date where none is wanted (null)."""
+    if wanted is None:
+        return latest_rows(df, key, date)
+    last = df.groupBy(F.col(key).alias("__k")).agg(F.max(date).alias("__d"))
+    return df.join(last, F.col(key) == F.col("__k")).filter(F.col(date) == F.coalesce(wanted, F.col("__d"))).drop("__k", "__d")
+
+
 def history(surveys: DataFrame, route: str, value, version: str = "survey_version") -> DataFrame:
     return surveys.filter(F.col(route) == F.lit(value)).orderBy(F.desc(version))
 
 
 def unique_names(df: DataFrame, name: str, *order) -> DataFrame:
-    """Repeated names get _1, _2, ... behind them, in order."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    return df.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n.cast("string"))))
+    """The first row of a name keeps it; the others get _1, _2, ... before its extension, without names that are there.
+
+    Of the numbers that a name's rows would get, those in use are left out by a running count: the i-th number in use, t,
+    comes before the j-th free one if t - i < j.  One shuffle by name; no row meets another.
+    """
+    stem, ending = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2)
+    rank = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
+    rows = df.withColumns({"__stem": stem, "__end": ending, "__n": rank})
+    used = df.select(stem.alias("s"), ending.alias("__end")).distinct()
+    used = used.select(F.regexp_extract("s", r"^(.*)_[1-9][0-9]*$", 1).alias("__stem"), "__end", F.regexp_extract("s", r"_([1-9][0-9]{0,17})$", 1).try_cast("long").alias("t")).filter("t is not null")
+    of = Window.partitionBy("__stem", "__end")
+    used = used.withColumn("__at", F.col("t") - F.row_number().over(of.orderBy("t")) + 0.5).select("__stem", "__end", "__at", F.lit(1).alias("__used"))
+    line = rows.withColumns({"__at": F.col("__n").cast("double"), "__used": F.lit(0)}).unionByName(used, allowMissingColumns=True)
+    before = F.sum("__used").over(of.orderBy("__at").rangeBetween(Window.unboundedPreceding, 0))
+    made = F.concat("__stem", F.lit("_"), (F.col("__n") + F.col("__before")).cast("long").cast("string"), "__end")
+    out = line.withColumn("__before", before).filter("__used = 0").withColumn("unique_name", F.when(F.col("__n") == 0, F.col(name)).otherwise(made))
+    return out.select(*df.columns, "unique_name")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def projected(df: DataFrame, columns: list[str]) -> DataFrame:
-    """These columns in this order; what the table lacks is null."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
+def projected(df: DataFrame, columns: list[str], types: dict[str, str] | None = None) -> DataFrame:
+    """These columns in this order; what the table lacks is null, of its type in ``types`` or else a string."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast((types or {}).get(c, "string")).alias(c) for c in columns])
 
 
 def demo_rows(detections: DataFrame, route: str, *order, prefix: str = "demo") -> DataFrame:

@@ -117,12 +117,6 @@ def surveys_listing(spark, d):
     return S.surveys_listing(versioned(spark, d), status="O").select("id", "route_id")
 
 
-@query("""SELECT p_partkey FROM part WHERE list_has_any(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN ('the', 'of', 'and')),
- lambda w: CASE WHEN length(w) > 4 THEN regexp_replace(w, '(ings?|ies|ed|es|s)$', '') ELSE w END), ['widget', 'red', 'ring'])""")
-def full_text(spark, d):
-    return S.full_text(R.table(spark, d, "part"), "the Widgets of a red ring", "p_name").select("p_partkey")
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_custkey = 7")
 def own_rows(spark, d):
     return S.visible_to(R.table(spark, d, "orders"), "o_custkey", 7, "viewer").select("o_orderkey")
@@ -152,18 +146,31 @@ def deleted_cascade(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("""SELECT s_suppkey AS route_id, CASE WHEN s_acctbal >= 50 THEN 'National/Expressway' WHEN s_acctbal >= 15 THEN 'Municipal/Urban Road' ELSE 'Local Access Road' END AS class,
+@query("""WITH r AS (SELECT s_suppkey, s_name, abs(s_acctbal) / 100 AS km, 2 * pi() * s_suppkey / 1000 AS a FROM supplier)
+ SELECT s_suppkey AS route_id, CASE WHEN km >= 50 THEN 'National/Expressway' WHEN km >= 15 THEN 'Municipal/Urban Road' ELSE 'Local Access Road' END AS class,
  s_name || CASE WHEN contains(s_name, 'Rd') OR contains(s_name, 'Road') THEN ' Start' WHEN contains(s_name, 'St') THEN ' North' ELSE ' Point A' END AS start_name,
- round(25.0 + 0.5 * sin(s_suppkey), 6) AS lat, round(51.0 + 0.5 * cos(s_suppkey), 6) AS lng FROM supplier""")
+ round(25.25 + least(km / 100, 0.5) * cos(a), 6) AS start_lat, round(51.5 + least(km / 100, 0.5) * sin(a), 6) AS start_lng,
+ round(25.25 + (least(km / 100, 0.5) + km / 150) * cos(a + 0.2), 6) AS end_lat, round(51.5 + (least(km / 100, 0.5) + km / 150) * sin(a + 0.2), 6) AS end_lng FROM r""")
 def road_attributes(spark, d):
-    r = R.roads(spark, d)
-    at = X.on_circle(25.0, 51.0, F.col("route_id"), F.lit(0.5))
-    return r.select("route_id", X.road_class(F.col("km")).alias("class"), X.endpoint_names(F.col("road_name"))["start_name"].alias("start_name"), at["lat"].alias("lat"), at["lng"].alias("lng"))
+    r = R.roads(spark, d).withColumn("km", F.abs("km") / 100)
+    ends = X.road_ends(25.25, 51.5, 2 * F.pi() * F.col("route_id") / 1000, F.col("km"))
+    return r.withColumn("ends", ends).select("route_id", X.road_class(F.col("km")).alias("class"), X.endpoint_names(F.col("road_name"))["start_name"].alias("start_name"), "ends.*")
+
+
+NAMED = "(SELECT p_partkey, p_brand || CASE WHEN p_partkey % 7 = 0 THEN '_' || (p_partkey % 9) ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN '.mp4' ELSE '' END AS name FROM part)"
 
 
-@query("SELECT p_partkey, CASE WHEN n = 0 THEN p_brand ELSE p_brand || '_' || n END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part)")
+@query(f"""WITH n AS (SELECT p_partkey, name, rtrim(replace(name, '.mp4', '')) AS stem, CASE WHEN contains(name, '.mp4') THEN '.mp4' ELSE '' END AS ending FROM {NAMED}),
+ k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) - 1 AS j, count(*) OVER (PARTITION BY name) AS m FROM n),
+ u AS (SELECT name, stem, ending, list(p_partkey ORDER BY p_partkey) AS ids FROM n GROUP BY 1, 2, 3),
+ t AS (SELECT u.name, len(u.ids) AS m, coalesce(list(DISTINCT substring(v.stem, length(u.stem) + 2)::BIGINT) FILTER (v.stem IS NOT NULL), []) AS used
+  FROM u LEFT JOIN n v ON v.ending = u.ending AND starts_with(v.stem, u.stem || '_') AND regexp_full_match(substring(v.stem, length(u.stem) + 2), '[1-9][0-9]*') GROUP BY 1, 2)
+ SELECT p_partkey, CASE WHEN j = 0 THEN k.name ELSE stem || '_' || list_filter(range(1, t.m + len(used) + 1), lambda x: NOT list_contains(used, x))[j] || ending END AS unique_name FROM k JOIN t USING (name)""")
 def unique_names(spark, d):
-    return W.unique_names(R.table(spark, d, "part"), "p_brand", "p_partkey").select("p_partkey", "unique_name")
+    key = F.col("p_partkey")
+    numbered = F.when(key % 7 == 0, F.concat(F.lit("_"), (key % 9).cast("string"))).otherwise("")
+    name = F.concat("p_brand", numbered, F.when(key % 5 == 0, ".mp4").otherwise(""))
+    return W.unique_names(R.table(spark, d, "part").select("p_partkey", name.alias("name")), "name", "p_partkey").select("p_partkey", "unique_name")
 
 
 @query("""SELECT o_orderkey AS id, left(o_orderpriority, 3) AS preview, CASE WHEN o_totalprice / 400000 > 0.8 THEN 'good' WHEN o_totalprice / 400000 BETWEEN 0.5 AND 0.8 THEN 'fair' WHEN o_totalprice / 400000 < 0.5 THEN 'poor' END AS band,
@@ -239,16 +246,20 @@ def state_changes(spark, d):
     return Q.transitions(e).groupBy("job_id").agg(F.count("*").alias("changes"))
 
 
-@query("""SELECT l_orderkey AS id, l_linenumber AS item, trunc((l_partkey + 1) * least(1e0, 640e0 / greatest(l_partkey + 1, l_suppkey + 1)))::INT AS width, trunc((l_suppkey + 1) * least(1e0, 640e0 / greatest(l_partkey + 1, l_suppkey + 1)))::INT AS height,
- CASE l_returnflag WHEN 'R' THEN 'red' WHEN 'A' THEN 'amber' ELSE 'grey' END AS colour, upper(l_linestatus) || ' in ' || lower(l_returnflag) || ' condition' AS description,
+@query("""SELECT l_orderkey AS id, l_linenumber AS item, CASE WHEN l_linenumber % 3 = 1 THEN trunc((l_partkey + 1) * (480e0 / (l_suppkey + 1)))::INT ELSE 640 END AS width,
+ CASE l_linenumber % 3 WHEN 0 THEN trunc((l_suppkey + 1) * (640e0 / (l_partkey + 1)))::INT ELSE 480 END AS height,
+ CASE l_returnflag WHEN 'R' THEN 'red' WHEN 'A' THEN 'amber' ELSE 'grey' END AS colour,
+ CASE l_returnflag WHEN 'R' THEN 'Poor' WHEN 'A' THEN 'Fair' ELSE 'Good' END || ' condition ' || lower(l_linestatus) || ' detected' AS description,
  CASE l_returnflag WHEN 'A' THEN 'R' WHEN 'R' THEN 'A' ELSE 'A,R,' || l_returnflag END AS shown FROM lineitem""")
 def styled_items(spark, d):
     li = R.table(spark, d, "lineitem")
     flag = F.col("l_returnflag")
-    size = X.resized(F.col("l_partkey") + 1, F.col("l_suppkey") + 1, 640)
+    third = F.col("l_linenumber") % 3
+    size = X.resized(F.col("l_partkey") + 1, F.col("l_suppkey") + 1, F.when(third != 1, 640), F.when(third != 0, 480))
+    condition = F.when(flag == "R", "poor").when(flag == "A", "FAIR").otherwise("Good")
     return li.select(
         F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("item"), size["width"].alias("width"), size["height"].alias("height"),
-        X.first_style(F.array(flag, "l_linestatus"), {"R": "red", "A": "amber"}, "grey").alias("colour"), X.description(F.col("l_linestatus"), flag).alias("description"),
+        X.first_style(F.array(flag, "l_linestatus"), {"R": "red", "A": "amber"}, "grey").alias("colour"), X.description(F.col("l_linestatus"), condition).alias("description"),
         F.array_join(X.toggled(F.array(F.lit("A"), F.lit("R")), flag), ",").alias("shown"),
     )
 

@@ -18,15 +18,33 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_tasks(spark: SparkSession, categories: dict[str, str]) -> DataFrame:
-    """Tasks of several files; ``categories`` maps paths to categories.  Files that aren't there are skipped."""
-    there = [p for p in categories if exists(spark, p)]
+DAMAGED = "_damaged"
+
+
+def read_tasks(spark: SparkSession, categories: dict[str, str], quarantine: str | None = None) -> DataFrame:
+    """Tasks of several files; ``categories`` maps paths to categories.  Files that aren't there are skipped.
+
+    A file that isn't JSON gives no rows; with ``quarantine`` its path, category and text are added to that folder.
+    """
+    there = {p: c for p, c in categories.items() if exists(spark, p)}
     if not there:
         return spark.createDataFrame([], f"{TASKS}, category string")
-    rows = spark.read.schema(TASKS).option("multiLine", True).json(there)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    of = F.create_map(*[F.lit(x) for path, c in categories.items() for x in (path.rsplit("/", 1)[-1], c)])
-    return rows.withColumn("category", F.element_at(of, name))
+    read = spark.read.schema(f"{TASKS}, {DAMAGED} string").option("multiLine", True).option("columnNameOfCorruptRecord", DAMAGED)
+    rows = read.json(list(there)).withColumn("path", F.url_decode(F.regexp_replace("_metadata.file_path", "[+]", "%2B")))
+    # whole paths as the file system spells them, without its scheme: base names may repeat
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
+    named = spark.createDataFrame([(full_path(spark, p), c) for p, c in there.items()], "full string, category string")
+    rows = rows.join(F.broadcast(named.withColumn("full", plain("full"))), plain("path") == F.col("full"), "left").drop("full")
+    # a value of another type than declared damages only itself: its task keeps its id
+    lost = F.col(DAMAGED).isNotNull() & F.col("id").isNull()
+    if quarantine:
+        rows.filter(lost).select("path", "category", F.col(DAMAGED).alias("text")).write.mode("append").parquet(quarantine)
+    return rows.filter(~lost).drop(DAMAGED, "path")
+
+
+def full_path(spark: SparkSession, path: str) -> str:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 def read_json_array(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,14 @@ from ..functions.scalars import file_extension, file_stem
 VIDEO, IMAGE = ("mp4", "avi", "mov", "mkv"), ("jpg", "jpeg", "png")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(folder or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """(path, folder, name, stem, extension, length, modified) of all files below; contents aren't read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)

@@ -23,6 +23,24 @@ def read_gpx(spark: SparkSession, paths: str | list[str], drop_invalid: bool = F
     )
 
 
+def damaged(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, reason, text) of files that give no points: no XML of a track, or a track without any."""
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    good = read_gpx(spark, paths).select(F.col("path").alias("good")).distinct()
+    reason = F.when(F.trim("text") == "", "empty").when(~F.col("text").contains("<trkpt"), "no points").otherwise("broken")
+    return whole.join(good, F.col("path") == F.col("good"), "left_anti").select("path", reason.alias("reason"), "text")
+
+
+def read_first(spark: SparkSession, choices: list[str], drop_invalid: bool = False) -> DataFrame:
+    """Points of the first path that has any file; no rows where none has."""
+    from .annotations import exists
+
+    found = next((p for p in choices if exists(spark, p)), None)
+    if found is None:
+        return spark.createDataFrame([], "path string, idx int, lat double, lon double, ts timestamp, speed double, ele double")
+    return read_gpx(spark, found, drop_invalid)
+
+
 def paths_of(points: DataFrame, least: int = 2) -> DataFrame:
     """A track's points in order as an array; tracks of fewer than ``least`` points are left out."""
     track = F.sort_array(F.collect_list(F.struct("idx", "lat", "lon"))).alias("track")

@@ -1,5 +1,6 @@
 import json
 import os
+import re
 import sqlite3
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import scalars as X
 from tarmac.operators import aggregates as A
-from tarmac.operators import annotations, dml, inference
+from tarmac.operators import annotations, dml, inference, text_index
 from tarmac.operators import filters as S
 from tarmac.operators import joins as J
 from tarmac.operators import ranking as W
@@ -273,3 +274,31 @@ def test_stream_claims_each_job_once(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("batch", "job_id").collect()
     # b was claimed before and not left for pending since; c's pending event is older than its completion
     assert [(r["batch"], r["job_id"], r["video_id"], r["created"].second) for r in got] == [(0, "a", "v1", 1), (0, "b", "v2", 2), (2, "a", "v7", 1), (2, "e", "v9", 9)]
+
+
+def test_stems_of_published_examples(spark):
+    pairs = "caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll is is by by".split()
+    words, want = pairs[::2], pairs[1::2]
+    rows = spark.createDataFrame(list(zip(words, want, strict=True)), "word string, want string").withColumn("got", text_index.stem(F.col("word")))
+    assert [(r["word"], r["got"]) for r in rows.collect() if r["got"] != r["want"]] == []
+
+
+def test_index_reads_only_its_buckets(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Running water"), (2, "the runs of a ship"), (3, None), (4, "still water, waters"), (5, "")], "id long, text string")
+    path = f"{tmp_path}/index"
+    text_index.write_index(docs, "id", ["text"], path, buckets=16)
+    found = text_index.search(spark, path, "the RUN of waters")
+    assert {(r["key"], r["terms"]) for r in found.collect()} == {(1, 2), (2, 1), (4, 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan and re.search(r"PartitionFilters: \[.*bucket#", plan)
+    assert text_index.search(spark, path, "the of").count() == text_index.search(spark, path, "").count() == 0
+    text_index.write_index(spark.createDataFrame([(9, "running")], "id long, text string"), "id", ["text"], path, buckets=16, mode="append")
+    assert {r["key"] for r in text_index.search(spark, path, "runs").collect()} == {1, 2, 9}
+    assert {r["id"] for r in text_index.full_text(docs, "id", "waters", "text").collect()} == {1, 4}
+
+
+def test_unique_names_skip_taken_numbers(spark):
+    names = ["a", "a", "a_1", "a.mp4", "a.mp4", "a_2.mp4", "a", "a_01", "b", None, "a_3"]
+    df = spark.createDataFrame(list(enumerate(names)), "k int, name string")
+    got = {r["k"]: r["unique_name"] for r in W.unique_names(df, "name", "k").collect()}
+    assert got == {0: "a", 1: "a_2", 2: "a_1", 3: "a.mp4", 4: "a_1.mp4", 5: "a_2.mp4", 6: "a_4", 7: "a_01", 8: "b", 9: None, 10: "a_3"}
