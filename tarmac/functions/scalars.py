@@ -230,6 +230,21 @@ def predictions(payload: Column, schema: str) -> Column:
     return F.coalesce(bare, F.from_json(payload, f"predictions array<{schema}>")["predictions"], F.from_json(F.lit("[]"), f"array<{schema}>"))
 
 
+def loose_predictions(payload: Column) -> Column:
+    """The same without a declared schema: an array of variants; none for text that isn't JSON, a single object is one.
+
+    Text behind a whole value is ignored."""
+    v = F.try_parse_json(payload)
+    listed = F.coalesce(F.try_variant_get(v, "$.predictions", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
+    single = F.when(v.isNotNull() & (F.schema_of_variant(v).startswith("OBJECT")) & F.try_variant_get(v, "$.predictions", "variant").isNull(), F.array(v))
+    return F.coalesce(listed, single, F.array().cast("array<variant>"))
+
+
+def variant_field(v: Column, name: str, kind: str) -> Column:
+    """A field of a variant; null where it's missing or isn't of that kind."""
+    return F.try_variant_get(v, f"$.{name}", kind)
+
+
 def first_style(names: Column, styles: dict[str, str], default: str) -> Column:
     """What ``styles`` has for the first name of an array."""
     return F.coalesce(F.element_at(literal_map(styles), F.get(names, F.lit(0))), F.lit(default))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DETECTIONS = "array<struct<class_name:string,confidence:double,bbox:struct<x1:int,y1:int,x2:int,y2:int>>>"
 CLASSES = ("Pothole", "Crack", "Sign", "Barrier", "Light", "Marking")
@@ -39,3 +40,37 @@ def stand_in(frames: DataFrame, key: str) -> DataFrame:
 def fan_out(frames: DataFrame, models: list[str]) -> DataFrame:
     """Every frame for every model, by an array of the models, without a join."""
     return frames.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+
+
+def with_probabilities(frames: DataFrame, features: list[str], weights: list[list[float]], bias: list[float], batch: int = 4096, out: str = "probabilities") -> DataFrame:
+    """``frames`` with the probability of each class by a linear model, ``weights`` having a row of features a class.
+
+    Weights are broadcast once; each Python worker builds the model once and gets the features as matrices of ``batch``
+    rows.  A row with a missing feature has no probabilities (null).
+    """
+    import numpy as np
+    from pyspark.ml.functions import predict_batch_udf
+
+    sent = frames.sparkSession.sparkContext.broadcast((np.array(weights, float), np.array(bias, float)))
+
+    def build():
+        w, b = sent.value
+
+        def predict(rows: np.ndarray) -> np.ndarray:
+            return 1 / (1 + np.exp(-(rows.reshape(len(rows), -1) @ w.T + b)))
+
+        return predict
+
+    run = predict_batch_udf(build, return_type=T.ArrayType(T.DoubleType()), batch_size=batch, input_tensor_shapes=[[len(features)]])
+    given = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    whole = F.lit(True)
+    for c in features:
+        whole = whole & F.col(c).isNotNull()
+    return frames.withColumn(out, F.when(whole, run(given)))
+
+
+def detected(frames: DataFrame, classes: list[str], least: float = 0.25, probabilities: str = "probabilities") -> DataFrame:
+    """``frames`` with ``detections`` (class_name, confidence) of the classes whose probability is ``least`` or more, by class."""
+    names = F.array(*[F.lit(c) for c in classes])
+    pairs = F.transform(F.coalesce(F.col(probabilities), F.array().cast("array<double>")), lambda p, i: F.struct(F.get(names, i).alias("class_name"), p.alias("confidence")))
+    return frames.withColumn("detections", F.filter(pairs, lambda d: d["confidence"] >= least))

@@ -212,9 +212,10 @@ def roads_with_anomalies(spark, d):
     return J.present(R.roads(spark, d), hits, "route_id", "l_suppkey").select("route_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 150000)")
 def customers_without_surveys(spark, d):
-    return J.absent(R.table(spark, d, "customer"), R.surveys(spark, d), "c_custkey", "route_id").select("c_custkey")
+    asked = R.table(spark, d, "orders").filter("o_orderstatus = 'P' and o_totalprice > 150000")
+    return J.absent(R.table(spark, d, "customer"), asked, "c_custkey", "o_custkey").select("c_custkey")
 
 
 @query("""WITH g AS (SELECT s_suppkey a, s_nationkey::DOUBLE lat, (s_suppkey % 90)::DOUBLE lon FROM supplier)

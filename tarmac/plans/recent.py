@@ -262,3 +262,35 @@ def repaired_urls(spark, d):
 def road_by_key(spark, d):
     """One road by its key, with typed nulls for what the table lacks."""
     return P.projected(S.matching(R.roads(spark, d), route_id=7), ["route_id", "road_name", "start_lat"], {"start_lat": "double"})
+
+
+MODEL = ([[0.4, -1.5, 0.02], [-0.3, 0.8, -0.01], [0.1, 0.1, 0.005]], [0.2, -0.5, -0.3])
+CLASSES = ["Pothole", "Crack", "Sign"]
+
+
+def probability(k: int) -> str:
+    (a, b, c), d = MODEL[0][k], MODEL[1][k]
+    return f"1 / (1 + exp(-({a} * seconds / 1000000 + {b} * detections_count + {c} * value + {d})))"
+
+
+@query(f"""SELECT frame_number, class_name, round(p, 6) AS confidence FROM (SELECT frame_number, unnest(['Pothole', 'Crack', 'Sign']) AS class_name,
+ unnest([{", ".join(probability(k) for k in range(3))}]) AS p FROM {FRAMES}) WHERE p >= 0.25""")
+def scored_frames(spark, d):
+    """Detections of all frames by a fixed linear model."""
+    f = R.frames(spark, d).withColumn("day", F.col("seconds") / 1_000_000)
+    scored = V.with_probabilities(f, ["day", "detections_count", "value"], *MODEL)
+    found = V.detected(scored, CLASSES).select("frame_number", F.explode("detections").alias("x"))
+    return found.select("frame_number", "x.class_name", F.round("x.confidence", 6).alias("confidence"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END::INT AS n, CASE WHEN event_id % 4 <> 2 THEN json_extract_string(props, '$.k')::INT END AS k,
+ CASE WHEN event_id % 4 = 1 THEN 'x' END AS label FROM events""")
+def loose_payloads(spark, d):
+    """Bare lists, ``predictions`` objects, broken text and single objects, read without a schema."""
+    e, props, kind = R.table(spark, d, "events"), F.col("props"), F.col("event_id") % 4
+    listed = F.concat(F.lit("["), props, F.lit("]"))
+    under = F.concat(F.lit('{"predictions": ['), props, F.lit(', {"label": "x", "k": "no number"}]}'))
+    payload = F.when(kind == 0, listed).when(kind == 1, under).when(kind == 2, F.concat(F.lit('{"predictions": ['), props)).otherwise(props)
+    rows = e.select("event_id", X.loose_predictions(payload).alias("p"))
+    first, second = F.get("p", F.lit(0)), F.get("p", F.lit(1))
+    return rows.select("event_id", F.size("p").alias("n"), X.variant_field(first, "k", "int").alias("k"), X.variant_field(second, "label", "string").alias("label"))

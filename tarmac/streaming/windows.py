@@ -27,3 +27,21 @@ def sessions(df: DataFrame, c: str, gap: str, key: str) -> DataFrame:
 def once_within(df: DataFrame, keys: list[str], c: str, late: str) -> DataFrame:
     """Each key once within the watermark (streams)."""
     return df.withWatermark(c, late).dropDuplicatesWithinWatermark(keys)
+
+
+def near_pairs(left: DataFrame, right: DataFrame, key: str, time: str, seconds: float, late: str = "10 minutes") -> DataFrame:
+    """Pairs of a key less than ``seconds`` apart in time, of two streams or tables; right columns get the prefix ``r_``.
+
+    Watermarks on both sides let a stream forget rows that no coming row can meet: state is bounded by the width and the
+    lateness, whatever the length of the streams.  Rows later than that are dropped (``late_rows`` counts them).
+    """
+    a = left.withWatermark(time, late)
+    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withWatermark(f"r_{time}", late)
+    width = F.expr(f"interval {seconds} seconds")
+    near = (F.col(f"r_{time}") > F.col(time) - width) & (F.col(f"r_{time}") < F.col(time) + width)
+    return a.join(b, (F.col(key) == F.col(f"r_{key}")) & near)
+
+
+def late_rows(query) -> int:
+    """Rows that a stream's operators have dropped as too late, over the progress that it still knows."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])

@@ -302,3 +302,23 @@ def test_unique_names_skip_taken_numbers(spark):
     df = spark.createDataFrame(list(enumerate(names)), "k int, name string")
     got = {r["k"]: r["unique_name"] for r in W.unique_names(df, "name", "k").collect()}
     assert got == {0: "a", 1: "a_2", 2: "a_1", 3: "a.mp4", 4: "a_1.mp4", 5: "a_2.mp4", 6: "a_4", 7: "a_01", 8: "b", 9: None, 10: "a_3"}
+
+
+def test_linear_model(spark):
+    rows = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0), (3, 0.0, 0.0)], "id int, a double, b double")
+    out = {r["id"]: r["detections"] for r in inference.detected(inference.with_probabilities(rows, ["a", "b"], [[1.0, 1.0], [-9.0, 0.0]], [0.0, 0.0], batch=2), ["x", "y"], 0.4).collect()}
+    assert [(d["class_name"], round(d["confidence"], 4)) for d in out[1]] == [("x", 0.9526)]
+    assert out[2] == [] and [d["class_name"] for d in out[3]] == ["x", "y"]
+
+
+def test_loose_predictions(spark):
+    payloads = ['[{"k": 1}, {"k": "two"}]', '{"predictions": [{"k": 3}]}', '{"k": 4}', "{broken", "", None, "7", '{"predictions": []}', '{"predictions": "none"}']
+    rows = spark.createDataFrame(list(enumerate(payloads)), "i int, p string").withColumn("v", X.loose_predictions(F.col("p")))
+    got = {r["i"]: [r["n"], r["k"]] for r in rows.select("i", F.size("v").alias("n"), X.variant_field(F.get("v", F.lit(0)), "k", "int").alias("k")).collect()}
+    assert got == {0: [2, 1], 1: [1, 3], 2: [1, 4], 3: [0, None], 4: [0, None], 5: [0, None], 6: [0, None], 7: [0, None], 8: [0, None]}
+
+
+def test_rows_of_given_or_latest_date(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 5), ("b", 6)], "k string, d int")
+    assert sorted(tuple(r) for r in W.rows_of_date(df, "k", "d").collect()) == [("a", 2), ("a", 2), ("b", 6)]
+    assert sorted(tuple(r) for r in W.rows_of_date(df, "k", "d", F.when(F.col("k") == "b", 5)).collect()) == [("a", 2), ("a", 2), ("b", 5)]

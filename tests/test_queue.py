@@ -4,9 +4,11 @@ import json
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tarmac.sources import job_queue
-from tarmac.streaming import leases
+from tarmac.streaming import leases, windows
 
 START = datetime(2024, 1, 1)
 
@@ -106,3 +108,33 @@ def test_queue_survives_restarts(spark, tmp_path, keep):
     assert {r["job_id"]: r["at"] for r in got}["j3"] == START + timedelta(minutes=3)
     left = spark.read.format("job_queue").option("path", path).load().count()
     assert left == 16 if keep == "true" else left <= 16
+
+
+def test_streams_join_like_tables(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    # three runs, in order of time
+    cut = events.select(F.ntile(3).over(Window.orderBy("ts")).alias("part"), "*")
+    want = {(r["event_id"], r["r_event_id"]) for r in windows.near_pairs(*[events.filter(F.col("event_type") == t) for t in ("click", "view")], "user_id", "ts", 36_000).collect()}
+    for i in (1, 2, 3):
+        cut.filter(f"part = {i}").drop("part").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+        pairs = windows.near_pairs(*[stream.filter(F.col("event_type") == t) for t in ("click", "view")], "user_id", "ts", 36_000)
+        q = pairs.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+        assert q.awaitTermination(120) and windows.late_rows(q) == 0
+    rows = spark.read.parquet(f"{tmp_path}/out").select("event_id", "r_event_id").collect()
+    assert len(rows) == len(want) > 50 and {tuple(r) for r in rows} == want
+
+
+def test_once_within_drops_repeats_and_late_rows(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = windows.once_within(spark.readStream.schema("k string, ts timestamp").json(str(source)), ["k"], "ts", "10 minutes")
+    late = 0
+    for i, rows in enumerate([[("a", 0), ("a", 1), ("b", 2)], [("a", 5), ("c", 200)], [("d", 20), ("a", 201)]]):
+        (source / f"{i}.json").write_text("\n".join(json.dumps({"k": k, "ts": at(m)}) for k, m in rows))
+        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        late += windows.late_rows(q)
+    # d comes after the watermark; a is forgotten by then and counts anew
+    assert sorted(r["k"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "a", "b", "c"]
+    assert late == 1
