@@ -138,6 +138,8 @@ def parse(page: str) -> Node:
         mark = mark_of(tag, m[3])
         if mark == WEAK and (tag == "header" or HEADERS.intersection(m[3].lower().split('"'))) and inside(here, ("article", "main", "section")):
             mark = STAYS
+        if tag == "label" and not re.search(r"(?:^|\s)for\s*=", m[3], re.I) and inside(here, ("p", "li", "td", "dd")) and not inside(here, ("form", "fieldset")):
+            mark = STAYS
         if tag in CLOSES_P:
             here = closed(here, {"p"}, root)
         if tag in SAME:
@@ -260,8 +262,11 @@ def widened(best: Node, threshold: float) -> Node:
     return out
 
 
-def gather(node: Node, out: list[str], blocks: list[str]) -> None:
-    """Texts of all blocks of the subtree in page order; ``out`` holds the open block's pieces."""
+def gather(node: Node, out: list[str], blocks: list[str], links: bool) -> None:
+    """Texts of all blocks of the subtree in page order; ``out`` holds the open block's pieces.
+
+    Lists of links are left out unless ``links``.
+    """
     stack: list = [node]
     while stack:
         x = stack.pop()
@@ -271,7 +276,7 @@ def gather(node: Node, out: list[str], blocks: list[str]) -> None:
             out.append(x)
         elif x.tag in ("br", "hr"):
             out.append(" ")
-        elif x.tag in BLOCKS and x.is_links() and x is not node:
+        elif x.tag in BLOCKS and x.is_links() and x is not node and not links:
             flush(out, blocks)
         else:
             if x.tag in BLOCKS:
@@ -310,11 +315,13 @@ def main_text(page: str) -> str:
     while pending:
         node = pending.pop()
         if node is not best and id(node) in path:
-            beside = lambda c: not bounded and c.chars and c.density >= threshold and not c.is_links()
+            # beside an article other articles of the page belong to its text, but teasers, lists and sections don't
+            beside = lambda c: (c.tag == "article" if bounded else True) and c.chars and c.density >= threshold and not c.is_links()
             pending += reversed([c for c in node.nodes() if id(c) in path or beside(c)])
         else:
             out: list[str] = []
-            gather(node, out, blocks)
+            # what an article lists is its own (its sources); menus in it are known by their elements and class names
+            gather(node, out, blocks, inside(node, ("article",)))
             flush(out, blocks)
     return " ".join(blocks)
 

@@ -413,6 +413,21 @@ def test_html_density_decides(page):
     assert html_text.main_text(page) == TOLD
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"{MENU}<article>{STORY}<ul><li><a>Source one</a></li><li><a>Source two</a></li></ul></article>", f"{TOLD} Source one Source two"),
+        (f"{MENU}<article>{STORY}<nav><a>Next</a> <a>Last</a></nav><ul class=related><li><a>Other</a></li><li><a>More</a></li></ul></article>", TOLD),
+        (f"<article>{STORY}<p>Enter <label>the word</label> here.</p></article>", f"{TOLD} Enter the word here."),
+        (f"<article>{STORY}</article><form><p><label for=q>Search</label><input id=q></p></form>", TOLD),
+        (f"{MENU}<div><article>{STORY}</article><article>{STORY}</article></div><footer>legal</footer>", f"{TOLD} {TOLD}"),
+        (f"<div><article>{STORY}</article><div><p>Read on, there is so much more to see on other pages here.</p></div></div>", TOLD),
+    ],
+)
+def test_html_keeps_what_articles_say(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_html_long_page():
     words = "many words of a long page "
     assert html_text.main_text(f"<div>{f'<p>{words * 40}</p>' * 500}</div>" + MENU) == " ".join([(words * 40).strip()] * 500)
