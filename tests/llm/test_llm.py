@@ -253,6 +253,25 @@ def test_decontamination_of_many_passages(spark):
     assert {x for x in got if x[1] >= 1000} == {(660, 1000), (662, 1001)}
 
 
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.3])
+def test_decontamination_of_altered_items(spark, share):
+    """Items with changed words in surroundings of their own; all are found, and nothing else."""
+    rng = np.random.default_rng(7)
+    common, rare = [f"w{i}" for i in range(200)], [f"r{i}" for i in range(4000)]
+    draw = lambda n: [str(rng.choice(common if rng.random() < 0.5 else rare)) for _ in range(n)]
+    items = [draw(40) for _ in range(150)]
+    rows = []
+    for item in items[:60]:
+        own = list(item)
+        for k in rng.choice(40, int(share * 40), replace=False):
+            own[k] = draw(1)[0]
+        rows.append(" ".join(draw(60) + own + draw(60)))
+    rows += [" ".join(draw(160)) for _ in range(100)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == {(i, i) for i in range(60)}
+
+
 def test_no_leak_is_below_the_least_product():
     rng = np.random.default_rng(13)
     for _ in range(300):
