@@ -9,8 +9,9 @@ document is compared with its ``NEIGHBOURS`` predecessors, whatever the region's
 Links are confirmed in two rounds.  First each document's closest candidates; then all candidates that the first round
 left in different components.  In regions with more members than neighbours were compared, each small component is also
 compared with the whole region, in blocks of bounded size: a block's task counts the shared shingles of all its pairs
-on their full sets and hands on a spanning forest of the links it finds, at most one link fewer than it has rows.  No
-link between components is lost; pairs within one component need no test, as their link would change nothing.
+on their full sets and hands on a spanning forest of the links it finds, at most one link fewer than it has rows.
+Regions above a block are first dealt anew by the rare shingles that their members share, where that moves fewer
+shingles.  No link between components is lost; pairs within one component need no test, as their link would change nothing.
 
 The forest misses a pair at the threshold with probability (1 - j**depth)**trees (for 0.85, about 4e-7), and a signature
 estimate ``SLACK`` below the threshold rules a pair out (4.5 standard deviations).  Links themselves are exact up to
@@ -227,26 +228,75 @@ def forest(linked: np.ndarray, of_x: np.ndarray, of_y: np.ndarray) -> list[tuple
     return out
 
 
+def mixed(region: DataFrame) -> DataFrame:
+    """(bucket, largest, tiles, blocks, size, moved) of the regions with several components.
+
+    All components but the largest make up the ``blocks``, all rows the ``tiles``; ``moved`` shingles reach their tasks.
+    """
+    of_component = region.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("weight"), F.max("size").alias("size"))
+    biggest = F.max_by(F.struct("component", "k", "weight"), F.struct("k", "component")).alias("largest")
+    of_region = of_component.groupBy("bucket").agg(biggest, F.sum("k").alias("rows"), F.sum("weight").alias("weight"), F.max("size").alias("size"))
+    blocks = lambda rows, weight: F.ceil(F.greatest(rows / BLOCK, weight / BLOCK_SHINGLES))
+    rest = F.col("weight") - F.col("largest.weight")
+    out = of_region.filter("largest.k < rows").withColumns({"tiles": blocks(F.col("rows"), F.col("weight")), "blocks": blocks(F.col("rows") - F.col("largest.k"), rest)})
+    moved = (rest * F.col("tiles") + F.col("weight") * F.col("blocks")).alias("moved")
+    return out.select("bucket", F.col("largest.component").alias("largest"), "tiles", "blocks", "size", moved)
+
+
+def of_regions(region: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``region`` with the columns of ``found`` for their bucket; a large region's rows meet its one row in several tasks."""
+    salts = F.ceil(F.col("size") / BLOCK)
+    dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("size")
+    return region.withColumn("salt", F.pmod(F.xxhash64("node"), salts)).join(dealt, ["bucket", "salt"]).drop("salt")
+
+
+def split(region: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, regions): regions above a block dealt anew by rare shingles that their members share, where that moves less.
+
+    With all shingles in one order, rare ones first, linked sets share one of the first n - ceil(percent * n) + 1 of
+    each.  So no link is lost, while a deeper prefix of minima would lose some.
+    """
+    large = found.filter("tiles > 1")
+    if not large.head(1):
+        return region, found
+    rows = stored(of_regions(region, large).select("bucket", "node", "n", "size", "component"), "large")
+    tokens = rows.select("node").distinct().join(sets, "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    times = stored(tokens.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1"), "times")
+    own = F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "shingle")))
+    length = F.first("n")
+    first = tokens.join(times, "shingle", "left").groupBy("node").agg(F.slice(own, F.lit(1), length - F.expr(f"int((first(n) * {percent} + 99) div 100)") + 1).alias("rare"))
+    first = first.withColumn("rare", F.filter("rare", lambda r: r["times"] > 1))
+    # shingles that blocks of the new regions would read, at most
+    tiles = F.expr(f"aggregate(rare, 0D, (s, r) -> s + ceil(least(size, r.times) * greatest(1 / {BLOCK}, n / {BLOCK_SHINGLES})))")
+    both = stored(rows.join(first, "node"), "rare")
+    anew = both.groupBy("bucket").agg(F.sum(2 * F.col("n") * tiles).alias("anew"))
+    chosen = stored(large.join(anew, "bucket").filter("anew < moved").select("bucket", "size"), "chosen")
+    if not chosen.head(1):
+        discard(region.sparkSession, rows, times, both, chosen)
+        return region, found
+    dealt = of_regions(both, chosen).withColumn("r", F.explode("rare")).select(
+        F.xxhash64("bucket", "r.shingle").alias("bucket"), "node", "n", F.least("size", "r.times").alias("size"), "component"
+    )
+    dealt = stored(dealt, "split")
+    kept = stored(found.join(chosen, "bucket", "left_anti").unionByName(mixed(dealt)), "regions")
+    discard(region.sparkSession, rows, times, both, chosen)
+    return region.unionByName(dealt), kept
+
+
 def crowded(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of crowded regions that join different components, confirmed on full sets.
 
     Every component of a region but the largest is compared with the whole region, in blocks of about ``BLOCK`` rows
-    or ``BLOCK_SHINGLES`` shingles a side.  Only a spanning forest of the links found leaves a block.
+    or ``BLOCK_SHINGLES`` shingles a side; regions above a block are dealt anew by ``split`` first.  Only a spanning
+    forest of the links found leaves a block.
     """
-    salts = F.ceil(F.col("size") / BLOCK)
+    spark = members.sparkSession
     region = members.filter(F.col("size") > NEIGHBOURS + 1).select("bucket", "node", "n", "size").join(comps, "node", "left")
-    region = stored(region.withColumn("component", F.coalesce("component", "node")), "region")
-    of_component = region.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("weight"), F.max("size").alias("size"))
-    biggest = F.max_by(F.struct("component", "k", "weight"), F.struct("k", "component")).alias("largest")
-    mixed = of_component.groupBy("bucket").agg(biggest, F.sum("k").alias("rows"), F.sum("weight").alias("weight"), F.max("size").alias("size"))
-    blocks = lambda rows, weight: F.ceil(F.greatest(rows / BLOCK, weight / BLOCK_SHINGLES))
-    mixed = mixed.filter("largest.k < rows").select(
-        "bucket", F.col("largest.component").alias("largest"), blocks(F.col("rows"), F.col("weight")).alias("tiles"),
-        blocks(F.col("rows") - F.col("largest.k"), F.col("weight") - F.col("largest.weight")).alias("blocks"),
-        F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"),
-    )
-    # a large region's rows meet its one row of ``mixed`` in several tasks
-    marked = region.withColumn("salt", F.pmod(F.xxhash64("node"), salts)).join(mixed, ["bucket", "salt"]).withColumn("small", F.col("component") != F.col("largest"))
+    region = region.select("bucket", "node", "n", "size", F.coalesce("component", "node").alias("component"))
+    region = stored(region, "region")
+    found = stored(mixed(region), "regions")
+    rows, regions = split(region, found, sets, percent)
+    marked = of_regions(rows, regions).withColumn("small", F.col("component") != F.col("largest"))
     marked = marked.select("bucket", "node", "n", "component", "small", "tiles", "blocks").join(sets, "node")
     marked = stored(marked, "marked")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -266,9 +316,9 @@ def crowded(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
         a, b = x["node"].to_numpy(), y["node"].to_numpy()
         return pd.DataFrame({"a": [a[i] for i, _ in found], "b": [b[j] for _, j in found]})
 
-    found = left.unionByName(right).groupBy("bucket", "block", "tile").applyInPandas(run, "a binary, b binary")
-    out = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crowded")
-    discard(members.sparkSession, region, marked)
+    links = left.unionByName(right).groupBy("bucket", "block", "tile").applyInPandas(run, "a binary, b binary")
+    out = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crowded")
+    discard(spark, rows, found, regions, marked)
     return out
 
 
@@ -296,7 +346,8 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", percen
     dealt = order.repartitionByRange(shuffle_partitions(spark), "t", "turned").sortWithinPartitions("t", "turned")
     found = stored(candidates(dealt, size, floor, ratio), "candidates")
     # a few rows from each end of each partition: their number doesn't grow with the table
-    ends = found.filter("est < 0").select("t", "turned", "n", F.col("a").alias("node")).coalesce(1).sortWithinPartitions("t", "turned")
+    # a partition of fewer rows than two ends hands some on twice
+    ends = found.filter("est < 0").select("t", "turned", "n", F.col("a").alias("node")).distinct().coalesce(1).sortWithinPartitions("t", "turned")
     across = candidates(ends, size, floor, ratio).filter("est >= 0").select("a", "b", "est")
     pairs = found.filter("est >= 0").select("a", "b", "est").unionByName(across)
     pairs = stored(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("est").alias("est")).filter("a < b"), "pairs")
@@ -313,11 +364,10 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", percen
     # second round: what's left between components, and crowded regions
     left = labelled(pairs, comps).filter("a_comp != b_comp").select("a", "b").join(first, ["a", "b"], "left_anti")
     more = stored(confirmed(left, sets, percent), "links")
-    if more.head(1):
-        comps = components(links.unionByName(more))
     rest = crowded(members, comps, sets, percent)
-    if rest.head(1):
-        comps = components(links.unionByName(more).unionByName(rest))
+    more_rest = more.unionByName(rest)
+    if more_rest.head(1):
+        comps = components(links.unionByName(more_rest))
     # the smallest id of each component's nodes
     of_node = reps.select("node", "id").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_node.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -536,6 +536,32 @@ def test_near_dup_crowded_regions_in_blocks(spark, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(texts))] == want
 
 
+def test_near_dup_short_texts_of_one_template(spark, monkeypatch):
+    """Texts of a template that differ in their last words: what reaches the blocks grows in proportion to them."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    moved, stored = [], near_dedup.stored
+
+    def noted(df, name):
+        out = stored(df, name)
+        if name == "regions":
+            moved.append(out.agg(F.sum("moved")).head()[0] or 0)
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", noted)
+    sums = []
+    for n in (1_000, 4_000):
+        own = [f"alpha beta gamma delta epsilon zeta eta theta iota x{i} y{i}" for i in range(n)]
+        longer = " ".join(f"z{j}" for j in range(40))
+        texts = own + [f"{longer} tail{i}" for i in range(n // 10)]
+        moved.clear()
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, texts), "doc_id").collect()}
+        assert [got[i] for i in range(n)] == list(range(n))
+        assert {got[i] for i in range(n, len(texts))} == {n}
+        sums.append((moved[0], moved[-1]))
+    assert sums[1][0] > 8 * sums[0][0] > 0  # whole regions: with the square
+    assert sums[1][1] <= 5 * max(sums[0][1], 1)
+
+
 def test_near_dup_repeated_and_null_ids(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(500)]
