@@ -281,4 +281,4 @@ def grouped_by_second(spark, d):
 
 
 # the other queries add themselves to the same tables
-from . import recent, shaped, texts  # noqa: E402, F401
+from . import derived, recent, shaped, texts  # noqa: E402, F401
