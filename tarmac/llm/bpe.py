@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import brought_back, set_aside, table, text_or_empty
 
 CHUNK_CHARS, OVERLAP = 4_096, 512
 #: Texts beyond this are dealt out in chunks of their own size.
@@ -241,6 +241,7 @@ def with_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     path = path or vocabulary_path()
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    docs, former = set_aside(docs, text_col)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -256,7 +257,7 @@ def with_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = longer.select("__sha", F.col(text_col).alias("text")).dropDuplicates(["__sha"])
     found = encode_digests(keys, "__sha", path=path).select("__sha", *[F.col(c).alias(f"__{c}") for c in names])
     there = longer.join(found, "__sha").select(*kept, *[F.col(f"__{c}").alias(c) for c in names])
-    return here.unionByName(there)
+    return brought_back(here.unionByName(there), former)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,21 @@ def streamed_by(df: DataFrame, key: str, *order: str) -> DataFrame:
     partitioning, and adaptive execution may then still split or mix its partitions.
     """
     return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)
+
+
+def set_aside(df: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with those columns renamed that begin as the operators' own do, but for ``own``, and their former names."""
+    names: dict[str, str] = {}
+    for c in df.columns:
+        if c.startswith("__") and c not in own:
+            new = f"x{c}"
+            while new in df.columns or new in names:
+                new = f"x{new}"
+            names[new] = c
+    back = {c: new for new, c in names.items()}
+    return (df.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in df.columns]) if names else df), names
+
+
+def brought_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``df`` with the names that ``set_aside`` changed."""
+    return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns]) if names else df

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, shuffle_partitions, stored, table
+from .common import brought_back, discard, set_aside, shuffle_partitions, stored, table
 from .components import components
 
 WORDS, TREES, DEPTH, NEIGHBOURS, CLOSEST, SLACK = 5, 20, 4, 4, 4, 0.18
@@ -386,6 +386,7 @@ def representatives(docs: DataFrame, id_col: str, text_col: str = "text", percen
 
     Rows without words and rows of classes without any id are kept all.
     """
+    docs, names = set_aside(docs, id_col, text_col)
     found = near_duplicates(docs, id_col, text_col, percent).filter("kept")
     repeated = (F.count("*") > 1) & (F.max("n_shingles") > 0) & F.col("__id").isNotNull()
     kept = stored(found.groupBy(F.col(id_col).alias("__id"), F.col("th").alias("__th")).agg(repeated.alias("__repeated")), "kept")
@@ -393,10 +394,10 @@ def representatives(docs: DataFrame, id_col: str, text_col: str = "text", percen
     same = lambda side: (F.col("__h") == side["__th"]) & F.col(id_col).eqNullSafe(side["__id"])
     again = kept.filter("__repeated")
     if not again.head(1):
-        return rows.join(kept, same(kept), "left_semi").select(*docs.columns)
+        return brought_back(rows.join(kept, same(kept), "left_semi").select(*docs.columns), names)
     single = kept.filter("not __repeated")
     once = rows.join(again, same(again), "left_semi").dropDuplicates([id_col, "__h"])
-    return rows.join(single, same(single), "left_semi").unionByName(once).select(*docs.columns)
+    return brought_back(rows.join(single, same(single), "left_semi").unionByName(once).select(*docs.columns), names)
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty
+from .common import brought_back, set_aside, stored, table, text_or_empty
 
 #: Kind, pattern, group holding the value, least characters of the value.  For hex and access the least
 #: length is part of the pattern: runs are maximal, so this finds the same spans as dropping short runs afterwards.
@@ -199,6 +199,8 @@ def redacted(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str =
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(apart, new).otherwise(state["out"]).alias("out"))
 
     done = F.aggregate("__cut", zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    docs, names = set_aside(docs, id_col, text_col)
     rows = docs.withColumn("__h", text_hash(text_col))
     out = rows.join(live, (F.col("__h") == F.col("__th")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    return out.withColumn(text_col, F.when(F.col("__cut").isNotNull(), done).otherwise(F.col(text_col))).select(*docs.columns)
+    out = out.withColumn(text_col, F.when(F.col("__cut").isNotNull(), done).otherwise(F.col(text_col))).select(*docs.columns)
+    return brought_back(out, names)

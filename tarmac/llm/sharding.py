@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty
+from .common import brought_back, set_aside, stored, table, text_or_empty
 
 
 def mixed(x: int) -> int:
@@ -104,6 +104,7 @@ def shard_ring(
     ``cells`` with the table.
     """
     spark = df.sparkSession
+    df, names = set_aside(df, key, *order)
     placed = df.withColumn("__cell", cell_of(F.col(key), cells))
     counts = [0] * cells
     for r in placed.groupBy("__cell").agg(F.count("*").alias("n")).collect():
@@ -116,7 +117,7 @@ def shard_ring(
     out = ranked(placed, key, order, counts, most).join(F.broadcast(plan), (F.col("__cell") == F.col("__of")) & inside)
     slot = F.col("__base") + F.col("__rank") - F.col("__start")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
-    return out.select(*kept, F.col("__shard").alias("shard"), slot.alias("slot"))
+    return brought_back(out.select(*kept, F.col("__shard").alias("shard"), slot.alias("slot")), names)
 
 
 def op10_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:

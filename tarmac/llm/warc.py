@@ -6,7 +6,8 @@ in no manifest and is never read.
 
 Reading: archives are dealt out as byte ranges.  A task looks for the gzip magic in its range, takes a hit for a
 member only if it inflates to a WARC version line, and owns the records whose member starts inside the range; it reads
-past the range's end to finish the last one.  A magic inside compressed data doesn't inflate to such a line.
+past the range's end to finish the last one.  A magic inside compressed data doesn't inflate to such a line; a whole
+member stored uncompressed inside another record would, but the archives written here compress every record.
 
 A record's payload is the page's HTML (null: empty) in UTF-8 behind an HTTP response header.  Of records with equal
 payloads, the one with the largest id is a response, the others are revisits without payload that refer to it; their
@@ -33,6 +34,8 @@ from .common import fresh_path, stored, table
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 #: Bytes of a range, and of one read.
 RANGE_BYTES, READ_BYTES = 32 << 20, 1 << 20
+#: Bytes inflated at once.
+PIECE = 65_536
 #: Repeated digests up to this number are broadcast (28 bytes each), more are joined by a shuffle.
 BROADCAST_DIGESTS = 1_000_000
 MANIFEST = "path string, bytes long, records long"
@@ -111,8 +114,42 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str =
     return stored(ready.mapInPandas(archive, MANIFEST), "warc-manifest")
 
 
+def pieces(file, buffer: bytes, seen: int, place: int) -> Iterator[bytes]:
+    """``buffer`` from ``seen`` on, then the file from ``place`` on, where the buffer ends."""
+    for i in range(seen, len(buffer), PIECE):
+        yield buffer[i : i + PIECE]
+    file.seek(place)
+    while more := file.read(READ_BYTES):
+        for i in range(0, len(more), PIECE):
+            yield more[i : i + PIECE]
+
+
+def inflated(data: Iterator[bytes]) -> tuple[bytes, int] | None:
+    """The member at the start of ``data`` and the bytes it takes there; None if it is no WARC record.
+
+    A long member is read once, piece by piece; what is no record ends with its first bytes.
+    """
+    z, parts, taken, first = zlib.decompressobj(31), [], 0, b""
+    for piece in data:
+        try:
+            parts.append(z.decompress(piece))
+        except zlib.error:
+            return None
+        taken += len(piece)
+        if len(first) < len(VERSION):
+            first = (first + parts[-1])[: len(VERSION)]
+            if not VERSION.startswith(first):
+                return None
+        if z.eof:
+            return (b"".join(parts), taken - len(z.unused_data)) if first == VERSION else None
+    return None
+
+
 def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, inflated bytes) of every member that begins in [start, end) and inflates to a WARC record."""
+    """(offset, inflated bytes) of every member that begins in [start, end) and inflates to a WARC record.
+
+    The buffer never holds more than two reads, however long a member is.
+    """
     at, buffer, base = start, b"", start
     while at < end:
         # the buffer holds the file's bytes from base on
@@ -125,42 +162,14 @@ def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]
             if base + len(buffer) >= size:
                 return
             at = max(at, base + len(buffer) - len(MAGIC) + 1)
-            buffer, base = buffer[at - base :], at
-            file.seek(base + len(buffer))
-            buffer += file.read(READ_BYTES)
             continue
         at = base + hit
         if at >= end:
             return
-        z, parts, seen, ok = zlib.decompressobj(31), [], hit, True
-        first = b""
-        while not z.eof:
-            piece = buffer[seen : seen + 65536]
-            if not piece:
-                file.seek(base + len(buffer))
-                more = file.read(READ_BYTES)
-                if not more:
-                    ok = False
-                    break
-                buffer += more
-                continue
-            seen += len(piece)
-            try:
-                got = z.decompress(piece)
-            except zlib.error:
-                ok = False
-                break
-            parts.append(got)
-            if len(first) < len(VERSION):
-                first += got[: len(VERSION)]
-                if not VERSION.startswith(first[: len(VERSION)]):
-                    ok = False
-                    break
-        if ok and first.startswith(VERSION):
-            yield at, b"".join(parts)
-            at = base + seen - len(z.unused_data)
-        else:
-            at += 1
+        found = inflated(pieces(file, buffer, hit, base + len(buffer)))
+        if found:
+            yield at, found[0]
+        at += found[1] if found else 1
 
 
 def parsed(data: bytes) -> dict:

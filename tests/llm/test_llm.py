@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import html as entities
+import io
+import random
 import re
 import zlib
 from collections import Counter
@@ -354,6 +356,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(warc.write(df.limit(0), str(tmp_path / "e"))).count() == 0
 
 
+def test_warc_members_of_any_length_are_read_once(monkeypatch):
+    """Stored blocks hold the gzip magic many times; the bytes read stay in proportion to the file."""
+    draw = random.Random(3)
+    noise = [draw.randbytes(n) for n in (0, 10, 3_000, 700_000, 5_000_000, 40)]
+    payloads = [warc.MAGIC.join(x[i : i + 50_000] for i in range(0, max(1, len(x)), 50_000)) + warc.MAGIC for x in noise]
+    made = [warc.member(warc.record("response", i, "u", x, warc.base32_sha1(x), None)) for i, x in enumerate(payloads)]
+    data = b"".join(made)
+    starts = [sum(map(len, made[:i])) for i in range(len(made))]
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, *n):
+            got = super().read(*n)
+            self.taken += len(got)
+            return got
+
+    for read_bytes, size in ((1 << 20, 32 << 20), (100_000, 1_000_000), (1_000, 1_000_000)):
+        monkeypatch.setattr(warc, "READ_BYTES", read_bytes)
+        files = [(Counted(data), i) for i in range(0, len(data), size)]
+        got = [m for file, i in files for m in warc.members(file, len(data), i, min(len(data), i + size))]
+        assert [at for at, _ in got] == starts
+        assert [warc.parsed(m)["payload"] for _, m in got] == payloads
+        # a member is read once more by the task that owns it, a false magic by a read at most
+        if size > len(data):
+            assert files[0][0].taken < 4 * len(data)
+    monkeypatch.setattr(warc, "READ_BYTES", 5)
+    cut = data[: starts[4] + 1_000]
+    assert [at for at, _ in warc.members(io.BytesIO(cut), len(cut), 0, len(cut))] == starts[:4]
+
+
 # --- BPE ------------------------------------------------------------------------------------------------------------
 
 
@@ -596,6 +629,24 @@ def test_ring(spark):
     assert sharding.shard_ring(docs.limit(0), "doc_id").count() == 0
 
 
+def test_columns_named_like_inner_ones_come_back_unchanged(spark):
+    inner = ["__h", "__id", "__th", "__repeated", "__cut", "__cell", "__rank", "__part", "__shard", "__sha", "__d", "x__h"]
+    texts = ["", None, "token = abcdefgh12 and more words", "one two three four five six", "one two three four five six"]
+    rows = [(i, t, *(f"{c}{i}" for c in inner)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in inner)])).withColumn("source", F.lit("s"))
+    verdicts = secrets.scan(df, "doc_id", by_text=True)
+    outs = {
+        "near": near_dedup.representatives(df, "doc_id"),
+        "secrets": secrets.redacted(df, verdicts, "doc_id"),
+        "bpe": bpe.with_digests(df),
+        "ring": sharding.shard_ring(df, "doc_id", 4, most=1),
+    }
+    for name, out in outs.items():
+        assert out.columns[: len(df.columns)] == df.columns, name
+        got = {r["doc_id"]: tuple(r[c] for c in inner) for r in out.collect()}
+        assert got == {r[0]: r[2:] for r in rows if name != "near" or r[0] != 4}, name
+
+
 def test_ring_splits_hot_keys_and_replaces_columns(spark):
     rows = [(None, i, "q") for i in range(300)] + [(i, i, "q") for i in range(300)]
     df = spark.createDataFrame(rows, "shard long, slot long, __n string")
