@@ -43,11 +43,19 @@ def tile_y(lat: Column, zoom: Column) -> Column:
 
 def minutes_seconds(seconds: Column) -> Column:
     whole = F.floor(seconds)
-    return F.concat(F.floor(whole / 60).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+    return F.concat(F.call_function("div", whole, F.lit(60)).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+
+
+def decimals(x: Column, digits: int = 2) -> Column:
+    """As C prints ``%.2f``: the stored binary value is rounded, its ties to even, where ``format_string`` rounds the
+    shortest decimal form, ties up.  Numbers whose shortest form has no more than these digits keep it."""
+    x = x.cast("double")
+    text = F.call_function("format_number", x, F.lit("0." + "0" * digits))
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(text)
 
 
 def megabytes(size: Column) -> Column:
-    return F.when(size.isNotNull(), F.format_string("%.2f MB", size / (1024.0 * 1024.0)))
+    return F.concat(decimals(size / (1024.0 * 1024.0)), F.lit(" MB"))
 
 
 def time_asked(text: Column) -> Column:
@@ -117,7 +125,7 @@ def road_class(km: Column) -> Column:
 
 
 def frame_path(number: Column, seconds: Column) -> Column:
-    return F.format_string("frame_%06d_%.2fs.jpg", number, seconds)
+    return F.when(number.isNotNull(), F.concat(F.format_string("frame_%06d_", number), decimals(seconds), F.lit("s.jpg")))
 
 
 def stored_url(path: Column) -> Column:
@@ -165,7 +173,7 @@ def steady_confidence(key: Column) -> Column:
 
 
 def percent_label(name: Column, confidence: Column) -> Column:
-    return F.format_string("%s: %.2f", name, confidence)
+    return F.concat(name, F.lit(": "), decimals(confidence))
 
 
 def endpoint_names(road: Column) -> Column:

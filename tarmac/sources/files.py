@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import file_extension, file_stem
+from ..functions.scalars import decimals, file_extension, file_stem
 
 VIDEO, IMAGE = ("mp4", "avi", "mov", "mkv"), ("jpg", "jpeg", "png")
 
@@ -45,7 +45,7 @@ def folder_counts(files: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, coordinates: tuple[str, ...] = ("lat", "lng")) -> None:
     """CSV with a header, coordinates with six digits; values with commas are quoted."""
-    fixed = {c: F.when(F.col(c).isNotNull(), F.format_string("%.6f", c)) for c in coordinates if c in df.columns}
+    fixed = {c: decimals(F.col(c), 6) for c in coordinates if c in df.columns}
     df.withColumns(fixed).write.mode("overwrite").option("header", True).csv(path)
 
 

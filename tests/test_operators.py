@@ -3,6 +3,7 @@ import os
 import re
 import sqlite3
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tarmac.operators import annotations, dml, inference, text_index
 from tarmac.operators import filters as S
 from tarmac.operators import joins as J
 from tarmac.operators import ranking as W
+from tarmac.plans.queries import ORACLE_SQL, QUERIES
 from tarmac.sources import annotations as tasks_source
 from tarmac.sources import files, gpx, tiles
 from tarmac.streaming import jobs, windows
@@ -322,3 +324,34 @@ def test_rows_of_given_or_latest_date(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 5), ("b", 6)], "k string, d int")
     assert sorted(tuple(r) for r in W.rows_of_date(df, "k", "d").collect()) == [("a", 2), ("a", 2), ("b", 6)]
     assert sorted(tuple(r) for r in W.rows_of_date(df, "k", "d", F.when(F.col("k") == "b", 5)).collect()) == [("a", 2), ("a", 2), ("b", 5)]
+
+
+ODD_PRICES = [15728.64, 131072.0, 393216.0, -47185.92, 162529.28, -1.0, 0.0, 123456.78, float("nan"), float("inf"), None]
+
+
+@pytest.fixture
+def odd_orders(spark, tmp_path):
+    """Orders with sizes halfway between two decimals and keys beyond a double's digits."""
+    keys = [0, 59, 61, -61, 2**53 + 1, 2**60 - 1, 7, 8, 9, 10, 11]
+    df = spark.createDataFrame([(k, k % 50, p) for k, p in zip(keys, ODD_PRICES, strict=True)], "o_orderkey long, o_custkey long, o_totalprice double")
+    df.write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("customer", "nation"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def same_as_sql(spark, name, folder):
+    con = duckdb.connect()
+    for t in ("orders", "customer", "nation"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    rel, df = con.sql(ORACLE_SQL[name]), QUERIES[name](spark, folder)
+    assert sorted(map(tuple, df.select(rel.columns).collect()), key=str) == sorted(rel.fetchall(), key=str)
+
+
+def test_formatted_rounds_as_sql_does(spark, odd_orders):
+    same_as_sql(spark, "formatted", odd_orders)
+
+
+def test_decimals_of_other_columns(spark):
+    got = spark.range(1).select(X.frame_path(F.lit(7), F.lit(2.675)), X.percent_label(F.lit("a"), F.lit(0.125)), X.decimals(F.lit(0.0000005), 6), X.frame_path(F.lit(None).cast("int"), F.lit(1.0))).head()
+    assert tuple(got) == ("frame_000007_2.67s.jpg", "a: 0.12", "0.000000", None)
