@@ -352,6 +352,10 @@ def test_formatted_rounds_as_sql_does(spark, odd_orders):
     same_as_sql(spark, "formatted", odd_orders)
 
 
+def test_video_list_rounds_as_sql_does(spark, odd_orders):
+    same_as_sql(spark, "video_list", odd_orders)
+
+
 def test_decimals_of_other_columns(spark):
     got = spark.range(1).select(X.frame_path(F.lit(7), F.lit(2.675)), X.percent_label(F.lit("a"), F.lit(0.125)), X.decimals(F.lit(0.0000005), 6), X.frame_path(F.lit(None).cast("int"), F.lit(1.0))).head()
     assert tuple(got) == ("frame_000007_2.67s.jpg", "a: 0.12", "0.000000", None)
