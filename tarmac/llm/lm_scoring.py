@@ -28,8 +28,10 @@ table gives no rows.  Other columns aren't looked at, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -94,15 +96,28 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[int, int]]:
     return sorted(((r["word"], r["n"]) for r in counts.filter(step >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
+Shared = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def shared_codes(words: list[int], counts: list[int], begun: int) -> Shared:
+    """(hashes of words with short codes, sorted; their codes; counts by code): 20 bytes a word in each Python worker."""
+    words = np.array(words, np.int64)
+    order = np.argsort(words)
+    return words[order], (order + 2).astype(np.int32), np.array([0, begun, *counts], np.int64)
+
+
 class Codes(dict):
     """Codes of words: short ones from 2 up, else the word's hash, below 0."""
 
-    def __init__(self, coded: dict[int, int]):
-        self.coded = coded
+    def __init__(self, words: np.ndarray, codes: np.ndarray):
+        # views: bisect gets plain numbers from them
+        self.words, self.codes = memoryview(words), memoryview(codes)
 
     def __missing__(self, word: str) -> int:
         at = hashed(word)
-        at = self.coded.get(at, at)
+        place = bisect_left(self.words, at)
+        if place < len(self.words) and self.words[place] == at:
+            at = self.codes[place]
         if len(self) > MEMO:
             self.clear()
         self[word] = at
@@ -148,32 +163,76 @@ Held = tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]
 def held_bigrams(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[Held]:
     """(first and second code of each bigram, row of each, ids of the rows) for about ``HELD`` words at a time; a text
     is never parted."""
-    firsts, seconds, rows, of_rows, n, row = [], [], [], [], 0, 0
+    held, row_of, of_rows, n, row = [], [], [], 0, 0
+
+    def block() -> Held:
+        # the parts are freed as soon as they're joined
+        parts, of = held[:], row_of[:]
+        held.clear(), row_of.clear()
+        second, rows = np.concatenate([p[1:] for p in parts]), np.concatenate(of)
+        del of
+        return np.concatenate([p[:-1] for p in parts]), second, rows, pa.concat_arrays(of_rows)
+
     for b in batches:
         of_batch = b.column("id") if "id" in b.schema.names else pa.nulls(len(b))
         begin = 0
-        for i, text in enumerate(b.column("text").to_pylist()):
-            words = text.split(" ")
+        for i, text in enumerate(b.column("text")):
+            words = text.as_py().split(" ")
             own = np.empty(len(words) + 1, np.int64)
             own[0] = START
             own[1:] = list(map(codes.__getitem__, words))
-            firsts.append(own[:-1])
-            seconds.append(own[1:])
-            rows.append(np.full(len(words), row, np.int64))
+            held.append(own)
+            row_of.append(np.full(len(words), row, np.int32))
             n, row = n + len(words), row + 1
             if n >= HELD or row == 1 << ROW_BITS:
                 of_rows.append(of_batch.slice(begin, i + 1 - begin))
-                yield np.concatenate(firsts), np.concatenate(seconds), np.concatenate(rows), pa.concat_arrays(of_rows)
-                firsts, seconds, rows, of_rows, n, row, begin = [], [], [], [], 0, 0, i + 1
+                yield block()
+                of_rows, n, row, begin = [], 0, 0, i + 1
         of_rows.append(of_batch.slice(begin))
-    if firsts:
-        yield np.concatenate(firsts), np.concatenate(seconds), np.concatenate(rows), pa.concat_arrays(of_rows)
+    if held:
+        yield block()
 
 
-def in_batches(**columns) -> Iterator[pa.RecordBatch]:
-    whole = pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
-    for i in range(0, len(whole), BATCH):
-        yield whole.slice(i, BATCH)
+def in_parts(n: int) -> list[slice]:
+    return [slice(i, i + BATCH) for i in range(0, n, BATCH)]
+
+
+def block_rows(batches: Iterator[pa.RecordBatch], codes: Codes, counts: np.ndarray, order: int, named: bool, task: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``posted`` for the texts of a task; besides a block and its sorted keys only slices are held."""
+    blocks = held_bigrams(batches, codes)
+    for number in count():
+        block = next(blocks, None)
+        if block is None:
+            return
+        yield from of_block(*block, counts, mixed(np.array([task]), np.array([number])).view(np.uint64)[0], order, named)
+        del block  # before the next one is gathered
+
+
+def of_block(first, second, rows, of_rows, counts, salted, order: int, named: bool) -> Iterator[pa.RecordBatch]:
+    a, b = first, second
+    if order > 2:
+        whole, keys, a, b, rows = higher(first, second, rows, order)
+        first, second = first[whole], second[whole]
+    else:
+        keys = np.concatenate([keys_of(first[p], second[p]) for p in in_parts(len(first))])
+    # ordered by key, which leaves less to shuffle, then by row, as the rows are in order
+    at = np.argsort(keys, kind="stable")
+    keys, rows = keys[at], rows[at]
+    lead = np.flatnonzero(np.concatenate([np.ones(1, bool), (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])[: len(keys)])
+    n = np.diff(np.append(lead, len(keys))).astype(np.int32)
+    keys, rows, at = keys[lead], rows[lead], at[lead]
+    for p in in_parts(len(at)):
+        one, key, own = at[p], keys[p], rows[p]
+        often = np.minimum(*(np.where(codes >= 0, counts[np.maximum(codes, 0)], 0) for codes in (first[one], second[one])))
+        parts = np.minimum(often // SALTED, 1 << 20)
+        # one salt for a task's rows of an n-gram, the same when the task is repeated
+        salt = np.where(parts > 0, 1 + (salted % (parts + 1).astype(np.uint64)).astype(np.int64), 0)
+        a_, b_ = a[one], b[one]
+        if order == 2:
+            packed = key >= 0
+            a_, b_, salt = np.where(packed, salt << 2 * SHIFT | key, a_), np.where(packed, 0, b_), np.zeros(len(key), np.int64)
+        columns = {"a": a_, "b": b_, "salt": salt.astype(np.int32), "id": of_rows.take(pa.array(own)), "n": n[p]} | ({"key": key} if named else {})
+        yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
 
 def posted(texts: DataFrame, shared, order: int, named: bool = False) -> DataFrame:
@@ -184,28 +243,8 @@ def posted(texts: DataFrame, shared, order: int, named: bool = False) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts = shared.value
-        task = TaskContext.get().partitionId()
-        for number, (first, second, rows, of_rows) in enumerate(held_bigrams(batches, Codes(ids))):
-            often = np.minimum(*(np.where(codes >= 0, counts[np.maximum(codes, 0)], 0) for codes in (first, second)))
-            keys = keys_of(first, second)
-            if order > 2:
-                whole, keys, first, second, rows = higher(first, second, rows, order)
-                often = often[whole]
-            # ordered by key, which leaves less to shuffle
-            key, lead, at = np.unique(keys, return_index=True, return_inverse=True)
-            own, n = np.unique(at << ROW_BITS | rows, return_counts=True)
-            of_key, row = own >> ROW_BITS, own & (1 << ROW_BITS) - 1
-            parts = np.minimum(often[lead] // SALTED, 1 << 20)
-            # one salt for a task's rows of an n-gram, the same when the task is repeated
-            salt = mixed(np.full(len(key), task), np.full(len(key), number)).view(np.uint64) % (parts + 1).astype(np.uint64)
-            salt = np.where(parts > 0, 1 + salt.astype(np.int64), 0)
-            a, b = first[lead], second[lead]
-            if order == 2:
-                packed = key >= 0
-                a, b, salt = np.where(packed, salt << 2 * SHIFT | key, a), np.where(packed, 0, b), np.zeros(len(key), np.int64)
-            columns = {"a": a[of_key], "b": b[of_key], "salt": salt[of_key].astype(np.int32), "id": of_rows.take(pa.array(row)), "n": n.astype(np.int32)}
-            yield from in_batches(**columns, **({"key": key[of_key]} if named else {}))
+        words, codes, counts = shared.value
+        yield from block_rows(batches, Codes(words, codes), counts, order, named, TaskContext.get().partitionId())
 
     columns = f"a long, b long, salt int, id {dict(texts.dtypes)['id']}, n int{', key long' if named else ''}"
     return texts.mapInArrow(run, columns).repartition(*GRAM)
@@ -234,8 +273,7 @@ def score(docs: DataFrame, id_col: str, text_col: str = "text", order: int = ORD
     top = most_frequent(words, CODED)
     texts = docs.select(F.col(id_col).alias("id"), words_joined(text_col).alias("text")).filter("text != ''")
     begun = texts.count()
-    ids = {word: i + 2 for i, (word, _) in enumerate(top)}
-    shared = spark.sparkContext.broadcast((ids, np.array([0, begun, *(n for _, n in top)], np.int64)))
+    shared = spark.sparkContext.broadcast(shared_codes([w for w, _ in top], [n for _, n in top], begun))
     salted = max([begun, *(n for _, n in top[:1])]) >= SALTED
 
     # bounded by the short codes
