@@ -34,7 +34,6 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -60,24 +59,28 @@ SALTED = 1 << 22
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all documents, words as their hashes; words are counted within tasks first."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"word": pa.array([hashed(w) for w in held], "int64"), "n": pa.array(list(held.values()), "int64")})
+
         for b in batches:
             for text in b["text"]:
-                held.update(text.split(" "))
+                held.update(text.as_py().split())
             if len(held) > COUNTED:
-                yield pd.DataFrame({"word": [hashed(w) for w in held], "n": list(held.values())})
+                yield out()
                 held.clear()
         if held:
-            yield pd.DataFrame({"word": [hashed(w) for w in held], "n": list(held.values())})
+            yield out()
 
-    texts = docs.select(words_joined(text_col).alias("text")).filter("text != ''")
-    return texts.mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return lowered(docs, text_col).mapInArrow(tally, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def words_joined(text_col: str):
-    """The text's lower-case words, each two separated by one space."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
+def lowered(docs: DataFrame, text_col: str, *ids) -> DataFrame:
+    """Lower-case texts that have words, as bytes: ``bytes.split`` parts them at the model's white space."""
+    text = F.col(text_col)
+    return docs.filter(text.rlike(r"[^\x20\x09-\x0D]")).select(*ids, F.lower(text).cast("binary").alias("text"))
 
 
 def most_frequent(counts: DataFrame, most: int) -> list[tuple[int, int]]:
@@ -113,7 +116,7 @@ class Codes(dict):
         # views: bisect gets plain numbers from them
         self.words, self.codes = memoryview(words), memoryview(codes)
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         at = hashed(word)
         place = bisect_left(self.words, at)
         if place < len(self.words) and self.words[place] == at:
@@ -124,8 +127,8 @@ class Codes(dict):
         return at
 
 
-def hashed(word: str) -> int:
-    digest = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+def hashed(word: bytes) -> int:
+    digest = hashlib.blake2b(word, digest_size=8).digest()
     return int.from_bytes(digest, "little") % (1 << 63) - (1 << 63)
 
 
@@ -177,7 +180,7 @@ def held_bigrams(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[He
         of_batch = b.column("id") if "id" in b.schema.names else pa.nulls(len(b))
         begin = 0
         for i, text in enumerate(b.column("text")):
-            words = text.as_py().split(" ")
+            words = text.as_py().split()
             own = np.empty(len(words) + 1, np.int64)
             own[0] = START
             own[1:] = list(map(codes.__getitem__, words))
@@ -271,7 +274,7 @@ def score(docs: DataFrame, id_col: str, text_col: str = "text", order: int = ORD
     words = stored(word_counts(docs, text_col), "lm-words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     top = most_frequent(words, CODED)
-    texts = docs.select(F.col(id_col).alias("id"), words_joined(text_col).alias("text")).filter("text != ''")
+    texts = lowered(docs, text_col, F.col(id_col).alias("id"))
     begun = texts.count()
     shared = spark.sparkContext.broadcast(shared_codes([w for w, _ in top], [n for _, n in top], begun))
     salted = max([begun, *(n for _, n in top[:1])]) >= SALTED
@@ -288,17 +291,27 @@ def score(docs: DataFrame, id_col: str, text_col: str = "text", order: int = ORD
     second = F.when(packed, F.col("a").bitwiseAND(low)).otherwise(F.col("b"))
     named = ["key"] if order > 2 else []
     parts = counted(grams, salted).select(*GRAM, *named, "c", seen.cast("int").alias("seen"), F.when(seen, first).otherwise(second).alias("word"))
-    ratio = F.when(F.col("seen") == 1, F.col("c") / F.col("of")).otherwise(F.lit(backoff) * F.col("of") / F.lit(float(total)))
-    micro = F.round(F.log(ratio) * 1e6).cast("long").alias("micro")
-    scored = parts.filter("word >= 0").join(of_word, "word").select(*GRAM, *named, "c", "seen", micro)
-    # a partition of the count table is a hash table: the many bigrams of documents need no sort
-    found = grams.join(scored.select(*GRAM, "seen", "micro").hint("shuffle_hash"), GRAM).select("id", "n", "seen", "micro")
+
+    def micro_of(c):
+        ratio = F.when(c >= min_count, c / F.col("of")).otherwise(F.lit(backoff) * F.col("of") / F.lit(float(total)))
+        return F.round(F.log(ratio) * 1e6).cast("long").alias("micro")
+
+    micro = micro_of(F.col("c"))
+    coded = parts.join(of_word, "word", "left").withColumn("micro", micro)
+    scored = coded.filter("word >= 0").select(*GRAM, *named, "c", "seen", "micro")
+    # a partition of the count table is a hash table: the many bigrams of documents need no sort, and are read once;
     # only what needs the count of a word without a short code is dealt out by word
-    needy = grams.join(parts.filter("word < 0").drop("key").hint("shuffle_hash"), GRAM).select("id", "n", "c", "seen", "word")
-    found = found.unionByName(needy.join(rest, "word").select("id", "n", "seen", micro))
-    found = found.select("id", F.col("n").cast("long").alias("n"), (F.col("n") * F.col("seen")).cast("long").alias("seen"), (F.col("n") * F.col("micro")).alias("micro"))
+    open_word, open_c = (F.when(F.col("word") < 0, F.col(x)).alias(f"open_{x}") for x in ("word", "c"))
+    found = grams.join(coded.select(*GRAM, "seen", "micro", open_word, open_c).hint("shuffle_hash"), GRAM)
+    sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("seen")).alias("seen"), F.sum(F.col("n") * F.col("micro")).alias("micro")]
+    found = found.groupBy("id", "open_word", "open_c").agg(*sums)
+    # rows that need no word are dealt out by their id, whatever they meet
+    rest = rest.select(F.col("word").alias("asked"), "of")
+    found = found.join(rest, F.coalesce("open_word", F.xxhash64("id")) == F.col("asked"), "left")
+    late = F.col("n") * micro_of(F.col("open_c"))
+    found = found.select("id", "n", "seen", F.when(F.col("open_word").isNull(), F.col("micro")).otherwise(late).alias("micro"))
     if order > 2:
-        known = scored.unionByName(parts.filter("word < 0").join(rest, "word").select(*GRAM, *named, "c", "seen", micro))
+        known = scored.unionByName(parts.filter("word < 0").join(rest, F.col("word") == F.col("asked")).select(*GRAM, *named, "c", "seen", micro))
         known = known.filter("seen = 1").select("key", "c", "micro")
         found = found.unionByName(of_higher_orders(texts, shared, known, order, backoff, min_count, salted))
     sums = found.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.sum("seen").alias("n_seen"), F.sum("micro").alias("score_micro"))
@@ -314,7 +327,7 @@ def of_higher_orders(texts: DataFrame, shared, known: DataFrame, order: int, bac
     back = round(float(np.log(backoff)) * 1e6)
     zero = F.lit(0).cast("long")
     # backing off counts wherever there's history enough, unless the n-gram is seen
-    words = F.size(F.split("text", " "))
+    words = F.size(F.split(F.trim(F.regexp_replace(F.col("text").cast("string"), r"[\x20\x09-\x0D]+", " ")), " "))
     tries = sum((F.greatest(words - (k - 2), F.lit(0)) for k in range(3, order + 1)), F.lit(0))
     out = texts.select("id", zero.alias("n"), zero.alias("seen"), (tries * F.lit(back)).cast("long").alias("micro"))
     for k in range(3, order + 1):

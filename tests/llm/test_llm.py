@@ -81,13 +81,13 @@ def test_lm_higher_orders(spark, monkeypatch):
 def test_bigram_tasks_hold_a_block_once():
     """Numpy's memory above the texts while a block of bigrams is made, in bytes a word; the codes of words take 20 bytes each."""
     rng, held = np.random.default_rng(0), 100_000
-    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 200)) for _ in range(held // 200 * 3)]
-    words = [lm_scoring.hashed(f"w{x}") for x in range(2000)]
+    texts = [b" ".join(b"w%d" % x for x in rng.integers(0, 3000, 200)) for _ in range(held // 200 * 3)]
+    words = [lm_scoring.hashed(b"w%d" % x) for x in range(2000)]
     shared = lm_scoring.shared_codes(words, [9] * 2000, 5)
     assert sum(x.nbytes for x in shared) <= 20 * (len(words) + 1)
     codes = lm_scoring.Codes(*shared[:2])
-    assert [codes["w7"], codes["w1999"], codes["w2500"]] == [9, 2001, lm_scoring.hashed("w2500")]
-    codes.update({f"w{x}": codes[f"w{x}"] for x in range(3000)})
+    assert [codes[b"w7"], codes[b"w1999"], codes[b"w2500"]] == [9, 2001, lm_scoring.hashed(b"w2500")]
+    codes.update({w: codes[w] for w in (b"w%d" % x for x in range(3000))})
     batch = pa.RecordBatch.from_pydict({"id": range(len(texts)), "text": texts})
     tracemalloc.start()
     with pytest.MonkeyPatch.context() as m:
