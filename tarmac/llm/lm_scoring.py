@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
-#: Code of the start mark; the key of a bigram of short codes holds both.
-START, SHIFT = 1, 20
+#: Code of the start mark; the key of a bigram of short codes holds both, and below them the salt.
+START, SHIFT, SALT_BITS = 1, 20, 23
 #: Words with short codes, steps for each doubling of the counts among which they're chosen, hashes remembered in a Python worker.
 CODED, STEPS, MEMO = 500_000, 16, 200_000
 #: An n-gram and the row that it stands in, side by side in 64 bits.
@@ -51,7 +51,7 @@ ROW_BITS = 20
 #: Columns that name an n-gram.
 GRAM = ["a", "b", "salt"]
 #: Distinct words counted in a Python worker before they're handed on, words whose bigrams it holds, rows of a batch.
-COUNTED, HELD, BATCH = 300_000, 2_000_000, 250_000
+COUNTED, HELD, BATCH = 300_000, 500_000, 250_000
 #: Occurrences of an n-gram that a task takes, about.
 SALTED = 1 << 22
 
@@ -233,23 +233,26 @@ def of_block(first, second, rows, of_rows, counts, salted, order: int, named: bo
         a_, b_ = a[one], b[one]
         if order == 2:
             packed = key >= 0
-            a_, b_, salt = np.where(packed, salt << 2 * SHIFT | key, a_), np.where(packed, 0, b_), np.zeros(len(key), np.int64)
-        columns = {"a": a_, "b": b_, "salt": salt.astype(np.int32), "id": of_rows.take(pa.array(own)), "n": n[p]} | ({"key": key} if named else {})
+            joint = (second[one] << SHIFT | first[one]) << SALT_BITS | salt
+            a_, b_, salt = np.where(packed, joint, a_), np.where(packed, 0, b_), np.zeros(len(key), np.int64)
+        columns = {"b": b_, "a": a_, "id": of_rows.take(pa.array(own)), "n": n[p], "salt": salt.astype(np.int32)} | ({"key": key} if named else {})
         yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
 
 def posted(texts: DataFrame, shared, order: int, named: bool = False) -> DataFrame:
-    """(a, b, salt, id, n), dealt out by the first three: an n-gram, and how often a text has it; ``named``: its key, too.
+    """(b, a, id, n, salt), dealt out by a, b and salt: an n-gram, and how often a text has it; ``named``: its key, too.
 
-    Bigrams of short codes have a, both codes with a salt above them, and b = 0; others have the words' codes; longer
+    Bigrams of short codes have a, both codes with a salt below them, and b = 0; others have the words' codes; longer
     n-grams have the keys of prefix and suffix.  A salt tells parts of an n-gram that may be too much for one task.
+    Rows come by first word, so the second word's code stands high in a and beside the id: what differs from row to row
+    lies together, which leaves a seventh less to shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, codes, counts = shared.value
         yield from block_rows(batches, Codes(words, codes), counts, order, named, TaskContext.get().partitionId())
 
-    columns = f"a long, b long, salt int, id {dict(texts.dtypes)['id']}, n int{', key long' if named else ''}"
+    columns = f"b long, a long, id {dict(texts.dtypes)['id']}, n int, salt int{', key long' if named else ''}"
     return texts.mapInArrow(run, columns).repartition(*GRAM)
 
 
@@ -261,8 +264,9 @@ def counted(grams: DataFrame, salted: bool) -> DataFrame:
     own = grams.groupBy(*GRAM).agg(count, *named)
     if not salted:
         return own
-    packed = (F.col("b") == 0) & (F.col("a") >= 1 << 2 * SHIFT)
-    split = own.filter((F.col("salt") > 0) | packed).withColumn("gram", F.when(packed, F.col("a").bitwiseAND((1 << 2 * SHIFT) - 1)).otherwise(F.col("a")))
+    low = (1 << SALT_BITS) - 1
+    packed = (F.col("b") == 0) & (F.col("a").bitwiseAND(low) > 0)
+    split = own.filter((F.col("salt") > 0) | packed).withColumn("gram", F.when(packed, F.col("a").bitwiseAND(~low)).otherwise(F.col("a")))
     totals = split.groupBy("gram", "b").agg(F.sum("c").alias("total"), F.collect_list(F.struct("a", "salt")).alias("parts"))
     totals = totals.select("b", "total", F.explode("parts").alias("part")).select("part.a", "b", "part.salt", "total")
     return own.join(totals, GRAM, "left").select(*GRAM, F.coalesce("total", "c").alias("c"), *(["key"] if named else []))
@@ -281,14 +285,15 @@ def score(docs: DataFrame, id_col: str, text_col: str = "text", order: int = ORD
 
     # bounded by the short codes
     of_word = F.broadcast(spark.createDataFrame([(START, begun), *((i + 2, n) for i, (_, n) in enumerate(top))], "word long, of long"))
-    # more words than the bigrams ask for do no harm: coded ones aren't asked for by their hash
-    rest = words.select("word", F.col("n").alias("of"))
+    # words with short codes, all down to some count, aren't asked for by their hash
+    rest = words.filter(F.col("n") < top[-1][1]) if top else words
+    rest = rest.select("word", F.col("n").alias("of"))
     grams = posted(texts, shared, 2, order > 2)
     seen = F.col("c") >= min_count
     packed = F.col("b") == 0
     low = (1 << SHIFT) - 1
-    first = F.when(packed, F.shiftright("a", SHIFT).bitwiseAND(low)).otherwise(F.col("a"))
-    second = F.when(packed, F.col("a").bitwiseAND(low)).otherwise(F.col("b"))
+    first = F.when(packed, F.shiftright("a", SALT_BITS).bitwiseAND(low)).otherwise(F.col("a"))
+    second = F.when(packed, F.shiftright("a", SALT_BITS + SHIFT)).otherwise(F.col("b"))
     named = ["key"] if order > 2 else []
     parts = counted(grams, salted).select(*GRAM, *named, "c", seen.cast("int").alias("seen"), F.when(seen, first).otherwise(second).alias("word"))
 
