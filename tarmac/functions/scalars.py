@@ -48,9 +48,15 @@ def minutes_seconds(seconds: Column) -> Column:
 
 def decimals(x: Column, digits: int = 2) -> Column:
     """As C prints ``%.2f``: the stored binary value is rounded, its ties to even, where ``format_string`` rounds the
-    shortest decimal form, ties up.  Numbers whose shortest form has no more than these digits keep it."""
+    shortest decimal form, ties up.  From 2 ** 63 on the shortest form's digits are kept, followed by zeros."""
     x = x.cast("double")
     text = F.call_function("format_number", x, F.lit("0." + "0" * digits))
+    # above 2 ** 40 the shortest form may have fewer digits than these; there a fraction times 10 ** digits is exact
+    large = F.when((F.abs(x) >= 2.0**40) & (F.abs(x) < 2.0**63), F.abs(x))
+    whole, unit = F.floor(large), 10**digits
+    part = F.rint((large - whole) * unit).cast("long")
+    exact = F.concat(F.when(x < 0, "-").otherwise(""), (whole + F.floor(part / unit)).cast("string"), F.lit("."), F.lpad((part % unit).cast("string"), digits, "0"))
+    text = F.when(large.isNotNull(), exact).otherwise(text)
     return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(text)
 
 

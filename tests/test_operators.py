@@ -366,6 +366,14 @@ def test_video_list_rounds_as_sql_does(spark, odd_orders):
     same_as_sql(spark, "video_list", odd_orders)
 
 
+def test_video_list_prints_large_sizes_as_sql_does(spark, odd_orders, tmp_path):
+    """Sizes whose shortest decimal form has fewer than two decimals, and ones just below the next whole number."""
+    sizes = [m * s for e in (39, 40, 44, 47, 48, 49, 50, 51, 52, 53, 60, 62) for m in (1, -1) for s in (2.0**e, 2.0**e + 0.25, 2.0**e + 0.1875, 2.0 ** (e + 1) - 2.0 ** (e - 52))]
+    rows = [(k, k % 50, s * 1048576.0) for k, s in enumerate(sizes)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    same_as_sql(spark, "video_list", odd_orders)
+
+
 def test_decimals_of_other_columns(spark):
     got = spark.range(1).select(X.frame_path(F.lit(7), F.lit(2.675)), X.percent_label(F.lit("a"), F.lit(0.125)), X.decimals(F.lit(0.0000005), 6), X.frame_path(F.lit(None).cast("int"), F.lit(1.0))).head()
     assert tuple(got) == ("frame_000007_2.67s.jpg", "a: 0.12", "0.000000", None)
