@@ -66,6 +66,20 @@ def test_repeats_equal_brute_force(spark, most, monkeypatch):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]]
 
 
+def test_repeats_of_passages_below_and_above_400_bytes(spark):
+    """A passage of over 50 words is removed from 400 bytes on, whatever its words."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    texts = []
+    for length in (5, 6, 7, 8, 9):
+        passage = " ".join(word(length) for _ in range(55))
+        texts += [f"{' '.join(word(6) for _ in range(40))} {passage} {' '.join(word(6) for _ in range(40))}" for _ in range(2)]
+    rows = {r["doc_id"]: r for r in suffix_repeats.without_repeats(docs_of(spark, texts), "doc_id").collect()}
+    want = kept_by_hand(texts, 400)
+    assert [(rows[i]["n_removed"], rows[i]["n_spans"]) for i in range(len(texts))] == [w[1:3] for w in want]
+    assert [rows[i]["n_removed"] > 0 for i in range(len(texts))] == [False] * 4 + [True] * 6
+
+
 def test_repeats_of_repeated_rows_and_null_ids(spark):
     text = prose(random.Random(1), 100)
     docs = docs_of(spark, [text, text, "other", None], [None, None, None, 3])
